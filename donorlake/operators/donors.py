@@ -96,6 +96,14 @@ def composition_feature_names(shares: DataFrame, cell_type: str = "cell_type") -
     return shares.withColumn("feature", F.concat(F.lit("cell_type_prop_"), sanitize(cell_type)))
 
 
+def log_ratios(shares: DataFrame, donor: str = "donor_id", fraction: str = "fraction", epsilon: float = 0.0) -> DataFrame:
+    """Logit and centred log-ratio of composition shares (over the types a donor has); ``epsilon`` keeps logits finite."""
+    f = F.col(fraction)
+    means = shares.groupBy(donor).agg(F.avg(F.ln(f)).alias("_m"))
+    logit = F.ln((f + epsilon) / (1.0 - f + epsilon))
+    return shares.join(means, donor).withColumns({"logit": logit, "clr": F.ln(f) - F.col("_m")}).drop("_m")
+
+
 def donor_metadata(cells: DataFrame, donor: str = "donor_id", case_disease: str = "systemic lupus erythematosus") -> DataFrame:
     """Donor record: distinct stages, parsed age, ambiguity flag, eligibility, 0/1 label, cell count."""
     stage = F.col("development_stage").cast("string")

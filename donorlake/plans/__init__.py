@@ -1 +1,8 @@
 """Composed analyses and the registry of queries over the driver tables."""
+
+
+def all_queries():
+    """The registry with every query module loaded."""
+    from donorlake.plans import evaluation_queries, feature_queries, quality_queries, registry  # noqa: F401
+
+    return registry
