@@ -823,13 +823,16 @@ def coefficient_ranks(spark, sf):
     return md.rank_coefficients(w)
 
 
-_VEC = """x AS (SELECT vec_id, (label < 5)::INTEGER AS label, vec_id % 5 AS part, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"""
+_VEC = """w AS (SELECT vec_id, y AS label, embedding, (row_number() OVER (PARTITION BY y ORDER BY md5('2|' || y || '|' || vec_id), vec_id) - 1) % 5 AS part
+    FROM (SELECT *, (label < 5)::INTEGER AS y FROM embeddings)),
+  x AS (SELECT vec_id, label, part, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM w)"""
 
 
 def _vectors(spark, sf):
-    return table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("donor_id"), (F.col("label") < 5).cast("int").alias("label"), (F.col("vec_id") % 5).alias("part"), F.col("embedding").alias("features")
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("donor_id"), (F.col("label") < 5).cast("int").alias("label"), F.col("embedding").alias("features")
     )
+    return sp.shuffled_kfold(rows, 5, seed=2).withColumnRenamed("fold", "part")
 
 
 @query(

@@ -506,7 +506,7 @@ def declared_totals_check(spark, sf):
 
 def _feature_rows(spark, sf):
     return table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("donor_id"), (F.col("label") % 2).alias("label"), F.when(F.col("vec_id") % 5 < 4, "train").otherwise("test").alias("split"),
+        F.col("vec_id").alias("donor_id"), (F.col("label") % 2).alias("label"), F.when(F.col("label") < 8, "train").otherwise("test").alias("split"),
         F.when(F.col("label") != 3, F.col("embedding")).otherwise(F.slice("embedding", 1, 60)).alias("features"),
     )
 

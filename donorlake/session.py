@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,22 @@ def build_session(app: str = "donorlake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach; a temporary one only for a local master without the setting."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="donorlake-checkpoint-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table beside the checkpoints."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and continue from the files.
 
@@ -39,11 +56,5 @@ def durable(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        if configured:
-            sc.setCheckpointDir(configured)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="donorlake-checkpoint-"))
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        sc.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

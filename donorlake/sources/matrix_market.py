@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,7 +10,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-comment lines with their file and place, so the size line is the first of each file."""
     text = spark.read.text(path)
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return text.select(F.col("_metadata.file_name").alias("file"), place.alias("place"), F.trim("value").alias("line")).where(
+    return text.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), F.trim("value").alias("line")).where(
         ~F.col("line").startswith("%") & (F.col("line") != "")
     )
 
@@ -25,25 +25,29 @@ def _sizes(lines: DataFrame) -> DataFrame:
 
 def sample_key(file: str = "file"):
     """The part of the file name before the first underscore."""
-    return F.split_part(F.col(file), F.lit("_"), F.lit(1))
+    return F.split_part(F.regexp_extract(file, "([^/]+)$", 1), F.lit("_"), F.lit(1))
 
 
-def declared_sizes(spark: SparkSession, path: str) -> DataFrame:
-    return _sizes(_lines(spark, path)).select(sample_key().alias("sample_id"), "file", "n_genes", "n_cells", "nnz")
+def declared_sizes(spark: SparkSession, path: str, sample: Column | None = None) -> DataFrame:
+    """Genes, cells and entries each file declares in its size line."""
+    key = sample_key() if sample is None else sample
+    return _sizes(_lines(spark, path)).select(key.alias("sample_id"), "file", "n_genes", "n_cells", "nnz")
 
 
-def read_mtx(spark: SparkSession, path: str, genes: DataFrame | None = None) -> DataFrame:
+def read_mtx(spark: SparkSession, path: str, genes: DataFrame | None = None, sample: Column | None = None) -> DataFrame:
     """All samples of a glob as ``(sample_id, cell_id, gene_ix | gene_id, value)``.
 
-    ``genes`` names the shared row order as ``(gene_ix, gene_id)``, 1-based. A
-    gzip file is one task, plain files split.
+    ``genes`` names the shared row order as ``(gene_ix, gene_id)``, 1-based;
+    ``sample`` derives the sample from ``file`` (the path) where the name prefix
+    is not it. A gzip file is one task, plain files split.
     """
+    key = sample_key() if sample is None else sample
     lines = _lines(spark, path)
     sizes = _sizes(lines).select("file", "first")
     parts = F.split("line", r"\s+")
     rows = lines.join(sizes, "file").where(F.col("place") != F.col("first")).select(
-        sample_key().alias("sample_id"),
-        F.concat_ws("_", sample_key(), parts[1]).alias("cell_id"),
+        key.alias("sample_id"),
+        F.concat_ws("_", key, parts[1]).alias("cell_id"),
         parts[0].cast("bigint").alias("gene_ix"),
         parts[2].cast("double").alias("value"),
     )
