@@ -4,8 +4,8 @@ A fit is a key: (replicate, excluded folds, C). All fits of a stage advance
 together. In one Newton step every task walks its own rows once, adds up each
 fit's gradient and curvature, and sends one vector per fit; Spark sums the
 vectors by fit and the solve runs on the summed rows. No group of rows is
-ever gathered, so rows may grow without limit; what has to stay small is
-fits × features², which is checked.
+ever gathered, so rows may grow without limit. A pass takes as many fits as
+keep fits × features² within a task's bound; the rest follow in further passes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from donorlake.session import durable
 # The searched inverse penalties and the fold counts.
 C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
 OUTER_FOLDS, INNER_FOLDS = 5, 5
-MAX_STATE = 50_000_000  # doubles held for all fits of one stage
+MAX_STATE = 16_000_000  # doubles a task may hold for the fits of one pass (128 MB)
 
 
 @dataclass(frozen=True)
@@ -83,7 +83,7 @@ def _sum_by_fit(rows: DataFrame, kernel, width: int) -> DataFrame:
             for fit, stats in kernel(pdf):
                 acc[fit] = acc[fit] + stats if fit in acc else stats
         if acc:
-            yield pd.DataFrame({"fit": list(acc), "stats": [v.tolist() for v in acc.values()]})
+            yield pd.DataFrame({"fit": list(acc), "stats": list(acc.values())})
 
     parts = rows.mapInPandas(run, "fit int, stats array<double>")
     return parts.groupBy("fit").agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
@@ -96,6 +96,59 @@ def _by_rep(keys: Sequence[tuple[int, tuple]]) -> dict[int, list[tuple[int, tupl
     return out
 
 
+def _curvature(state, balanced: bool):
+    """Per fit: loss, gradient and Hessian of the data term over one batch of rows."""
+
+    def kernel(pdf: pd.DataFrame):
+        by_rep, fills, mu, sd, now, n_side, case_side, side = state.value
+        x_all, folds = _matrix(pdf["features"]), np.stack(pdf["folds"].to_numpy())
+        y, reps = pdf["label"].to_numpy(), pdf["rep"].to_numpy()
+        for rep in np.unique(reps):
+            pick = reps == rep
+            xr, fr, yr = x_all[pick], folds[pick], y[pick]
+            seen: dict[int, tuple] = {}
+            for _, (i, out) in by_rep.get(int(rep), ()):
+                s = side[i]
+                if s not in seen:
+                    train, _scored = _inside(fr, out)
+                    z = (_filled(xr[train], None if fills is None else fills[s]) - mu[s]) / sd[s]
+                    yt = yr[train].astype("float64")
+                    weight = np.ones(len(yt))
+                    if balanced:
+                        weight = np.where(yt == 1, n_side[s] / (2 * case_side[s]), n_side[s] / (2 * (n_side[s] - case_side[s])))
+                    seen = {s: (np.column_stack([z, np.ones(len(z))]), yt, weight)}
+                z, yt, weight = seen[s]
+                m = z @ now[i]
+                prob = 1.0 / (1.0 + np.exp(-np.clip(m, -500, 500)))
+                loss = (weight * (np.logaddexp(0.0, m) - yt * m)).sum()
+                grad = z.T @ (weight * (prob - yt))
+                hess = (z * (weight * prob * (1 - prob))[:, None]).T @ z
+                yield i, np.concatenate([[loss], grad, hess[np.triu_indices(len(grad))]])
+
+    return kernel
+
+
+def _newton_step(state, penalty: np.ndarray):
+    """Add the penalty to the summed statistics of each fit and solve for its step."""
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = state.value[4]
+        p = now.shape[1] - 1
+        for pdf in batches:
+            rows = []
+            for fit, stats in zip(pdf["fit"], pdf["stats"]):
+                s, c, at = np.asarray(stats), penalty[fit], now[fit]
+                ridge = np.append(at[:-1], 0.0)
+                grad = c * s[1 : p + 2] + ridge
+                hess = np.zeros((p + 1, p + 1))
+                hess[np.triu_indices(p + 1)] = s[p + 2 :]
+                hess = c * (np.triu(hess) + np.triu(hess, 1).T) + np.diag(np.append(np.ones(p), 1e-12))
+                rows.append((int(fit), float(c * s[0] + 0.5 * ridge @ ridge), -np.linalg.solve(hess, grad)))
+            yield pd.DataFrame(rows, columns=["fit", "loss", "step"])
+
+    return solve
+
+
 def fit_logistic(
     rows: DataFrame,
     fits: Sequence[Fit],
@@ -115,8 +168,10 @@ def fit_logistic(
     """
     fits = list(fits)
     p = size
-    if len(fits) * (p + 2) ** 2 > MAX_STATE * 8 or len(fits) * (p + 1) > MAX_STATE:
-        raise ValueError(f"{len(fits)} fits of {p} features exceed the state bound; fit in stages")
+    width = 1 + (p + 1) + (p + 1) * (p + 2) // 2
+    if width > MAX_STATE or len(fits) * (p + 1) > MAX_STATE:
+        raise ValueError(f"{len(fits)} fits of {p} features exceed the state bound")
+    per_pass = max(1, MAX_STATE // width)
     spark = rows.sparkSession
     # Fits that differ in C only share their training rows and thus their moments.
     sides = list(dict.fromkeys((f.rep, f.out) for f in fits))
@@ -178,57 +233,25 @@ def fit_logistic(
     while active.any() and rounds < max_iter:
         rounds += 1
         live = np.flatnonzero(active)
-        state = spark.sparkContext.broadcast(
-            (_by_rep([(fits[i].rep, (i, fits[i].out)) for i in live]), live, side_fill, mean, scale, w, n, cases, fit_side)
-        )
-
-        def curvature(pdf: pd.DataFrame):
-            by_rep, live_ids, fills, mu, sd, now, n_side, case_side, side = state.value
-            x_all, folds, y, reps = _matrix(pdf["features"]), np.stack(pdf["folds"].to_numpy()), pdf["label"].to_numpy(), pdf["rep"].to_numpy()
-            for rep in np.unique(reps):
-                pick = reps == rep
-                xr, fr, yr = x_all[pick], folds[pick], y[pick]
-                for _, (i, out) in by_rep.get(int(rep), ()):
-                    s = side[i]
-                    train, _unused = _inside(fr, out)
-                    z = (_filled(xr[train], None if fills is None else fills[s]) - mu[s]) / sd[s]
-                    z = np.column_stack([z, np.ones(len(z))])
-                    yt = yr[train].astype("float64")
-                    m = z @ now[i]
-                    prob = 1.0 / (1.0 + np.exp(-np.clip(m, -500, 500)))
-                    weight = np.ones(len(yt))
-                    if balanced:
-                        weight = np.where(yt == 1, n_side[s] / (2 * case_side[s]), n_side[s] / (2 * (n_side[s] - case_side[s])))
-                    loss = (weight * (np.logaddexp(0.0, m) - yt * m)).sum()
-                    grad = z.T @ (weight * (prob - yt))
-                    hess = (z * (weight * prob * (1 - prob))[:, None]).T @ z
-                    yield i, np.concatenate([[loss], grad, hess.ravel()])
-
-        def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            now = state.value[5]
-            for pdf in batches:
-                rows_out = []
-                for fit, stats in zip(pdf["fit"], pdf["stats"]):
-                    s, c, at = np.asarray(stats), penalty[fit], now[fit]
-                    ridge = np.append(at[:-1], 0.0)
-                    grad = c * s[1 : p + 2] + ridge
-                    hess = c * s[p + 2 :].reshape(p + 1, p + 1) + np.diag(np.append(np.ones(p), 0.0))
-                    hess[p, p] += 1e-12
-                    rows_out.append((int(fit), float(c * s[0] + 0.5 * ridge @ ridge), (-np.linalg.solve(hess, grad)).tolist()))
-                yield pd.DataFrame(rows_out, columns=["fit", "loss", "step"])
-
-        stepped = _sum_by_fit(rows, curvature, 1 + (p + 1) + (p + 1) ** 2).mapInPandas(solve, "fit int, loss double, step array<double>")
-        for row in stepped.toLocalIterator():
-            i, loss, step = row["fit"], row["loss"], np.asarray(row["step"])
-            if loss > good_loss[i] + 1e-9 * max(1.0, abs(good_loss[i])):
-                w[i] = (w[i] + good[i]) / 2.0
-                continue
-            good[i], good_loss[i] = w[i].copy(), loss
-            if np.abs(step).max() <= tolerance * max(1.0, np.abs(w[i]).max()) or rounds == max_iter:
-                active[i] = False
-            else:
-                w[i] = w[i] + step
-        state.unpersist()
+        for start in range(0, len(live), per_pass):
+            chunk = live[start : start + per_pass]
+            state = spark.sparkContext.broadcast(
+                (_by_rep([(fits[i].rep, (i, fits[i].out)) for i in chunk]), side_fill, mean, scale, w, n, cases, fit_side)
+            )
+            stepped = _sum_by_fit(rows, _curvature(state, balanced), width).mapInPandas(
+                _newton_step(state, penalty), "fit int, loss double, step array<double>"
+            )
+            for row in stepped.toLocalIterator():
+                i, loss, step = row["fit"], row["loss"], np.asarray(row["step"])
+                if loss > good_loss[i] + 1e-9 * max(1.0, abs(good_loss[i])):
+                    w[i] = (w[i] + good[i]) / 2.0
+                    continue
+                good[i], good_loss[i] = w[i].copy(), loss
+                if np.abs(step).max() <= tolerance * max(1.0, np.abs(w[i]).max()) or rounds == max_iter:
+                    active[i] = False
+                else:
+                    w[i] = w[i] + step
+            state.unpersist()
     good[one_class] = np.nan
     return Fitted(fits, mean[fit_side], scale[fit_side], good, n[fit_side].astype(int), cases[fit_side].astype(int), rounds, fill)
 
@@ -237,22 +260,21 @@ def score_fits(rows: DataFrame, fitted: Fitted, keep: Sequence[str] = ("donor_id
     """Probability of class 1 for the rows each fit left out last (or for all rows): ``fit, rep, keep…, label, score``."""
     schema = {f.name: f.dataType.simpleString() for f in rows.schema}
     head = ", ".join(f"`{c}` {schema[c]}" for c in keep)
-    bc = rows.sparkSession.sparkContext.broadcast(fitted)
+    state = (_by_rep([(f.rep, (i, f.out)) for i, f in enumerate(fitted.fits)]), fitted.mean, fitted.scale, fitted.weights, fitted.fill)
+    bc = rows.sparkSession.sparkContext.broadcast(state)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = bc.value
-        by_rep = _by_rep([(fit.rep, fit.out) for fit in f.fits])
+        by_rep, mean, scale, weights, fill = bc.value
         for pdf in batches:
             x_all, folds, reps = _matrix(pdf["features"]), np.stack(pdf["folds"].to_numpy()), pdf["rep"].to_numpy()
             for rep in np.unique(reps):
                 at = np.flatnonzero(reps == rep)
-                for i, out in by_rep.get(int(rep), ()):
-                    _, mine = _inside(folds[at], out)
-                    pick = at if everyone else at[mine]
+                for _, (i, out) in by_rep.get(int(rep), ()):
+                    pick = at if everyone else at[_inside(folds[at], out)[1]]
                     if not len(pick):
                         continue
-                    x = _filled(x_all[pick], None if f.fill is None else f.fill[i])
-                    m = ((x - f.mean[i]) / f.scale[i]) @ f.weights[i][:-1] + f.weights[i][-1]
+                    x = _filled(x_all[pick], None if fill is None else fill[i])
+                    m = ((x - mean[i]) / scale[i]) @ weights[i][:-1] + weights[i][-1]
                     part = pdf.iloc[pick][[*keep, "rep", "label"]].copy()
                     part["fit"] = i
                     part["score"] = 1.0 / (1.0 + np.exp(-np.clip(m, -500, 500)))
@@ -539,7 +561,7 @@ def gram_rows(
                 part.append(z.T @ z)
             total = part if total is None else [a + b for a, b in zip(total, part)]
         if total is not None:
-            yield pd.DataFrame({"rep": range(len(total)), "stats": [k.ravel().tolist() for k in total]})
+            yield pd.DataFrame({"rep": range(len(total)), "stats": [k.ravel() for k in total]})
 
     sums = wide.select("ix", "v").mapInPandas(outer, "rep int, stats array<double>")
     sums = sums.groupBy("rep").agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
@@ -549,7 +571,7 @@ def gram_rows(
             for rep, stats in zip(pdf["rep"], pdf["stats"]):
                 values, vectors = np.linalg.eigh(np.asarray(stats).reshape(n, n))
                 x = vectors * np.sqrt(np.maximum(values, 0.0))
-                yield pd.DataFrame({"rep": int(rep), "_ix": range(n), "features": [r.tolist() for r in x]})
+                yield pd.DataFrame({"rep": int(rep), "_ix": range(n), "features": list(x)})
 
     coords = sums.mapInPandas(coordinates, "rep int, _ix int, features array<double>")
     return coords.join(ranked, "_ix").select("rep", key, "label", "features", "folds")
