@@ -91,11 +91,16 @@ def normalize_log1p(sums: DataFrame, target: float = NORMALISE_TO) -> DataFrame:
     return sums.join(totals, "cell_id").withColumns({"normalized": scaled, "log_normalized": F.log1p(scaled)}).drop("_t")
 
 
-def gene_dispersion(normalized: DataFrame, n_cells: int | Column, value: str = "normalized") -> DataFrame:
-    """Mean and sample variance per gene over all cells (absent rows are zeros), log1p mean and log dispersion."""
+def gene_dispersion(normalized: DataFrame, n_cells: int | Column, value: str = "normalized", genes: DataFrame | None = None) -> DataFrame:
+    """Mean and sample variance per gene over all cells (absent rows are zeros), log1p mean and log dispersion.
+
+    ``genes`` adds the genes no cell expresses: they widen the range of means but have no dispersion.
+    """
     n = F.lit(n_cells) if isinstance(n_cells, int) else n_cells
     v = F.col(value)
     s = normalized.groupBy("gene_id").agg(F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
+    if genes is not None:
+        s = genes.select("gene_id").join(s, "gene_id", "left").fillna({"_s": 0.0, "_q": 0.0})
     mean = F.col("_s") / n
     var = (F.col("_q") - n * mean * mean) / (n - 1)
     s = s.select("gene_id", mean.alias("mean"), F.greatest(var, F.lit(0.0)).alias("variance"))
@@ -115,7 +120,8 @@ def highly_variable(dispersion: DataFrame, n_top: int = N_VARIABLE_GENES, bins:
         "bin", F.coalesce(F.least(F.greatest(slot, F.lit(0)), F.lit(bins - 1)), F.lit(0)).cast("int")
     )
     stats = rows.groupBy("bin").agg(F.avg("dispersion").alias("_m"), F.stddev_samp("dispersion").alias("_sd"))
-    score = F.when(F.col("_sd").isNull(), F.lit(1.0)).otherwise(F.try_divide(F.col("dispersion") - F.col("_m"), F.col("_sd")))
+    z = F.try_divide(F.col("dispersion") - F.col("_m"), F.col("_sd"))
+    score = F.when(F.col("dispersion").isNotNull(), F.when(F.col("_sd").isNull(), F.lit(1.0)).otherwise(z))
     scored = rows.join(stats, "bin").withColumn("dispersion_norm", score).drop("_lo", "_hi", "_m", "_sd")
     top = scored.where(F.col("dispersion_norm").isNotNull()).orderBy(F.desc("dispersion_norm"), "gene_id").limit(n_top)
     flags = top.select("gene_id", F.lit(True).alias("highly_variable"))

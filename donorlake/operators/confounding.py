@@ -9,6 +9,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from donorlake.functions.scalars import warning_level
 from donorlake.operators.ordering import mid_ranks, quantiles, union_all, with_group_totals
@@ -149,7 +150,7 @@ def category_audit(manifest: DataFrame, fields: Sequence[str], by: str = "task")
 
 def audit_summary(cell_counts: DataFrame, cell_types: DataFrame, categories: DataFrame, feature: str = "cell_type", by: str = "task") -> DataFrame:
     """Roll-up per task: worst flag, the three largest cell-type gaps as text, flagged fields."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("abs_mean_prop_diff"), feature))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.round("abs_mean_prop_diff", 12).desc(), feature))
     top = cell_types.withColumn("_r", rank).where((F.col("_r") <= 3) & (F.col("abs_mean_prop_diff") > 0))
     entry = F.struct("_r", F.format_string("%s=%.3f", F.col(feature), F.col("abs_mean_prop_diff")).alias("text"))
     top = top.groupBy(by).agg(F.array_sort(F.collect_list(entry)).alias("_top")).select(
@@ -182,7 +183,7 @@ def group_cell_types(cells: DataFrame, group: str = "group", cell_type: str = "c
     return counts.join(totals, group).withColumn("cell_fraction_within_group", F.col("cell_count") / F.col("group_total_cells"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     """P(X ≥ x) for whole degrees of freedom, from the finite half-integer series."""
 

@@ -162,8 +162,9 @@ def fit_logistic(
     """Minimise ½‖w‖² + C·Σ loss with a free intercept for every fit.
 
     ``rows`` holds ``rep, label, features array<double>, folds array<int>``.
-    Features are standardised with each fit's training mean and population sd
-    (sd 0 becomes 1); ``scaled`` switches that off per column. NaN features
+    Features are standardised with each fit's training mean and population sd; a
+    feature that is constant in training gets scale infinity, so its weight and
+    its contribution are exactly 0. ``scaled`` switches that off per column. NaN features
     take the fit's ``fill`` values. ``balanced`` weighs classes by n / (2·n_class).
     """
     fits = list(fits)
@@ -218,7 +219,7 @@ def fit_logistic(
     for row in _sum_by_fit(rows, spread, p).toLocalIterator():
         sd = np.sqrt(np.asarray(row["stats"]) / n[row["fit"]])
         flat = sd <= 1e-12 * np.maximum(np.abs(mean[row["fit"]]), 1e-300)
-        scale[row["fit"]] = np.where(flat, 1.0, sd)
+        scale[row["fit"]] = np.where(flat, np.inf, sd)
     if scaled is not None:
         off = ~np.asarray(scaled, dtype=bool)
         mean[:, off], scale[:, off] = 0.0, 1.0
@@ -556,7 +557,7 @@ def gram_rows(
             for mask in bc.value:
                 mu = x[:, mask].mean(axis=1, keepdims=True)
                 sd = x[:, mask].std(axis=1, keepdims=True)
-                sd[sd <= 1e-12 * np.maximum(np.abs(mu), 1e-300)] = 1.0
+                sd[sd <= 1e-12 * np.maximum(np.abs(mu), 1e-300)] = np.inf
                 z = (x - mu) / sd
                 part.append(z.T @ z)
             total = part if total is None else [a + b for a, b in zip(total, part)]

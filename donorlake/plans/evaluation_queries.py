@@ -289,7 +289,7 @@ def category_audit(spark, sf):
     "audit_summary",
     f"""WITH {_AUDIT_BASE}, {_COUNT_AUDIT}, {_COUNT_FLAGGED}, {_TYPE_AUDIT}, {_CATEGORY_AUDIT},
     t3 AS (SELECT task, string_agg(printf('%s=%.3f', cell_type, abs_mean_prop_diff), '; ' ORDER BY r) AS top_cell_type_imbalances FROM (
-      SELECT *, row_number() OVER (PARTITION BY task ORDER BY abs_mean_prop_diff DESC, cell_type) AS r FROM type_flagged) WHERE r <= 3 AND abs_mean_prop_diff > 0 GROUP BY task),
+      SELECT *, row_number() OVER (PARTITION BY task ORDER BY round(abs_mean_prop_diff, 12) DESC, cell_type) AS r FROM type_flagged) WHERE r <= 3 AND abs_mean_prop_diff > 0 GROUP BY task),
     ff AS (SELECT task, array_to_string(list_sort(list_distinct(list(source_field))), '; ') AS source_batch_warning_fields, count(*) AS source_batch_categories_flagged
       FROM category_flagged WHERE warning_flag <> 'none' GROUP BY task),
     lv AS (SELECT task, max(CASE warning_flag WHEN 'strong' THEN 3 WHEN 'flag' THEN 2 WHEN 'not_estimable' THEN 1 ELSE 0 END) AS s FROM (
