@@ -24,7 +24,7 @@ from donorlake.functions.scalars import euclidean, inverse_distance
 from donorlake.operators.donors import mean_pool
 from donorlake.operators.metrics import auroc
 from donorlake.operators.ordering import hash_rank, union_all, with_group_totals
-from donorlake.session import durable
+from donorlake.session import durable, task_slots
 
 # The searched inverse penalties and the fold counts.
 C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
@@ -309,7 +309,7 @@ def fold_rows(
 
 def _place(rows: DataFrame, key: str) -> DataFrame:
     """Write the model rows once, spread over all tasks, before iterating on them."""
-    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = task_slots(rows.sparkSession)
     slim = rows.select("rep", key, "label", "features", "folds")
     return durable(slim.repartition(slots, "rep", key))
 
@@ -427,7 +427,7 @@ def loocv(
 
 def shuffled_labels(donors: DataFrame, n: int, seed: int, key: str = "donor_id", label: str = "label") -> DataFrame:
     """Rows once per replicate with permuted labels of the same class sizes (``rep`` 0…n−1)."""
-    slots = int(donors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = task_slots(donors.sparkSession)
     positives = donors.agg(F.sum(label).alias("_p"))
     spread = donors.repartition(slots, key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     ranked = with_group_totals(hash_rank(spread, key, seed, by=["rep"], name="_pos"), positives, [])

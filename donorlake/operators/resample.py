@@ -16,11 +16,12 @@ from donorlake.functions.hashing import draw
 from donorlake.functions.scalars import is_finite
 from donorlake.operators.metrics import auroc
 from donorlake.operators.ordering import global_rank, hash_rank, mid_ranks, running_totals, union_all, with_group_totals
+from donorlake.session import task_slots
 
 
 def _spread(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """Every row once per replicate. Rows are first dealt to all tasks, since a small input sits in one partition."""
-    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = task_slots(df.sparkSession)
     return df.repartition(slots, *keys).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 

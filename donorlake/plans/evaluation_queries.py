@@ -859,3 +859,48 @@ def centroid_predictions(spark, sf):
     rows = _vectors(spark, sf)
     out = md.predict_centroids(md.fit_centroids(rows.where(F.col("part") < 4)), rows.where(F.col("part") == 4), 1)
     return rounded(out.select("donor_id", "label", "predicted_label", "score"))
+
+
+_DOC_ARMS = """docs AS (SELECT d.doc_id, quality AS label, n_chars, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, len(regexp_split_to_array(text, '\\s+')) AS words
+    FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+  arms AS (SELECT doc_id, label, 'n_chars' AS arm, n_chars::DOUBLE AS score FROM docs UNION ALL SELECT doc_id, label, 'capitals', capitals FROM docs UNION ALL SELECT doc_id, label, 'words', words FROM docs)"""
+_PAIRS = "pairs(test, a, b) AS (VALUES ('chars_vs_capitals', 'n_chars', 'capitals'), ('chars_vs_words', 'n_chars', 'words'))"
+_CO_PRIMARY = f"""{_DOC_ARMS}, {_PAIRS},
+  ix AS (SELECT doc_id, label, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM docs),
+  draws AS (SELECT r AS replicate, {_HEX.format("'5|' || r || '|' || i")} % n AS i FROM ix, range(0, {BOOT}) t(r)),
+  drawn AS (SELECT d.replicate, arm, x.label, score FROM draws d JOIN ix USING (i) JOIN arms x USING (doc_id)),
+  boot AS ({_auroc_sql('drawn', 'score', 'label', 'arm, replicate')}),
+  seen AS ({_auroc_sql('arms', 'score', 'label', 'arm')}),
+  rk AS (SELECT doc_id, arm, rank() OVER (PARTITION BY arm ORDER BY score) + (count(*) OVER (PARTITION BY arm, score) - 1) / 2.0 AS r FROM arms),
+  k AS (SELECT sum(label) AS p, count(*) AS n FROM docs),
+  pick AS (SELECT doc_id, r AS replicate, row_number() OVER (PARTITION BY r ORDER BY md5('5|' || r || '|' || doc_id), doc_id) AS pos FROM docs, range(0, {PERM}) t(r)),
+  nul AS (SELECT arm, replicate, (sum(r) - max(p) * (max(p) + 1) / 2.0) / (max(p) * (max(n) - max(p)))::DOUBLE AS auroc FROM pick, k, rk WHERE pick.pos <= k.p AND rk.doc_id = pick.doc_id GROUP BY ALL),
+  ci AS (SELECT test, quantile_cont(x.auroc - y.auroc, 0.025) AS ci_lower, quantile_cont(x.auroc - y.auroc, 0.975) AS ci_upper, avg(x.auroc - y.auroc) AS boot_mean,
+    count(x.auroc - y.auroc) AS n_valid, count(*) FILTER (x.auroc - y.auroc IS NULL) AS n_skipped
+    FROM pairs JOIN boot x ON x.arm = a JOIN boot y ON y.arm = b AND y.replicate = x.replicate GROUP BY test),
+  ob AS (SELECT test, x.auroc - y.auroc AS observed FROM pairs JOIN seen x ON x.arm = a JOIN seen y ON y.arm = b),
+  pm AS (SELECT test, observed, avg(x.auroc - y.auroc) AS null_mean, stddev_pop(x.auroc - y.auroc) AS null_std,
+    (1.0 + count(*) FILTER (abs(x.auroc - y.auroc) >= abs(observed))) / (1.0 + count(*)) AS p_value
+    FROM pairs JOIN ob USING (test) JOIN nul x ON x.arm = a JOIN nul y ON y.arm = b AND y.replicate = x.replicate GROUP BY ALL),
+  st AS (SELECT *, rank() OVER (ORDER BY p_value) AS step, 0.05 / (3 - rank() OVER (ORDER BY p_value)) AS threshold FROM pm),
+  sp AS (SELECT min(p_value) FILTER (p_value > threshold) AS stop FROM st),
+  fin AS (SELECT st.*, ci.* EXCLUDE (test), stop IS NULL OR p_value < stop AS significant,
+    CASE WHEN stop IS NULL OR p_value < stop THEN 'p <= threshold: significant' WHEN p_value = stop THEN 'p > threshold: stop' ELSE 'not reached: an earlier step stopped' END AS reason
+    FROM st JOIN ci USING (test), sp)"""
+
+
+@query(
+    "co_primary_comparison",
+    r6(
+        f"WITH {_CO_PRIMARY} SELECT *, CASE WHEN ci_lower > 0 AND significant THEN 'GO' ELSE 'REJECTED' END AS decision FROM fin",
+        "observed", "p_value", "null_mean", "null_std", "ci_lower", "ci_upper", "boot_mean", "threshold",
+    ),
+)
+def co_primary_comparison(spark, sf):
+    """Three scores of the labelled documents against each other: paired intervals, tests, Holm, decisions."""
+    from donorlake.plans import arms
+
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.length(F.regexp_replace("text", "[^A-Z]", "")).alias("capitals"), F.size(F.split("text", r"\s+")).alias("words"))
+    rows = d.join(table(spark, sf, "labels"), "doc_id").select(F.col("doc_id").alias("donor_id"), F.col("quality").alias("label"), "n_chars", "capitals", "words")
+    pairs = [("chars_vs_capitals", "n_chars", "capitals"), ("chars_vs_words", "n_chars", "words")]
+    return rounded(arms.co_primary(rows, pairs, 5, n_bootstrap=BOOT, n_permutations=PERM))

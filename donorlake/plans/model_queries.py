@@ -68,21 +68,12 @@ def arm_run(spark, sf):
 @query("external_scoring")
 def external_scoring(spark, sf):
     """Fit on four fifths of the vectors at a frozen C, score the rest, overall and per stratum."""
-    rows = sp.shuffled_kfold(_vectors(spark, sf), 5, seed=3).withColumn("stratum_id", F.when(F.size("features") > 0, F.col("donor_id") % 2))
+    rows = sp.shuffled_kfold(_vectors(spark, sf), 5, seed=3).withColumn("stratum_id", F.when(F.col("features")[0] > 0, "high").otherwise("low"))
     dev, ext = rows.where(F.col("fold") != 4), rows.where(F.col("fold") == 4)
     _, summary = arms.external_arm(dev.drop("fold"), ext.drop("fold"), 0.01, 5, "stratum_id", 200, 200)
     return rounded(summary)
 
 
-@query("co_primary_comparison")
-def co_primary_comparison(spark, sf):
-    """Three scores of the labelled documents against each other: paired intervals, tests, Holm, decisions."""
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.length(F.regexp_replace("text", "[^A-Z]", "")).alias("capitals"), F.size(F.split("text", r"\s+")).alias("words"))
-    rows = d.join(table(spark, sf, "labels"), "doc_id").select(F.col("doc_id").alias("donor_id"), F.col("quality").alias("label"), "n_chars", "capitals", "words")
-    pairs = [("chars_vs_capitals", "n_chars", "capitals"), ("chars_vs_words", "n_chars", "words")]
-    return rounded(arms.co_primary(rows, pairs, 5, n_bootstrap=200, n_permutations=200))
-
-
 @query("cohort_probe")
 def cohort_probe(spark, sf):
     """Vectors of two label groups as two cohorts: how well membership is predicted."""

@@ -139,13 +139,22 @@ def rank_tokens(spark, sf):
     return qc.rank_tokens(_sums(spark, sf), qc.gene_medians(_sums(spark, sf)), max_len=3)
 
 
-@query("token_embeddings")
+@query(
+    "token_embeddings",
+    r6(
+        f"""WITH {CELLS}, {SUMS}, t AS (SELECT cell_id, avg(gene_id) AS a, count(*)::DOUBLE AS b FROM sums WHERE value > 0 GROUP BY 1),
+    m AS (SELECT nation_id AS donor_id, count(*) AS n_cells, avg(a) AS a, avg(b) AS b FROM t JOIN cells USING (cell_id) GROUP BY 1)
+    SELECT donor_id, n_cells, 0 AS pos, a AS value FROM m UNION ALL SELECT donor_id, n_cells, 1, b FROM m""",
+        "value",
+    ),
+)
 def token_embeddings(spark, sf):
     """Tokens of every cell through a stand-in model (mean and length of the token ids), then pooled per donor."""
     tokens = qc.token_sequences(qc.rank_tokens(_sums(spark, sf), qc.gene_medians(_sums(spark, sf))))
     tagged = tokens.join(cells(spark, sf).select("cell_id", F.col("nation_id").alias("donor_id")), "cell_id")
     model = lambda seqs: [(float(sum(t)) / len(t), float(len(t))) for t in seqs]
-    return rounded(dn.mean_pool(qc.embed(tagged, model, ("cell_id", "donor_id"))))
+    pooled = dn.mean_pool(qc.embed(tagged, model, ("cell_id", "donor_id")))
+    return rounded(pooled.select("donor_id", "n_cells", F.posexplode("embedding").alias("pos", "value")))
 
 
 _KNN = """v AS (SELECT vec_id AS cell_id, embedding::DOUBLE[] AS e, label FROM embeddings),
