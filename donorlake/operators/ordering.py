@@ -151,6 +151,34 @@ def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), name:
     )
 
 
+def hash_draw_sums(
+    df: DataFrame, key: str, seed: int, quota: str, measures: Sequence[str], by: Sequence[str] = (), few_groups: bool = False
+) -> DataFrame:
+    """Sums over the first ``quota`` rows of each group's seeded shuffle (the order of ``hash_rank``).
+
+    A group has 256 slices here. Whole slices are added as partial aggregates. Only the slice in which a
+    group's quota ends is looked at row by row, so the rows themselves are not
+    ranked. ``few_groups`` says that the number of groups is a small parameter
+    (replicates), which bounds the table of cut slices: one row per group.
+    """
+    by = list(by)
+    rows = df.withColumn("_digest", digest(seed, *by, key)).withColumn("_slice", F.substring("_digest", 1, 2))
+    slices = rows.groupBy(*by, "_slice").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(quota).alias("_quota"), *[F.sum(m).alias(m) for m in measures]
+    )
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    end = F.col("_before") + F.col("_n")
+    whole = slices.where(end <= F.col("_quota")).select(*by, *measures)
+    cut = slices.where((F.col("_before") < F.col("_quota")) & (end > F.col("_quota"))).select(
+        *by, "_slice", (F.col("_quota") - F.col("_before")).alias("_take")
+    )
+    inside = Window.partitionBy(*by, "_slice").orderBy("_digest", key)
+    edge = rows.join(F.broadcast(cut) if few_groups else cut, by + ["_slice"]).withColumn("_own", F.row_number().over(inside))
+    taken = whole.unionByName(edge.where(F.col("_own") <= F.col("_take")).select(*by, *measures))
+    return taken.groupBy(*by).agg(*[F.sum(m).alias(m) for m in measures])
+
+
 def global_rank(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """1-based row number in total order, or within ``by`` groups, without a one-task sort.
 

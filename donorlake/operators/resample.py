@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from donorlake.functions.hashing import draw
 from donorlake.functions.scalars import is_finite
 from donorlake.operators.metrics import auroc
-from donorlake.operators.ordering import global_rank, hash_rank, mid_ranks, running_totals, union_all, with_group_totals
-from donorlake.session import task_slots
+from donorlake.operators.ordering import global_rank, hash_draw_sums, hash_rank, mid_ranks, running_totals, union_all, with_group_totals
+from donorlake.session import durable, task_slots
 
 
 def _spread(df: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -78,8 +78,8 @@ def permutation_auroc(
 ) -> DataFrame:
     """AUROC of fixed scores under shuffled labels.
 
-    The scores never move, so their mid-ranks are computed once; a replicate
-    only chooses which rows are positive and adds up their ranks.
+    The scores never move, so their mid-ranks are computed once and written; a
+    replicate only chooses which rows are positive and adds up their ranks.
     """
     by = list(by)
     rows = df.select(*by, key, label, *[F.col(s).cast("double").alias(s) for s in scores])
@@ -87,12 +87,11 @@ def permutation_auroc(
         ranks = mid_ranks(rows, s, by).select(*by, s, F.col("mid_rank").alias(f"_rank_{s}"))
         rows = rows.join(ranks, by + [s])
     totals = df.groupBy(*by).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    slim = rows.select(*by, key, *[f"_rank_{s}" for s in scores])
-    shuffled = hash_rank(_spread(slim, n, *by, key), key, seed, by=[*by, "replicate"], name="_pos")
-    chosen = with_group_totals(shuffled, totals, by).where(F.col("_pos") <= F.col("_p"))
-    sums = chosen.groupBy(*by, "replicate").agg(
-        F.first("_p").alias("_p"), F.first("_n").alias("_n"), *[F.sum(f"_rank_{s}").alias(f"_rank_{s}") for s in scores]
+    slim = durable(with_group_totals(rows.select(*by, key, *[f"_rank_{s}" for s in scores]), totals.select(*by, "_p"), by))
+    drawn = hash_draw_sums(
+        _spread(slim, n, *by, key), key, seed, "_p", [f"_rank_{s}" for s in scores], by=[*by, "replicate"], few_groups=not by and n <= 100_000
     )
+    sums = with_group_totals(drawn, totals, by)
     p, q = F.col("_p").cast("double"), (F.col("_n") - F.col("_p")).cast("double")
     value = lambda s: F.when(q > 0, (F.col(f"_rank_{s}") - p * (p + 1) / 2) / (p * q))
     arms = F.explode(F.array(*[F.struct(F.lit(s).alias("arm"), value(s).alias("auroc")) for s in scores]))
