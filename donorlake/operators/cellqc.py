@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from donorlake.functions.scalars import is_mito
 from donorlake.operators.ordering import quantiles, with_group_totals
+from donorlake.session import durable
 
 # QC thresholds, target sums and the token budget.
 MIN_GENES, MAX_GENES, MIN_CELLS, MAX_PCT_MITO = 200, 6000, 3, 20.0
@@ -112,7 +113,9 @@ def highly_variable(dispersion: DataFrame, n_top: int = N_VARIABLE_GENES, bins:
     """Dispersion z-scored inside equal-width bins of the log mean; exactly ``n_top`` genes flagged.
 
     A bin with one gene scores it 1 (its own dispersion is the bin's spread).
+    The gene table is written once, so the counts behind it are read only once.
     """
+    dispersion = durable(dispersion)
     ends = dispersion.agg(F.min("log_mean").alias("_lo"), F.max("log_mean").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     slot = F.ceil(F.try_divide(F.col("log_mean") - F.col("_lo"), width)) - 1
@@ -276,4 +279,4 @@ def run_progress(log: DataFrame, order: str, done: str, seconds: str) -> DataFra
     from donorlake.operators.ordering import running_totals
 
     steps = running_totals(log, order, {"done": F.sum(done), "seconds": F.sum(seconds)})
-    return steps.withColumn("rate", F.try_divide(F.col("cum_done").cast("double"), F.col("cum_seconds")))
+    return steps.drop("total_done", "total_seconds").withColumn("rate", F.try_divide(F.col("cum_done").cast("double"), F.col("cum_seconds")))

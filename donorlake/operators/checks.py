@@ -85,18 +85,17 @@ def counts_by_rule(violations: DataFrame) -> DataFrame:
 # --- leakage ------------------------------------------------------------------
 
 
-def _entity_in_one_split(rows: DataFrame, field: str, split: str) -> DataFrame:
-    value, s = F.trim(F.col(field).cast("string")), F.trim(F.col(split))
-    known = rows.where(~is_missing(field) & (s != "")).groupBy(value.alias(field)).agg(F.min(s).alias("_a"), F.max(s).alias("_b"))
-    return _as_violations(known.where(F.col("_a") != F.col("_b")), f"{field}_in_several_splits", field, F.concat_ws(",", "_a", "_b"))
-
-
 def entity_overlap(rows: DataFrame, fields: Sequence[str] = ("patient_id", "donor_id", "sample_id"), split: str = "split") -> DataFrame:
-    return union_all([_entity_in_one_split(rows, f, split) for f in fields])
+    """Known ids of any listed field with rows in more than one split; all fields in one scan and one shuffle."""
+    s = F.trim(F.col(split))
+    entry = lambda f: F.when(~is_missing(f), F.struct(F.lit(f).alias("field"), F.trim(F.col(f).cast("string")).alias("key")))
+    ids = rows.where(s != "").select(s.alias("_s"), F.explode(F.array_compact(F.array(*[entry(f) for f in fields]))).alias("_e"))
+    ends = ids.groupBy("_e.field", "_e.key").agg(F.min("_s").alias("_a"), F.max("_s").alias("_b")).where(F.col("_a") != F.col("_b"))
+    return ends.select(F.concat("field", F.lit("_in_several_splits")).alias("rule"), "key", F.concat_ws(",", "_a", "_b").alias("detail"))
 
 
 def cell_overlap(rows: DataFrame, split: str = "split") -> DataFrame:
-    return _entity_in_one_split(rows, "cell_id", split)
+    return entity_overlap(rows, ("cell_id",), split)
 
 
 def cell_level_split(rows: DataFrame, key: str = "entity_id", unit: str = "entity_type") -> DataFrame:
@@ -141,7 +140,7 @@ def leakage_checks(rows: DataFrame) -> DataFrame:
     """All leakage checks of a manifest, as one violations table."""
     return union_all(
         [
-            missing_audit_status(rows), cell_level_split(rows), entity_overlap(rows), cell_overlap(rows),
+            missing_audit_status(rows), cell_level_split(rows), entity_overlap(rows, ("patient_id", "donor_id", "sample_id", "cell_id")),
             cohort_contamination(rows), batch_confounding(rows), label_leakage(rows),
         ]
     )

@@ -27,8 +27,7 @@ def auroc(df: DataFrame, score: str = "score", label: str = "label", by: Sequenc
 def _descending(df, score, label, by):
     counts = {"pos": _weighted(label, True, None), "n": F.count(F.lit(1))}
     steps = running_totals(df, score, counts, by, descending=True)
-    totals = df.groupBy(*by).agg(_weighted(label, True, None).alias("n_pos"), F.count(F.lit(1)).alias("n_all"))
-    return with_group_totals(steps, totals, by)
+    return steps.withColumnsRenamed({"total_pos": "n_pos", "total_n": "n_all"})
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
@@ -118,8 +117,7 @@ def reliability(
     elif strategy == "adaptive":
         counts = {"_n": F.count(F.lit(1)), "_y": F.sum(label)}
         steps = running_totals(df, score, counts, by)
-        steps = with_group_totals(steps, df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all")), by)
-        slot = F.floor((F.col("cum__n") - F.col("_n")) * bins / F.col("_all")).cast("int")
+        slot = F.floor((F.col("cum__n") - F.col("_n")) * bins / F.col("total__n")).cast("int")
         rows = steps.withColumn("bin", slot).withColumn("_s", F.col(score) * F.col("_n"))
     else:
         raise ValueError("strategy must be fixed or adaptive")
@@ -154,11 +152,10 @@ def entropy(score: str | Column) -> Column:
 def risk_coverage(df: DataFrame, confidence: str, wrong: str, by: Sequence[str] = ()) -> DataFrame:
     """Error rate among the most confident share, at every distinct confidence."""
     steps = running_totals(df, confidence, {"n": F.count(F.lit(1)), "bad": F.sum(wrong)}, by, descending=True)
-    steps = with_group_totals(steps, df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all")), by)
     return steps.select(
         *by,
         F.col(confidence).alias("confidence"),
-        (F.col("cum_n") / F.col("_all")).alias("coverage"),
+        (F.col("cum_n") / F.col("total_n")).alias("coverage"),
         (F.col("cum_bad") / F.col("cum_n")).alias("risk"),
     )
 

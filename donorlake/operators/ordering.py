@@ -33,9 +33,10 @@ def _prefixes(value: str) -> dict[str, Column]:
     fine = F.floor(mantissa * float(2**31))
     sign = F.signum(x).cast("bigint")
     edge = F.when(F.isnan(x), 2**40).when(a == float("inf"), sign * (2**39)).otherwise(0)
+    # Never NULL, so joins on the prefixes add no filters and all branches share one shuffle of the folded rows.
     return {
-        "_l1": F.when(ok, sign * coarse).otherwise(edge).cast("bigint"),
-        "_l2": F.when(ok, sign * fine).otherwise(0).cast("bigint"),
+        "_l1": F.coalesce(F.when(ok, sign * coarse).otherwise(edge).cast("bigint"), F.lit(0).cast("bigint")),
+        "_l2": F.coalesce(F.when(ok, sign * fine).otherwise(0).cast("bigint"), F.lit(0).cast("bigint")),
     }
 
 
@@ -47,26 +48,32 @@ def tally(df: DataFrame, value: str, measures: Mapping[str, Column], by: Sequenc
 def running_totals(
     df: DataFrame, value: str, measures: Mapping[str, Column], by: Sequence[str] = (), descending: bool = False
 ) -> DataFrame:
-    """Per distinct value: the measures and ``cum_<measure>`` up to and including it."""
+    """Per distinct value: the measures, ``cum_<measure>`` up to and including it, and the group's ``total_<measure>``."""
     by = list(by)
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     cells = tally(df, value, measures, by).withColumns(_prefixes(value))
     blocks = cells.groupBy(*by, *_LEVELS).agg(*[F.sum(m).alias(m) for m in measures])
     tops = blocks.groupBy(*by, "_l1").agg(*[F.sum(m).alias(m) for m in measures])
 
-    def shifted(frame: DataFrame, keys: list[str], along: str, suffix: str) -> DataFrame:
+    def shifted(frame: DataFrame, keys: list[str], along: str, suffix: str, keep: str | None = None) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(order(along)).rowsBetween(Window.unboundedPreceding, -1)
+        kept = [keep + m for m in measures] if keep else []
         return frame.select(
-            *keys, along, *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(m + suffix) for m in measures]
+            *keys, along, *kept, *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(m + suffix) for m in measures]
         )
 
-    top = shifted(tops, by, "_l1", "_top")
+    whole = Window.partitionBy(*by)
+    top = shifted(tops.withColumns({f"total_{m}": F.sum(m).over(whole) for m in measures}), by, "_l1", "_top", "total_")
     mid = shifted(blocks, by + ["_l1"], "_l2", "_mid")
     w = Window.partitionBy(*by, *_LEVELS).orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
     local = cells.withColumns({f"{m}_own": F.sum(m).over(w) for m in measures})
     offsets = mid.join(top, by + ["_l1"])
     return local.join(offsets, by + list(_LEVELS)).select(
-        *by, value, *measures, *[(F.col(f"{m}_own") + F.col(f"{m}_mid") + F.col(f"{m}_top")).alias(f"cum_{m}") for m in measures]
+        *by,
+        value,
+        *measures,
+        *[(F.col(f"{m}_own") + F.col(f"{m}_mid") + F.col(f"{m}_top")).alias(f"cum_{m}") for m in measures],
+        *[f"total_{m}" for m in measures],
     )
 
 
@@ -105,9 +112,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     """Exact quantiles with linear interpolation, one column ``q0``, ``q1``… per probability."""
     by = list(by)
     rows = df.where(F.col(value).isNotNull())
-    totals = running_totals(rows, value, {"n": F.count(F.lit(1))}, by)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    steps = with_group_totals(totals, sizes, by)
+    steps = running_totals(rows, value, {"n": F.count(F.lit(1))}, by).withColumnRenamed("total_n", "_size")
     picks = []
     for i, p in enumerate(probs):
         position = (F.col("_size") - 1) * F.lit(float(p))

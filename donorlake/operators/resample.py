@@ -143,8 +143,7 @@ def holm(tests: DataFrame, p: str = "p_value", name: str = "test", alpha: float
     p-values share the strictest of their thresholds, which decides alike.
     """
     steps = running_totals(tests, p, {"n": F.count(F.lit(1))})
-    m = tests.agg(F.count(F.lit(1)).alias("_m"))
-    steps = with_group_totals(steps, m, []).withColumn("step", F.col("cum_n") - F.col("n") + 1)
+    steps = steps.withColumnRenamed("total_n", "_m").withColumn("step", F.col("cum_n") - F.col("n") + 1)
     steps = steps.withColumn("threshold", F.lit(alpha) / (F.col("_m") - F.col("step") + 1))
     stop = steps.agg(F.min(F.when(F.col(p) > F.col("threshold"), F.col(p))).alias("_stop"))
     judged = with_group_totals(steps, stop, [])

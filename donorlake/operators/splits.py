@@ -90,8 +90,7 @@ def loo_moments(features: DataFrame, value: str = "value", by: Sequence[str] = (
 def loo_median(donors: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Median of everyone else's known values, from at most four central order statistics."""
     known = donors.where(F.col(value).isNotNull())
-    steps = running_totals(known, value, {"n": F.count(F.lit(1))}, by)
-    steps = with_group_totals(steps, known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    steps = running_totals(known, value, {"n": F.count(F.lit(1))}, by).withColumnRenamed("total_n", "_n")
 
     def at(position):
         hit = (F.col("cum_n") - F.col("n") <= position) & (position < F.col("cum_n"))

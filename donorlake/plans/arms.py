@@ -68,9 +68,10 @@ def external_arm(
         groups = groups.unionByName(scored.join(external.select(key, F.col(strata).cast("string").alias("stratum")), key))
     boot = rs.bootstrap_interval(rs.bootstrap_auroc(groups, ["score"], "label", key, n_bootstrap, seed, ["stratum"]), by=["stratum"])
     observed = mt.auroc(groups, by=["stratum"])
-    null = rs.permutation_auroc(scored, ["score"], "label", key, n_permutations, seed).withColumn("stratum", F.lit("all"))
-    p = rs.permutation_summary(null, observed.where(F.col("stratum") == "all"), by=["stratum"]).select("stratum", "p_value", "null_mean", "null_std")
-    return scored, observed.join(boot, "stratum").join(p, "stratum", "left")
+    null = rs.permutation_auroc(scored, ["score"], "label", key, n_permutations, seed)
+    test = rs.permutation_summary(null, mt.auroc(scored), by=[])
+    whole = lambda c: F.when(F.col("stratum") == "all", test.select(c).scalar())
+    return scored, observed.join(boot, "stratum").withColumns({c: whole(c) for c in ("p_value", "null_mean", "null_std")})
 
 
 def co_primary(

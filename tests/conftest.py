@@ -11,7 +11,7 @@ def spark(tmp_path_factory):
     from donorlake.session import build_session
 
     session = build_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="2", spark__driver__memory="4g", spark__ui__showConsoleProgress="false",
+        "tests", "local[4]", spark__sql__shuffle__partitions="2", spark__driver__memory="4g", spark__ui__showConsoleProgress="false", spark__sql__codegen__wholeStage="false",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")),
     )
     session.sparkContext.setLogLevel("ERROR")
