@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -22,19 +23,47 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+class WordTable:
+    """Numbers of words, and for each number one 64-bit value per function in ``values``.
+
+    Kept for words seen before; a table that has grown past ``limit`` starts anew, so its memory is bounded.
+    """
+
+    def __init__(self, *values: Callable[[bytes], int], limit: int = _CACHE_WORDS):
+        self._values, self._limit = values, limit
+        self._start()
+
+    def _start(self) -> None:
+        columns = self._columns = [array("Q") for _ in self._values]
+        values = self._values
+
+        class Known(dict):
+            def __missing__(self, word: bytes) -> int:
+                for column, value in zip(columns, values):
+                    column.append(value(word))
+                self[word] = number = len(self)
+                return number
+
+        self._known = Known()
+
+    def __call__(self, words: Sequence[bytes]) -> np.ndarray:
+        """Numbers of the words, good until the next call."""
+        if len(self._known) > self._limit:
+            self._start()
+        return np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
+
+    def column(self, k: int, numbers: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self._columns[k], np.uint64)[numbers] if len(numbers) else np.empty(0, np.uint64)
+
+
 class WordHashes:
-    """64-bit hashes of the words of a text, kept for words seen before; the memory is bounded."""
+    """64-bit hashes of the words of a text."""
 
-    def __init__(self, seed: int = 0, limit: int = _CACHE_WORDS):
-        self._seed, self._limit, self._known = seed, limit, {}
+    def __init__(self, seed: int = 0):
+        self._table = WordTable(lambda w: xxhash.xxh3_64_intdigest(w, seed))
 
     def __call__(self, words: Sequence[bytes]) -> np.ndarray:
-        known = self._known
-        if len(known) > self._limit:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w, self._seed)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return self._table.column(0, self._table(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

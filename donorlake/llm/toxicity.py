@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from donorlake.llm.text import WordHashes, crc_fold, map_rows, mixed
+from donorlake.llm.text import WordTable, crc_fold, map_rows, mixed
 
 BITS = 22
 STEMS = (4, 5)  # bytes of a word's beginning that count as its stem
@@ -34,12 +35,19 @@ MAX_ROWS = 8_000
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))  # ASCII case and marks
 
 
-def features(words: list[bytes], hashes: WordHashes, bits: int = BITS) -> np.ndarray:
+def hashers() -> WordTable:
+    """Hashes of whole words and of their stems, for one task."""
+    stem = lambda n: lambda w: xxhash.xxh3_64_intdigest(w[:n], n)
+    return WordTable(xxhash.xxh3_64_intdigest, *[stem(n) for n in STEMS])
+
+
+def features(words: list[bytes], hashes: WordTable, bits: int = BITS) -> np.ndarray:
     """Distinct hashed features of a document's words; 0 is the bias."""
-    h = hashes(words)
+    numbers = hashes(words)
+    h, once = hashes.column(0, numbers), np.unique(numbers)
     with np.errstate(over="ignore"):
-        kinds = [h, *[hashes(list({b"^" + w[:n] for w in words})) for n in STEMS], h[:-1] * np.uint64(3) + h[1:] * np.uint64(5), h[:-2] * np.uint64(7) + h[2:] * np.uint64(11)]
-    found = np.unique(np.concatenate([mixed(k) >> np.uint64(64 - bits) for k in kinds]).astype(np.int32))
+        kinds = [h, *[hashes.column(k, once) for k in (1, 2)], h[:-1] * np.uint64(3) + h[1:] * np.uint64(5), h[:-2] * np.uint64(7) + h[2:] * np.uint64(11)]
+        found = np.unique((mixed(np.concatenate(kinds)) >> np.uint64(64 - bits)).astype(np.int32))
     return np.concatenate([np.zeros(1, np.int32), found[found > 0]])
 
 
@@ -48,7 +56,7 @@ def _document_features(docs: DataFrame, columns: list[str], bits: int) -> DataFr
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", idx binary"
 
     def work():
-        hashes = WordHashes()
+        hashes = hashers()
 
         def each(batch: pa.RecordBatch):
             idx = [features(plain_words(t), hashes, bits).tobytes() for t in batch.column(len(columns)).to_pylist()]
@@ -125,7 +133,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = B
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def work():
-        hashes, dense = WordHashes(), np.zeros(1 << bits, np.float32)
+        hashes, dense = hashers(), np.zeros(1 << bits, np.float32)
         dense[shared.value[0]] = shared.value[1]
 
         def each(batch: pa.RecordBatch):
@@ -145,7 +153,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
 
     @F.pandas_udf("boolean")
     def clean(texts):
-        hashes, dense = WordHashes(), np.zeros(1 << BITS, np.float32)
+        hashes, dense = hashers(), np.zeros(1 << BITS, np.float32)
         dense[shared.value[0]] = shared.value[1]
         return texts.map(lambda t: float(dense[features(plain_words(t), hashes)].sum(dtype=np.float64)) < 0.0)
 
