@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from donorlake.llm import bpe, quality, secret_scan, simhash, topk, toxicity
+from donorlake.llm import bpe, quality, recompression, secret_scan, simhash, suffixes, tiling, topk, toxicity
 from donorlake.llm.text import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,10 +46,10 @@ def op3_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["op3_topk"] = """
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored) WHERE rank <= 10"""
@@ -70,3 +70,43 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return tiling.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op6_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.long_repeats(table(spark, sf, "documents"))
+
+
+@query
+def op7_recompression(spark: SparkSession, sf: str) -> DataFrame:
+    return recompression.remove_repeats(table(spark, sf, "documents"))
+
+
+def _repeats_sql(size: int, columns: str) -> str:
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT r, doc_id, s, array_to_string(w[s:s + {size - 1}], ' ') AS g
+  FROM (SELECT *, unnest(generate_series(1, len(w) - {size - 1})) AS s FROM docs WHERE len(w) >= {size})),
+marked AS (SELECT w.r, w.s FROM windows w JOIN (SELECT g, min(doc_id) AS m FROM windows GROUP BY g) USING (g) WHERE w.doc_id > m),
+gone AS (SELECT DISTINCT r, s + o AS p FROM marked, range({size}) AS t(o)),
+words AS (SELECT r, doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM docs),
+kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS k, count(gone.p) AS n,
+    coalesce(list(words.p - 1 ORDER BY words.p) FILTER (gone.p IS NOT NULL), []) AS ps
+  FROM words LEFT JOIN gone USING (r, p) GROUP BY words.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, {columns}, sha256(coalesce(k, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)"""
+
+
+SQL["op7_recompression"] = _repeats_sql(13, "coalesce(n, 0)::BIGINT AS n_removed")
+SQL["op6_suffix_array"] = _repeats_sql(
+    50,
+    """coalesce(n, 0)::BIGINT AS n_repeated, coalesce(array_to_string(list_transform(
+    list_zip(list_filter(ps, lambda x: NOT list_contains(ps, x - 1)), list_filter(ps, lambda x: NOT list_contains(ps, x + 1))),
+    lambda p: p[1]::VARCHAR || ':' || (p[2] + 1)::VARCHAR), ','), '') AS spans""",
+)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -122,11 +122,31 @@ def text_key() -> Column:
     return F.xxhash64("text")
 
 
-def written(df: DataFrame, name: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """Write an intermediate table once to the shared folder and go on from the files (NULL-typed columns not allowed)."""
-    path = scratch(df.sparkSession, name)
-    (df.select(*columns) if columns else df).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table once to the shared folder and go on from the files.
+
+    The shuffles that made it are not needed again, so their files go as soon as it is written.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete intermediate tables made by ``written`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_fold() -> Column:
