@@ -152,3 +152,15 @@ def dropped(*tables: DataFrame) -> None:
 def crc_fold() -> Column:
     """crc32 of doc_id as text, modulo 5; remainder 0 is the held-out part."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+
+
+def hash_sample(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """At most ``n`` rows: those with the smallest hashes of their keys.
+
+    Large tables are first cut to about ``2 n`` rows by the hash alone, so that what meets in one task stays small.
+    """
+    total, order = rows.count(), F.xxhash64(*keys)
+    if total > 4 * n:
+        rows = rows.where(F.shiftrightunsigned(order, 33) < int(2**31 * (2 * n / total)))
+    order = F.shiftrightunsigned(order, 33)
+    return rows.orderBy(order, *keys).limit(n)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from donorlake.llm.text import WordTable, crc_fold, map_rows, mixed
+from donorlake.llm.text import WordTable, crc_fold, hash_sample, map_rows, mixed
 
 BITS = 22
 STEMS = (4, 5)  # bytes of a word's beginning that count as its stem
@@ -111,7 +111,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     """``doc_id, text, y`` of the training rows with the smallest hashes, ``max_rows`` at most."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(crc_fold() != 0)
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
+    picked = hash_sample(known, ["doc_id", "y"], max_rows)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # max_rows pairs of numbers
 
 
