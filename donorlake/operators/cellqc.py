@@ -41,7 +41,7 @@ def mito_summary(genes: DataFrame, flag: str = "is_mito") -> DataFrame:
 
 def cell_metrics(sums: DataFrame, genes: DataFrame, flag: str = "is_mito") -> DataFrame:
     """Detected genes, total counts and mitochondrial percentage of every cell with counts."""
-    rows = sums.join(genes.select("gene_id", flag), "gene_id")
+    rows = sums.join(genes.select("gene_id", flag), "gene_id", "left")  # a gene that the table lacks counts, but not as mitochondrial
     m = rows.groupBy("cell_id").agg(
         F.count_if(F.col("value") > 0).alias("n_genes_by_counts"), F.sum("value").alias("total_counts"),
         F.coalesce(F.sum(F.when(F.col(flag), F.col("value"))), F.lit(0.0)).alias("_mt"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from donorlake.functions.scalars import CLINICAL_STATUSES, donor_id, donor_status, parse_age, sanitize
+from donorlake.operators.ordering import with_group_totals
 
 # Fixed value: the category of a donor whose cells disagree.
 MIXED = "__mixed_within_patient__"
@@ -82,14 +83,18 @@ def composition(cells: DataFrame, donor: str = "donor_id", cell_type: str = "cel
 
 
 def composition_wide(cells: DataFrame, types: Sequence[str], donor: str = "donor_id", cell_type: str = "cell_type") -> DataFrame:
-    """One ``cell_type_prop_<name>`` column per given type, zeros filled, plus ``n_cells``; one aggregate."""
+    """One ``cell_type_prop_<name>`` column per given type, zeros filled, plus ``n_cells``; one aggregate. A type that
+    isn't listed, or NULL, fails: without it the shares wouldn't add up to 1."""
     import re
 
     def column(t: str) -> str:
         return "cell_type_prop_" + (re.sub("[^0-9a-z]+", "_", t.strip().lower()).strip("_") or "unknown")
 
     shares = [(F.count_if(F.col(cell_type) == t) / F.count(F.lit(1))).alias(column(t)) for t in types]
-    return cells.groupBy(donor).agg(F.count(F.lit(1)).alias("n_cells"), *shares)
+    listed = F.coalesce(F.col(cell_type).isin(*types), F.lit(False))
+    message = F.concat(F.lit("cell type not listed: "), F.coalesce(F.max(F.when(~listed, F.col(cell_type))), F.lit("NULL")))
+    n = F.when(F.count_if(~listed) == 0, F.count(F.lit(1))).otherwise(F.raise_error(message).cast("bigint"))
+    return cells.groupBy(donor).agg(n.alias("n_cells"), *shares)
 
 
 def composition_feature_names(shares: DataFrame, cell_type: str = "cell_type") -> DataFrame:
@@ -105,19 +110,26 @@ def log_ratios(shares: DataFrame, donor: str = "donor_id", fraction: str = "frac
 
 
 def donor_metadata(cells: DataFrame, donor: str = "donor_id", case_disease: str = "systemic lupus erythematosus") -> DataFrame:
-    """Donor record: distinct stages, parsed age, ambiguity flag, eligibility, 0/1 label, cell count."""
+    """Donor record: distinct stages, parsed age, ambiguity flag, eligibility, 0/1 label, cell count.
+
+    Disease, sex or ethnicity that differ within a donor fail. Several stages make the age ambiguous and the donor
+    ineligible; one stage that names no age leaves the age NULL and the donor eligible.
+    """
     stage = F.col("development_stage").cast("string")
     ages = cells.withColumn("_age", parse_age(stage))
+
+    def invariant(c: str):
+        message = F.concat(F.lit(f"{c} differs within donor "), F.first(donor).cast("string"))
+        return F.when(F.min(c) != F.max(c), F.raise_error(message).cast("string")).otherwise(F.min(c))
+
     rows = ages.groupBy(donor).agg(
-        F.min("disease").alias("disease"),
-        F.min("sex").alias("sex"),
-        F.min("self_reported_ethnicity").alias("self_reported_ethnicity"),
+        *[invariant(c).alias(c) for c in ("disease", "sex", "self_reported_ethnicity")],
         F.array_join(F.array_sort(F.collect_set(stage)), ";").alias("development_stage_raw"),
         (F.min(stage) != F.max(stage)).alias("_many"),
         F.min("_age").alias("_age"),
         F.count(F.lit(1)).alias("n_cells"),
     )
-    flag = F.when(F.col("_many"), "age_ambiguous").when(F.col("_age").isNull(), "age_unparsed").otherwise("ok")
+    flag = F.when(F.col("_many"), "age_ambiguous").otherwise("ok")
     return rows.select(
         donor,
         "disease",
@@ -145,12 +157,15 @@ def patient_summary(cells: DataFrame, donor: str, group: str, score: str, cell_t
     return types.join(groups, donor).join(scores, donor, "left")
 
 
-def mean_pool(vectors: DataFrame, donor: str = "donor_id", vector: str = "embedding", min_cells: int = 1) -> DataFrame:
-    """Mean vector per donor with map-side partial sums; differing sizes fail inside the aggregate."""
+def mean_pool(vectors: DataFrame, donor: str = "donor_id", vector: str = "embedding", min_cells: int = 1, cell: str = "cell_id") -> DataFrame:
+    """Mean vector per donor with map-side partial sums. Differing sizes and a cell id that repeats fail."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     pooled = vectors.groupBy(donor).agg(
         F.count(F.lit(1)).alias("n_cells"), Summarizer.mean(array_to_vector(v)).alias("_mean")
     )
+    repeats = vectors.groupBy(cell).agg(F.count(F.lit(1)).alias("_r")).agg(F.max("_r").alias("_most"))
+    once = F.when(F.coalesce("_most", F.lit(1)) == 1, F.col("n_cells")).otherwise(F.raise_error(F.lit("a cell id repeats")).cast("bigint"))
+    pooled = with_group_totals(pooled, repeats, []).withColumn("n_cells", once)
     if min_cells > 1:
         message = F.concat(F.lit("too few cells for donor "), F.col(donor).cast("string"))
         n = F.when(F.col("n_cells") >= min_cells, F.col("n_cells")).otherwise(F.raise_error(message).cast("bigint"))

@@ -52,6 +52,7 @@ class Fitted:
     n_train: np.ndarray
     n_cases: np.ndarray
     iterations: int = 0
+    converged: np.ndarray | None = None  # per fit; a fit whose training rows have one class has no weights and counts as done
     fill: np.ndarray | None = field(default=None)
 
 
@@ -158,6 +159,7 @@ def fit_logistic(
     fill: np.ndarray | None = None,
     tolerance: float = 1e-10,
     max_iter: int = 60,
+    on_unconverged: str = "fail",
 ) -> Fitted:
     """Minimise ½‖w‖² + C·Σ loss with a free intercept for every fit.
 
@@ -166,12 +168,11 @@ def fit_logistic(
     feature that is constant in training gets scale infinity, so its weight and
     its contribution are exactly 0. ``scaled`` switches that off per column. NaN features
     take the fit's ``fill`` values. ``balanced`` weighs classes by n / (2·n_class).
+    Fits that haven't converged after ``max_iter`` steps fail, or are told apart by ``converged`` with ``keep``.
     """
     fits = list(fits)
     p = size
     width = 1 + (p + 1) + (p + 1) * (p + 2) // 2
-    if width > MAX_STATE or len(fits) * (p + 1) > MAX_STATE:
-        raise ValueError(f"{len(fits)} fits of {p} features exceed the state bound")
     per_pass = max(1, MAX_STATE // width)
     spark = rows.sparkSession
     # Fits that differ in C only share their training rows and thus their moments.
@@ -248,13 +249,21 @@ def fit_logistic(
                     w[i] = (w[i] + good[i]) / 2.0
                     continue
                 good[i], good_loss[i] = w[i].copy(), loss
-                if np.abs(step).max() <= tolerance * max(1.0, np.abs(w[i]).max()) or rounds == max_iter:
+                if np.abs(step).max() <= tolerance * max(1.0, np.abs(w[i]).max()):
                     active[i] = False
                 else:
                     w[i] = w[i] + step
             state.unpersist()
+    if active.any() and on_unconverged == "fail":
+        raise RuntimeError(f"{int(active.sum())} of {len(fits)} fits have not converged after {max_iter} steps")
     good[one_class] = np.nan
-    return Fitted(fits, mean[fit_side], scale[fit_side], good, n[fit_side].astype(int), cases[fit_side].astype(int), rounds, fill)
+    return Fitted(fits, mean[fit_side], scale[fit_side], good, n[fit_side].astype(int), cases[fit_side].astype(int), rounds, ~active, fill)
+
+
+def _passes(n: int, p: int) -> list[range]:
+    """Fits in groups whose coefficients a driver and a task can hold."""
+    size = max(1, MAX_STATE // (p + 1))
+    return [range(start, min(n, start + size)) for start in range(0, n, size)]
 
 
 def score_fits(rows: DataFrame, fitted: Fitted, keep: Sequence[str] = ("donor_id",), everyone: bool = False) -> DataFrame:
@@ -338,7 +347,7 @@ def nested_cv(
     else:
         search = [Fit(r, ((0, o), (1 + o, i)), c) for r in reps for o in range(outer) for i in range(inner) for c in c_grid]
         fitted = fit_logistic(rows, search, size, balanced)
-        scored = score_fits(rows, fitted, [key])
+        scored = score_fits(rows, fitted, [key]).where("score IS NOT NULL")  # a fold with one class has no fit
         per_fit = auroc(scored, by=["fit"]).select("fit", "auroc").toPandas().set_index("fit")["auroc"]
         table = pd.DataFrame([(f.rep, f.out[0][1], f.c) for f in search], columns=["rep", "fold", "c"])
         table["auroc"] = [per_fit.get(i) for i in range(len(search))]
@@ -382,19 +391,18 @@ def repeated_summary(aurocs: DataFrame, by: Sequence[str] = ("arm",)) -> DataFra
 
 def loocv(
     donors: DataFrame, c: float = 0.1, key: str = "donor_id", label: str = "label", balanced: bool = True,
-    scaled: Sequence[bool] | None = None, fills: DataFrame | None = None, max_donors: int = 5_000,
+    scaled: Sequence[bool] | None = None, fills: DataFrame | None = None,
 ) -> DataFrame:
     """Leave-one-out scores with a refit per donor.
 
-    Refitting every donor is quadratic by definition, so the number of donors is
-    checked; beyond it use k folds. ``fills`` gives each held-out donor the
+    Refitting every donor is quadratic by definition. The refits run in passes
+    over the held-out donors whose coefficients fit in memory; the scores of a
+    pass are written before the next one starts. ``fills`` gives each held-out donor the
     training imputation vector (``fill array<double>``) of its own fold.
     """
     from donorlake.operators.splits import leave_one_out
 
     n = donors.count()
-    if n > max_donors:
-        raise ValueError(f"{n} donors exceed max_donors={max_donors} for leave-one-out refits")
     if n < 3:
         raise ValueError("leave-one-out needs at least three donors")
     ranked = leave_one_out(donors.withColumn("label", F.col(label).cast("int")), key)
@@ -402,21 +410,24 @@ def loocv(
     rows = ranked.withColumns({"rep": F.lit(0), "folds": F.array(fold)})
     placed = _place(rows, key)
     size = placed.select(F.max(F.size("features"))).head()[0]
-    fill = None
-    if fills is not None:
-        per_fold = placed.join(fills, key).select(F.col("folds")[0].alias("f"), "fill")
-        fill = np.zeros((n, size))
-        for row in per_fold.toLocalIterator():
-            fill[row["f"]] = row["fill"]
-    fitted = fit_logistic(placed, [Fit(0, ((0, i),), c) for i in range(n)], size, balanced, scaled, fill)
-    if np.isnan(fitted.weights).any():
-        raise ValueError("a fold has only one class in training")
-    spark = donors.sparkSession
-    sizes = spark.createDataFrame(
-        [(i, int(t), int(k), int(t - k)) for i, (t, k) in enumerate(zip(fitted.n_train, fitted.n_cases))],
-        "fit int, n_train int, n_train_cases int, n_train_controls int",
-    )
-    scored = score_fits(placed, fitted, [key]).join(sizes, "fit")
+    per_fold = None if fills is None else placed.join(fills, key).select(F.col("folds")[0].alias("f"), "fill")
+    spark, parts = donors.sparkSession, []
+    for held in _passes(n, size):
+        fill = None
+        if per_fold is not None:
+            fill = np.zeros((len(held), size))
+            for row in per_fold.where(F.col("f").between(held.start, held.stop - 1)).toLocalIterator():
+                fill[row["f"] - held.start] = row["fill"]
+        fitted = fit_logistic(placed, [Fit(0, ((0, i),), c) for i in held], size, balanced, scaled, fill)
+        if np.isnan(fitted.weights).any():
+            raise ValueError("a fold has only one class in training")
+        sizes = spark.createDataFrame(
+            [(i, held[i], int(t), int(k), int(t - k)) for i, (t, k) in enumerate(zip(fitted.n_train, fitted.n_cases))],
+            "fit int, _fold int, n_train int, n_train_cases int, n_train_controls int",
+        )
+        part = score_fits(placed, fitted, [key]).join(sizes, "fit").drop("fit").withColumnRenamed("_fold", "fit")
+        parts.append(durable(part) if held.stop < n else part)
+    scored = union_all(parts)
     number = (F.col("fit") + 1).cast("string")
     padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
     return scored.select(
@@ -449,12 +460,10 @@ def permutation_refit(donors: DataFrame, n: int, seed: int, key: str = "donor_id
     return union_all(frames)
 
 
-def permutation_loocv(donors: DataFrame, n: int, seed: int, c: float = 0.1, key: str = "donor_id", label: str = "label", max_fits: int = 100_000) -> DataFrame:
+def permutation_loocv(donors: DataFrame, n: int, seed: int, c: float = 0.1, key: str = "donor_id", label: str = "label") -> DataFrame:
     """Permutation control with a full leave-one-out refit per replicate; a replicate in which a training side has one
     class is reported as skipped instead of scored."""
     size_n = donors.count()
-    if size_n * n > max_fits:
-        raise ValueError(f"{size_n}×{n} leave-one-out refits exceed max_fits={max_fits}")
     from donorlake.operators.splits import leave_one_out
 
     ranked = leave_one_out(donors, key)
@@ -462,12 +471,17 @@ def permutation_loocv(donors: DataFrame, n: int, seed: int, c: float = 0.1, key:
     rows = shuffled_labels(ranked.withColumn("folds", F.array(fold)).drop("fold_id"), n, seed, key, label)
     placed = _place(rows.withColumn("label", F.col(label).cast("int")), key)
     size = placed.select(F.max(F.size("features"))).head()[0]
-    fits = [Fit(r, ((0, i),), c) for r in range(n) for i in range(size_n)]
-    fitted = fit_logistic(placed, fits, size, balanced=True)
-    bad = sorted({f.rep for f, w in zip(fits, fitted.weights) if np.isnan(w).any()})
-    scored = score_fits(placed, fitted, [key])
+    bad, parts = set(), []
+    for part in _passes(n * size_n, size):
+        fits = [Fit(k // size_n, ((0, k % size_n),), c) for k in part]
+        fitted = fit_logistic(placed, fits, size, balanced=True)
+        bad |= {f.rep for f, w in zip(fits, fitted.weights) if np.isnan(w).any()}
+        scored = score_fits(placed, fitted, [key]).where("score IS NOT NULL")
+        parts.append(durable(scored) if part.stop < n * size_n else scored)
     skipped = F.col("rep").isin(*bad) if bad else F.lit(False)
-    out = auroc(scored, by=["rep"]).select(F.col("rep").alias("replicate"), F.when(~skipped, F.col("auroc")).alias("auroc"))
+    found = auroc(union_all(parts), by=["rep"]).select("rep", F.when(~skipped, F.col("auroc")).alias("auroc"))
+    everyone = placed.select("rep").distinct()  # a replicate without a single fit is reported too
+    out = everyone.join(found, "rep", "left").withColumnRenamed("rep", "replicate")
     return out.withColumn("status", F.when(F.col("auroc").isNull(), "skipped_one_class_fold").otherwise("valid"))
 
 
@@ -631,9 +645,9 @@ def one_hot(roles: DataFrame, field: str) -> DataFrame:
 # --- nearest centroid -------------------------------------------------------------
 
 
-def fit_centroids(train: DataFrame, label: str = "label", vector: str = "features") -> DataFrame:
+def fit_centroids(train: DataFrame, label: str = "label", vector: str = "features", key: str = "donor_id") -> DataFrame:
     """Mean training vector per label."""
-    return mean_pool(train, label, vector).select(F.col(label), F.col("n_cells").alias("n_train"), F.col(vector).alias("centroid"))
+    return mean_pool(train, label, vector, cell=key).select(F.col(label), F.col("n_cells").alias("n_train"), F.col(vector).alias("centroid"))
 
 
 def predict_centroids(model: DataFrame, rows: DataFrame, positive, label: str = "label", vector: str = "features") -> DataFrame:

@@ -23,7 +23,7 @@ _LEVELS = ("_l1", "_l2")
 
 
 def _prefixes(value: str) -> dict[str, Column]:
-    """Two monotone integer prefixes of a number (NULL and NaN sort like Spark does)."""
+    """Two monotone integer prefixes of a number (NaN sorts like Spark does: last)."""
     x = F.col(value).cast("double")
     a = F.abs(x)
     exponent = F.floor(F.log2(a))
@@ -40,9 +40,16 @@ def _prefixes(value: str) -> dict[str, Column]:
     }
 
 
+def required(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows of ``df``; a NULL in one of the columns fails instead of vanishing or being ranked."""
+    kinds = dict(df.dtypes)
+    message = lambda c: F.raise_error(F.lit(f"NULL in {c}, which must be known here")).cast(kinds[c])
+    return df.withColumns({c: F.coalesce(F.col(c), message(c)) for c in columns if df.schema[c].nullable})
+
+
 def tally(df: DataFrame, value: str, measures: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
-    """Fold rows to one per (group, distinct value) with additive measures."""
-    return df.groupBy(*by, value).agg(*[m.alias(name) for name, m in measures.items()])
+    """Fold rows to one per (group, distinct value) with additive measures. A NULL value has no rank, so it fails."""
+    return required(df, [value]).groupBy(*by, value).agg(*[m.alias(name) for name, m in measures.items()])
 
 
 def running_totals(
@@ -139,35 +146,38 @@ def with_group_totals(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> Da
 def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), name: str = "hash_rank") -> DataFrame:
     """1-based position of every row in a seeded shuffle of its group.
 
-    The first three hex digits of the digest cut a group into 4,096 even
-    slices; each slice is numbered on its own and slice sizes give the offsets.
+    Hex digits of the digest cut a group into 256 even slices, each of those into 4,096 and each of those into 4,096
+    again: the windows run over slice sizes and over single slices (a group of 10^13 rows has some 2,300 in each). A
+    NULL key or group fails.
     """
     by = list(by)
-    rows = df.withColumn("_digest", digest(seed, *by, key)).withColumn("_slice", F.substring("_digest", 1, 3))
-    sizes = rows.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, "_slice").orderBy("_digest", key)
-    ranked = rows.withColumn("_own", F.row_number().over(inside))
-    return (
-        ranked.join(offsets, by + ["_slice"])
-        .withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint"))
-        .drop("_digest", "_slice", "_own", "_before")
-    )
+    rows = required(df, [*by, key]).withColumn("_digest", digest(seed, *by, key))
+    rows = rows.withColumns({"_a": F.substring("_digest", 1, 2), "_b": F.substring("_digest", 3, 3), "_slice": F.substring("_digest", 6, 3)})
+    levels, offsets = ["_a", "_b", "_slice"], None
+    sizes = rows.groupBy(*by, *levels).agg(F.count(F.lit(1)).alias("_n"))
+    for depth in range(3):
+        keys = by + levels[:depth]
+        here = sizes.groupBy(*keys, levels[depth]).agg(F.sum("_n").alias("_n")) if depth < 2 else sizes
+        before = Window.partitionBy(*keys).orderBy(levels[depth]).rowsBetween(Window.unboundedPreceding, -1)
+        step = here.select(*keys, levels[depth], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_before{depth}"))
+        offsets = step if offsets is None else step.join(offsets, keys)
+    inside = Window.partitionBy(*by, *levels).orderBy("_digest", key)
+    ranked = rows.withColumn("_own", F.row_number().over(inside)).join(offsets, by + levels)
+    total = F.col("_own") + F.col("_before0") + F.col("_before1") + F.col("_before2")
+    return ranked.withColumn(name, total.cast("bigint")).drop("_digest", *levels, "_own", "_before0", "_before1", "_before2")
 
 
 def hash_draw_sums(
-    df: DataFrame, key: str, seed: int, quota: str, measures: Sequence[str], by: Sequence[str] = (), few_groups: bool = False
+    df: DataFrame, key: str, seed: int, quota: str, measures: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Sums over the first ``quota`` rows of each group's seeded shuffle (the order of ``hash_rank``).
 
     A group has 256 slices here. Whole slices are added as partial aggregates. Only the slice in which a
     group's quota ends is looked at row by row, so the rows themselves are not
-    ranked. ``few_groups`` says that the number of groups is a small parameter
-    (replicates), which bounds the table of cut slices: one row per group.
+    ranked. A NULL key or group fails.
     """
     by = list(by)
-    rows = df.withColumn("_digest", digest(seed, *by, key)).withColumn("_slice", F.substring("_digest", 1, 2))
+    rows = required(df, [*by, key]).withColumn("_digest", digest(seed, *by, key)).withColumn("_slice", F.substring("_digest", 1, 2))
     slices = rows.groupBy(*by, "_slice").agg(
         F.count(F.lit(1)).alias("_n"), F.max(quota).alias("_quota"), *[F.sum(m).alias(m) for m in measures]
     )
@@ -179,7 +189,7 @@ def hash_draw_sums(
         *by, "_slice", (F.col("_quota") - F.col("_before")).alias("_take")
     )
     inside = Window.partitionBy(*by, "_slice").orderBy("_digest", key)
-    edge = rows.join(F.broadcast(cut) if few_groups else cut, by + ["_slice"]).withColumn("_own", F.row_number().over(inside))
+    edge = rows.join(cut, by + ["_slice"]).withColumn("_own", F.row_number().over(inside))
     taken = whole.unionByName(edge.where(F.col("_own") <= F.col("_take")).select(*by, *measures))
     return taken.groupBy(*by).agg(*[F.sum(m).alias(m) for m in measures])
 

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from donorlake.functions.hashing import draw
-from donorlake.functions.scalars import is_finite
 from donorlake.operators.metrics import auroc
 from donorlake.operators.ordering import global_rank, hash_draw_sums, hash_rank, mid_ranks, running_totals, union_all, with_group_totals
 from donorlake.session import durable, task_slots
@@ -89,11 +88,12 @@ def permutation_auroc(
     totals = df.groupBy(*by).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_n"))
     slim = durable(with_group_totals(rows.select(*by, key, *[f"_rank_{s}" for s in scores]), totals.select(*by, "_p"), by))
     drawn = hash_draw_sums(
-        _spread(slim, n, *by, key), key, seed, "_p", [f"_rank_{s}" for s in scores], by=[*by, "replicate"], few_groups=not by and n <= 100_000
+        _spread(slim, n, *by, key), key, seed, "_p", [f"_rank_{s}" for s in scores], by=[*by, "replicate"]
     )
-    sums = with_group_totals(drawn, totals, by)
+    # Every stratum has all its replicates, also one without positives, which draws no rows.
+    sums = totals.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(drawn, [*by, "replicate"], "left")
     p, q = F.col("_p").cast("double"), (F.col("_n") - F.col("_p")).cast("double")
-    value = lambda s: F.when(q > 0, (F.col(f"_rank_{s}") - p * (p + 1) / 2) / (p * q))
+    value = lambda s: F.when((p > 0) & (q > 0), (F.col(f"_rank_{s}") - p * (p + 1) / 2) / (p * q))
     arms = F.explode(F.array(*[F.struct(F.lit(s).alias("arm"), value(s).alias("auroc")) for s in scores]))
     return sums.select(*by, "replicate", arms.alias("_a")).select(*by, "replicate", "_a.*")
 
@@ -164,23 +164,26 @@ def decide(intervals: DataFrame, tests: DataFrame, name: str = "test") -> DataFr
 
 
 def matched_sets(
-    targets: DataFrame, universe: DataFrame, plans: Sequence[str], k: int, seed: int, plan: str = "plan_id", gene: str = "gene_id"
+    targets: DataFrame, universe: DataFrame, k: int, seed: int, plan: str = "plan_id", gene: str = "gene_id"
 ) -> DataFrame:
     """k random gene sets per plan, as large as the plan's target set and disjoint from it.
 
-    ``plans`` is the (short) list of plan names; a plan whose remaining universe is too small fails.
+    The plans are those of ``targets``; a plan whose remaining universe is too small fails.
     """
     sizes = targets.select(plan, gene).distinct().groupBy(plan).agg(F.count(F.lit(1)).alias("_size"))
-    names = F.explode(F.array(*[F.lit(p) for p in plans]))
-    pool = universe.select(gene).distinct().withColumn(plan, names)
+    names = sizes.agg(F.collect_list(plan).alias("_plans"))
+    pool = with_group_totals(universe.select(gene).distinct(), names, []).select(gene, F.explode("_plans").alias(plan))
     pool = pool.join(targets.select(plan, gene), [plan, gene], "left_anti")
     spread = pool.withColumn("control_index", F.explode(F.sequence(F.lit(1), F.lit(k))))
     ranked = hash_rank(spread, gene, seed, by=[plan, "control_index"], name="_pos").join(sizes, plan)
     chosen = ranked.where(F.col("_pos") <= F.col("_size"))
-    enough = chosen.groupBy(plan, "control_index").agg(F.count(F.lit(1)).alias("_got"))
-    message = F.concat(F.lit("gene universe too small for "), F.col(plan))
+    got = chosen.groupBy(plan, "control_index").agg(F.count(F.lit(1)).alias("_got"))
+    wanted = sizes.withColumn("control_index", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    message = F.concat(F.lit("gene universe too small for "), F.col(plan).cast("string"))
     full = F.when(F.col("_got") == F.col("_size"), True).otherwise(F.raise_error(message).cast("boolean"))
-    return chosen.join(enough, [plan, "control_index"]).where(full).select(plan, "control_index", gene)
+    enough = wanted.join(got, [plan, "control_index"], "left").select(plan, "control_index", full.alias("_full"))
+    # A left join: a set that has no genes at all must fail too, not vanish.
+    return enough.join(chosen.select(plan, "control_index", gene), [plan, "control_index"], "left").where("_full").select(plan, "control_index", gene)
 
 
 def control_summary(shifts: DataFrame, plan: str = "plan_id", value: str = "score_shift", is_target: str = "is_target") -> DataFrame:
@@ -208,9 +211,3 @@ def score_shift(baseline: DataFrame, perturbed: DataFrame, key: str = "donor_id"
         {"abs_score_shift": F.abs(F.col("score_shift")), "direction": direction("score_shift")}
     )
 
-
-def finite_scores(df: DataFrame, score: str) -> DataFrame:
-    return df.where(is_finite(score))
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "union_all")]

@@ -69,7 +69,8 @@ def loo_class_counts(donors: DataFrame, label: str = "label", by: Sequence[str]
 
 
 def loo_moments(features: DataFrame, value: str = "value", by: Sequence[str] = ("feature_id",)) -> DataFrame:
-    """Training mean and population sd of each donor's fold; an sd of 0 becomes divisor 1.
+    """Training mean and population sd of each donor's fold; an sd of 0 becomes divisor 1. A feature that only one row
+    has leaves nothing to train on: both are NULL.
 
     Sums are centred on the overall mean first, which keeps the subtraction well conditioned.
     """
@@ -79,11 +80,11 @@ def loo_moments(features: DataFrame, value: str = "value", by: Sequence[str] = (
         F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_s"), F.sum(F.col("_d") * F.col("_d")).alias("_q")
     )
     m = F.col("_n") - 1
-    shift = (F.col("_s") - F.col("_d")) / m
-    var = F.greatest((F.col("_q") - F.col("_d") * F.col("_d")) / m - shift * shift, F.lit(0.0))
+    shift = F.try_divide(F.col("_s") - F.col("_d"), m)
+    var = F.greatest(F.try_divide(F.col("_q") - F.col("_d") * F.col("_d"), m) - shift * shift, F.lit(0.0))
     sd = F.sqrt(F.when(var > 1e-18 * F.greatest(F.col("_q") / F.col("_n"), F.lit(1e-300)), var).otherwise(0.0))
     return with_group_totals(rows, totals, by).withColumns(
-        {"train_mean": F.col("_c") + shift, "train_sd": F.when(sd > 0, sd).otherwise(F.lit(1.0))}
+        {"train_mean": F.col("_c") + shift, "train_sd": F.when(m > 0, F.when(sd > 0, sd).otherwise(F.lit(1.0)))}
     ).drop("_c", "_d", "_n", "_s", "_q")
 
 

@@ -197,8 +197,8 @@ def donor_feature_arrays(spark, sf):
     ),
 )
 def mean_pooled_vectors(spark, sf):
-    v = table(spark, sf, "embeddings").select(F.col("label").alias("donor_id"), "embedding")
-    flat = dn.mean_pool(v).select("donor_id", "n_cells", F.posexplode("embedding").alias("pos", "value"))
+    v = table(spark, sf, "embeddings").select(F.col("label").alias("donor_id"), "embedding", "vec_id")
+    flat = dn.mean_pool(v, cell="vec_id").select("donor_id", "n_cells", F.posexplode("embedding").alias("pos", "value"))
     return rounded(flat.withColumn("pos", F.col("pos").cast("bigint")))
 
 
@@ -336,11 +336,12 @@ def collapse_fields(spark, sf):
         ELSE (20 + c_nationkey)::VARCHAR || '-year-old stage' END AS stage
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey),
     g AS (SELECT donor_id, min(disease) AS disease, min(sex) AS sex, min(eth) AS self_reported_ethnicity, count(DISTINCT stage) AS k, min(stage) AS s0,
+      count(DISTINCT sex) > 1 AS many_sex, count(DISTINCT disease) > 1 AS many_disease, count(DISTINCT eth) > 1 AS many_eth,
       array_to_string(list_sort(list_distinct(list(stage))), ';') AS development_stage_raw, count(*) AS n_cells FROM c GROUP BY donor_id),
     a AS (SELECT *, CASE WHEN k > 1 THEN NULL ELSE TRY_CAST(nullif(regexp_extract(s0, '^([0-9]+)-year-old stage$', 1), '') AS INTEGER) END AS age FROM g)
     SELECT donor_id, disease, (disease = 'BUILDING')::INTEGER AS sle_label, sex, self_reported_ethnicity, age::DOUBLE AS age,
-      CASE WHEN k > 1 THEN 'age_ambiguous' WHEN age IS NULL THEN 'age_unparsed' ELSE 'ok' END AS age_flag,
-      (k = 1 AND age IS NOT NULL) AS metadata_arm_eligible, development_stage_raw, n_cells FROM a""",
+      CASE WHEN k > 1 THEN 'age_ambiguous' ELSE 'ok' END AS age_flag,
+      k = 1 AND (SELECT count(*) = 0 FROM g WHERE many_sex OR many_disease OR many_eth) AS metadata_arm_eligible, development_stage_raw, n_cells FROM a""",
 )
 def donor_metadata(spark, sf):
     o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
@@ -555,7 +556,7 @@ def missing_tests(spark, sf):
 )
 def centre_distances(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    centre = dn.mean_pool(v, "label").select("label", F.col("embedding").alias("centre"))
+    centre = dn.mean_pool(v, "label", cell="vec_id").select("label", F.col("embedding").alias("centre"))
     d = v.join(centre, "label").select("vec_id", sc.euclidean("embedding", "centre").alias("distance"))
     return rounded(d.withColumn("inverse", sc.inverse_distance("distance")))
 

@@ -34,10 +34,8 @@ def build_session(app: str = "donorlake", master: str | None = None, **conf: str
 
 
 def task_slots(spark: SparkSession) -> int:
-    """Tasks to deal a small input to before it is multiplied: the shuffle setting, or one per core while that setting
-    is Spark's untouched default."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spark.sparkContext.defaultParallelism if partitions == 200 else partitions
+    """Tasks to deal a small input to before it is multiplied: the shuffle setting."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _shared_folder(spark: SparkSession) -> str:

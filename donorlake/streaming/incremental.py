@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-PARTIALS = "donor_id string, gene_id string, value double, batch_id bigint"
 
-
-def stream_counts(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1) -> DataFrame:
-    """Parquet chunks of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def stream_counts(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
+    """Parquet chunks of a folder as a stream; without ``files_per_batch`` a micro-batch takes all files that are there."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
 
 
 def stream_pseudobulk(counts: DataFrame, cells: DataFrame | None = None, donor: str = "donor_id", gene: str = "gene_id") -> DataFrame:

@@ -7,6 +7,7 @@ from donorlake.operators import catalogs as cat
 from donorlake.operators import cellqc as qc
 from donorlake.operators import donors as dn
 from donorlake.operators import pseudobulk as pb
+from donorlake.operators import splits as sp
 
 CELLS = "cell_id string, donor_id string, cell_type string"
 COUNTS = "cell_id string, gene_id string, value double"
@@ -107,7 +108,11 @@ def test_donor_metadata(spark):
     assert got["1004"]["age"] == 39 and got["1004"]["sle_label"] == 1 and got["1004"]["metadata_arm_eligible"]
     assert got["1130"]["age"] is None and got["1130"]["age_flag"] == "age_ambiguous" and not got["1130"]["metadata_arm_eligible"]
     assert got["1130"]["development_stage_raw"] == "27-year-old stage;29-year-old stage"
-    assert got["7"]["age_flag"] == "age_unparsed"
+    assert got["7"]["age"] is None and got["7"]["age_flag"] == "ok" and got["7"]["metadata_arm_eligible"]
+    for column in ("disease", "sex", "self_reported_ethnicity"):
+        torn = cells.where("donor_id = '7'").unionByName(cells.where("donor_id = '7'").withColumn(column, F.lit("other")))
+        with pytest.raises(PySparkException, match=f"{column} differs within donor 7"):
+            dn.donor_metadata(torn).collect()
 
 
 def test_patient_summary(spark):
@@ -267,3 +272,16 @@ def test_balanced_batches(spark):
     df = spark.createDataFrame([(f"d{i:02d}", 100 - i) for i in range(16)], "donor_id string, n_cells int")
     loads = qc.balanced_batches(df, 4).groupBy("batch").agg(F.sum("n_cells").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     assert {r["n"] for r in loads} == {4} and max(r["s"] for r in loads) - min(r["s"] for r in loads) == 0
+
+
+def test_rows_that_used_to_vanish(spark):
+    v = spark.createDataFrame([("a", "1", [1.0]), ("a", "1", [3.0])], "donor_id string, cell_id string, embedding array<double>")
+    with pytest.raises(PySparkException, match="repeats"):
+        dn.mean_pool(v).collect()
+    with pytest.raises(PySparkException, match="not listed"):
+        dn.composition_wide(spark.createDataFrame([("a", "T"), ("a", "X")], "donor_id string, cell_type string"), ["T"]).collect()
+    sums = spark.createDataFrame([("c", "g1", 5.0), ("c", "g9", 95.0)], "cell_id string, gene_id string, value double")
+    genes = spark.createDataFrame([("g1", True)], "gene_id string, is_mito boolean")
+    assert tuple(qc.cell_metrics(sums, genes).head()) == ("c", 2, 100.0, 5.0)
+    lone = sp.loo_moments(spark.createDataFrame([("a", "f", 2.0), ("a", "g", 1.0), ("b", "g", 3.0)], "donor_id string, feature_id string, value double"))
+    assert {(r["donor_id"], r["feature_id"], r["train_mean"]) for r in lone.collect()} == {("a", "f", None), ("a", "g", 3.0), ("b", "g", 1.0)}

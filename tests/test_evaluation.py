@@ -274,13 +274,15 @@ def test_holm_many_matches_loop_and_decision(spark):
 def test_matched_sets(spark):
     universe = spark.createDataFrame([(f"TOY_GENE_{i:03d}",) for i in range(1, 41)], "gene_id string")
     targets = spark.createDataFrame([(p, f"TOY_GENE_{i:03d}") for p, k in (("a", 3), ("b", 4), ("c", 5)) for i in range(1, k + 1)], "plan_id string, gene_id string")
-    sets = rs.matched_sets(targets, universe, ["a", "b", "c"], 2, 11)
+    sets = rs.matched_sets(targets, universe, 2, 11)
     sizes = rows(sets.groupBy("plan_id", "control_index").count(), "plan_id", "control_index")
     assert sizes == [(p, c, k) for p, k in (("a", 3), ("b", 4), ("c", 5)) for c in (1, 2)]
     assert sets.join(targets, ["plan_id", "gene_id"]).count() == 0
-    assert rows(sets, *sets.columns) == rows(rs.matched_sets(targets, universe.repartition(7), ["a", "b", "c"], 2, 11), *sets.columns)
+    assert rows(sets, *sets.columns) == rows(rs.matched_sets(targets, universe.repartition(7), 2, 11), *sets.columns)
     with pytest.raises(PySparkException, match="too small"):
-        rs.matched_sets(targets, universe.limit(7), ["c"], 1, 1).collect()
+        rs.matched_sets(targets, universe.limit(7), 1, 1).collect()
+    with pytest.raises(PySparkException, match="too small"):  # nothing is left at all
+        rs.matched_sets(targets.where("plan_id = 'c'"), targets.where("plan_id = 'c'").select("gene_id"), 1, 1).collect()
 
 
 def test_control_summary(spark):
@@ -356,8 +358,17 @@ def test_loocv_matches_brute_force(cohort):
         w = newton((x[train] - mu) / sd, y[train], 0.1, np.where(y[train] == 1, n / (2 * k), n / (2 * (n - k))))
         assert got.score[i] == pytest.approx(1 / (1 + np.exp(-(((x[i] - mu) / sd) @ w[:-1] + w[-1]))), abs=1e-7)
         assert got.n_train_cases[i] == k and got.fold_id[i] == f"loocv_{i + 1:03d}"
-    with pytest.raises(ValueError):
-        md.loocv(df, 0.1, max_donors=10)
+    whole = md.MAX_STATE
+    md.MAX_STATE = 40  # a few held-out donors at a time
+    try:
+        parts = md.loocv(df, 0.1).toPandas().sort_values("fold_id").reset_index(drop=True)
+    finally:
+        md.MAX_STATE = whole
+    assert np.abs(parts.score - got.score).max() < 1e-9 and list(parts.fold_id) == list(got.fold_id)
+    folds = df.withColumns({"rep": F.lit(0), "folds": F.array(F.lit(0))})
+    with pytest.raises(RuntimeError, match="not converged"):
+        md.fit_logistic(folds, [md.Fit(0, (), 1.0)], 4, max_iter=1)
+    assert not md.fit_logistic(folds, [md.Fit(0, (), 1.0)], 4, max_iter=1, on_unconverged="keep").converged.any()
 
 
 def test_wide_fit_equals_direct_fit(spark):
@@ -451,3 +462,10 @@ def test_arm_external_and_co_primary(cohort):
     out = {r["test"]: r for r in arms.co_primary(both, [("x", "good", "noise"), ("y", "noise", "other")], 3, n_bootstrap=60, n_permutations=60).collect()}
     assert out["x"]["observed"] == pytest.approx(mt.auroc(both, "good").head()["auroc"] - mt.auroc(both, "noise").head()["auroc"])
     assert all((r["decision"] == "GO") == (r["ci_lower"] > 0 and r["significant"]) for r in out.values())
+
+
+def test_a_stratum_without_positives_keeps_its_replicates(spark):
+    df = spark.createDataFrame([(i, "none" if i < 5 else "both", int(i == 7), float(i)) for i in range(10)], "donor_id long, s string, label int, score double")
+    got = rs.permutation_auroc(df, n=6, by=["s"]).collect()
+    assert sorted((r["s"], r["replicate"]) for r in got) == sorted((s, r) for s in ("none", "both") for r in range(6))
+    assert all((r["auroc"] is None) == (r["s"] == "none") for r in got)

@@ -1,3 +1,5 @@
+import hashlib
+from donorlake.operators.metrics import auroc
 import numpy as np
 import pandas as pd
 import pytest
@@ -90,3 +92,19 @@ def test_hash_draw_sums_equal_ranked_rows(spark):
         got = {r["g"]: r["v"] for r in od.hash_draw_sums(df, "id", 3, "quota", ["v"], ["g"], few).collect()}
         ranked = od.hash_rank(df, "id", 3, ["g"])
         assert got == {r["g"]: r["s"] for r in ranked.where("hash_rank <= quota").groupBy("g").agg(F.sum("v").alias("s")).collect()}
+
+
+def test_null_values_fail_instead_of_ranking(spark):
+    df = spark.createDataFrame([("a", -1.0, 1), ("b", None, 0), ("c", -2.0, 0), ("d", -3.0, 1)], "donor_id string, score double, label int")
+    for ranked in (auroc(df), od.mid_ranks(df, "score"), od.running_totals(df, "score", {"n": F.count(F.lit(1))}), od.hash_rank(df, "donor_id", 1, by=["score"])):
+        with pytest.raises(Exception, match="NULL in score"):
+            ranked.collect()
+    assert auroc(df.where("score IS NOT NULL")).head()["auroc"] == 0.5
+
+
+def test_hash_rank_orders_by_digest(spark):
+    df = spark.createDataFrame([(g, i) for g in ("x", "y") for i in range(400)], "g string, i long")
+    got = od.hash_rank(df, "i", 3, by=["g"]).collect()
+    for g in ("x", "y"):
+        order = sorted(range(400), key=lambda i: hashlib.md5(f"3|{g}|{i}".encode()).hexdigest())
+        assert [r["i"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["hash_rank"])] == order
