@@ -204,14 +204,18 @@ def knn(
             ids, ref = b["_id"].to_numpy(), np.stack(b["_v"].to_numpy())
             for start in range(0, len(a), 256):
                 part = a.iloc[start : start + 256]
-                x = np.stack(part["_v"].to_numpy())
+                own, x = part["_id"].to_numpy(), np.stack(part["_v"].to_numpy())
                 d2 = np.stack([((ref - row) ** 2).sum(axis=1) for row in x])
                 if exclude_self:
-                    d2[part["_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-                for qid, dist in zip(part["_id"].to_numpy(), d2):
-                    order = np.lexsort((ids, dist))[:k]
-                    order = order[np.isfinite(dist[order])]
-                    frames.append(pd.DataFrame({"_id": qid, "neighbor": ids[order], "distance": np.sqrt(dist[order])}))
+                    d2[own[:, None] == ids[None, :]] = np.inf
+                # The k-th smallest distance of each query; all rows up to it, so that ties are ordered by id.
+                cut = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
+                q, r = np.nonzero((d2 <= cut[:, None]) & np.isfinite(d2))
+                order = np.lexsort((ids[r], d2[q, r], q))
+                q, r = q[order], r[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, r = q[place < k], r[place < k]
+                frames.append(pd.DataFrame({"_id": own[q], "neighbor": ids[r], "distance": np.sqrt(d2[q, r])}))
         if not frames:
             return pd.DataFrame({"_id": a["_id"].iloc[:0], "neighbor": b["_id"].iloc[:0], "distance": pd.Series(dtype="float64")})
         return pd.concat(frames, ignore_index=True)
@@ -241,9 +245,11 @@ def qc_by_sample(cells: DataFrame, metrics: DataFrame, sample: str, doublet: str
     if doublet:
         aggs.append(F.avg(F.col(doublet).cast("double")).alias("doublet_rate"))
     out = rows.groupBy(sample).agg(*aggs)
-    for c in ("n_genes_by_counts", "total_counts", "pct_counts_mt"):
-        out = out.join(quantiles(rows, c, [0.5], by=[sample]).withColumnRenamed("q0", f"median_{c}"), sample)
-    return out
+    names = ("n_genes_by_counts", "total_counts", "pct_counts_mt")
+    long = rows.select(sample, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])).alias("_m"))
+    medians = quantiles(long.select(sample, "_m.*"), "value", [0.5], by=[sample, "metric"])
+    wide = medians.groupBy(sample).agg(*[F.max(F.when(F.col("metric") == c, F.col("q0"))).alias(f"median_{c}") for c in names])
+    return out.join(wide, sample)
 
 
 def distribution(cells: DataFrame, donor: str, field: str) -> DataFrame:

@@ -76,12 +76,6 @@ def report(violations: DataFrame, table: DataFrame) -> DataFrame:
     return found.select(status.alias("status"), "n_violations", "errors", checked.alias("checked_rows"))
 
 
-def counts_by_rule(violations: DataFrame) -> DataFrame:
-    return violations.groupBy("rule").agg(
-        F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key")
-    )
-
-
 # --- leakage ------------------------------------------------------------------
 
 
@@ -94,10 +88,6 @@ def entity_overlap(rows: DataFrame, fields: Sequence[str] = ("patient_id", "dono
     return ends.select(F.concat("field", F.lit("_in_several_splits")).alias("rule"), "key", F.concat_ws(",", "_a", "_b").alias("detail"))
 
 
-def cell_overlap(rows: DataFrame, split: str = "split") -> DataFrame:
-    return entity_overlap(rows, ("cell_id",), split)
-
-
 def cell_level_split(rows: DataFrame, key: str = "entity_id", unit: str = "entity_type") -> DataFrame:
     return row_violations(rows, key, {"cell_level_split": (F.trim(unit).isin(*CELL_UNITS), F.col(unit))})
 
@@ -136,14 +126,63 @@ def missing_audit_status(rows: DataFrame, key: str = "entity_id") -> DataFrame:
     return row_violations(rows, key, {"missing_audit_status": (blank("audit_status"), F.lit("audit_status"))})
 
 
+def _leakage_groups(rows: DataFrame) -> DataFrame:
+    """Everything the leakage rules need, from one scan and one shuffle: per (check, key, detail) the number of rows, the
+    smallest and largest other side, and whether a train-like and a holdout-like split occurs."""
+    s, known = F.trim(F.col("split")), lambda c: F.trim(F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+
+    def entry(check: str, when: Column, key: Column, side: Column = none, detail: Column = none) -> Column:
+        made = F.struct(F.lit(check).alias("check"), key.alias("key"), side.alias("side"), detail.alias("detail"), s.isin(*TRAIN_LIKE).alias("t"), s.isin(*HOLDOUT_LIKE).alias("h"))
+        return F.when(when, made)
+
+    entity = F.col("entity_id").cast("string")
+    entries = [
+        entry("rows", F.lit(True), none),
+        entry("missing_audit_status", F.coalesce(blank("audit_status"), F.lit(False)), entity, detail=F.lit("audit_status")),
+        entry("cell_level_split", F.coalesce(F.trim("entity_type").isin(*CELL_UNITS), F.lit(False)), entity, detail=F.col("entity_type").cast("string")),
+        *[entry(f"{f}_in_several_splits", ~is_missing(f) & (s != ""), known(f), s) for f in ("patient_id", "donor_id", "sample_id", "cell_id")],
+        entry("cohort_contamination", ~is_missing("cohort_id"), known("cohort_id")),
+        entry("batch_confounding", ~is_missing("batch_id") & (s != ""), s, known("batch_id")),
+        entry("label_leakage", ~is_missing("disease_label") & (s != ""), known("disease_label"), s),
+    ]
+    spread = rows.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    return spread.groupBy("check", "key", "detail").agg(
+        F.count(F.lit(1)).alias("n"), F.min("side").alias("a"), F.max("side").alias("b"), F.max("t").alias("t"), F.max("h").alias("h")
+    )
+
+
+def _leakage_found(groups: DataFrame) -> DataFrame:
+    """``rule, key, detail, n``: violations of the grouped checks, ``n`` equal ones per row."""
+    check, one = F.col("check"), F.lit(1).cast("bigint")
+    by_row = check.isin("missing_audit_status", "cell_level_split")
+    several = check.endswith("_in_several_splits") & (F.col("a") != F.col("b"))
+    cohort = (check == "cohort_contamination") & F.col("t") & F.col("h")
+    batch = (check == "batch_confounding") & (F.col("a") == F.col("b"))
+    detail = F.when(by_row, F.col("detail")).when(several, F.concat_ws(",", "a", "b")).when(batch, F.col("a")).otherwise("train-like and holdout")
+    direct = groups.where(by_row | several | cohort | batch).select(check.alias("rule"), "key", detail.alias("detail"), F.when(by_row, F.col("n")).otherwise(one).alias("n"))
+    verdict = groups.where(check == "label_leakage").agg(
+        F.count(F.lit(1)).alias("labels"), F.bool_and(F.col("a") == F.col("b")).alias("single"), F.min("a").alias("a"), F.max("b").alias("b")
+    )
+    tied = verdict.where((F.col("labels") >= 2) & F.col("single") & (F.col("a") != F.col("b")))
+    return direct.unionByName(tied.select(F.lit("label_leakage").alias("rule"), F.lit("disease_label").alias("key"), F.lit("label tied to split").alias("detail"), one.alias("n")))
+
+
 def leakage_checks(rows: DataFrame) -> DataFrame:
-    """All leakage checks of a manifest, as one violations table."""
-    return union_all(
-        [
-            missing_audit_status(rows), cell_level_split(rows), entity_overlap(rows, ("patient_id", "donor_id", "sample_id", "cell_id")),
-            cohort_contamination(rows), batch_confounding(rows), label_leakage(rows),
-        ]
+    """All leakage checks of a manifest, as one violations table; the manifest is read once."""
+    found = _leakage_found(_leakage_groups(rows))
+    return found.select("rule", "key", "detail", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).drop("col")
+
+
+def leakage_report(rows: DataFrame) -> DataFrame:
+    """The report on all leakage checks; rows are counted in the pass that checks them."""
+    groups = _leakage_groups(rows)
+    found = _leakage_found(groups).groupBy("rule").agg(F.sum("n").alias("_n")).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_violations"), F.array_join(F.array_sort(F.collect_list("rule")), "; ").alias("errors")
     )
+    checked = groups.where("check = 'rows'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n")).scalar()
+    status = F.when(F.col("n_violations") > 0, "FAIL").otherwise("PASS")
+    return found.select(status.alias("status"), "n_violations", "errors", checked.alias("checked_rows"))
 
 
 def id_overlap(train: DataFrame, test: DataFrame, key: str) -> DataFrame:

@@ -291,7 +291,7 @@ def leakage_checks(spark, sf):
 )
 def leakage_report(spark, sf):
     rows = _leak(spark, sf)
-    return ck.report(ck.leakage_checks(rows), rows)
+    return ck.leakage_report(rows)
 
 
 @query(

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-comment lines with their file and place, so the size line is the first of each file."""
-    text = spark.read.text(path)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return text.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), F.trim("value").alias("line")).where(
-        ~F.col("line").startswith("%") & (F.col("line") != "")
+    """Non-comment lines of one scan, and whether a line is its file's size line.
+
+    A block's lines come in order within one task, and the size line is the
+    first non-comment line of the block that starts at 0; comments stand before
+    it in that block. A running marker per task, not a second scan, finds it.
+    """
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.trim("value").alias("line")
     )
 
+    def mark(batches):
+        seen = None
+        for batch in batches:
+            line = batch.column(2)
+            batch = batch.filter(pc.and_(pc.invert(pc.starts_with(line, "%")), pc.not_equal(line, "")))
+            if not batch.num_rows:
+                continue
+            file, block = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            codes, first = file.indices.to_numpy(), np.zeros(batch.num_rows, bool)
+            for at in np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (block[1:] != block[:-1])])):
+                name = file.dictionary[int(codes[at])].as_py()
+                if block[at] == 0 and name != seen:
+                    first[at], seen = True, name
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(first)], names=["file", "line", "is_size"])
 
-def _sizes(lines: DataFrame) -> DataFrame:
-    first = lines.groupBy("file").agg(F.min("place").alias("first"), F.min_by("line", "place").alias("_size"))
-    parts = F.split("_size", r"\s+")
-    return first.select(
-        "file", "first", parts[0].cast("bigint").alias("n_genes"), parts[1].cast("bigint").alias("n_cells"), parts[2].cast("bigint").alias("nnz")
-    )
+    return text.mapInArrow(mark, "file string, line string, is_size boolean")
 
 
 def sample_key(file: str = "file"):
@@ -29,9 +44,11 @@ def sample_key(file: str = "file"):
 
 
 def declared_sizes(spark: SparkSession, path: str, sample: Column | None = None) -> DataFrame:
-    """Genes, cells and entries each file declares in its size line."""
+    """Genes, cells and entries each file declares in its size line. Text can't be read in part, so bodies are scanned too."""
     key = sample_key() if sample is None else sample
-    return _sizes(_lines(spark, path)).select(key.alias("sample_id"), "file", "n_genes", "n_cells", "nnz")
+    first = _lines(spark, path).where("is_size")
+    parts = F.split("line", r"\s+")
+    return first.select(key.alias("sample_id"), "file", *[parts[i].cast("bigint").alias(n) for i, n in enumerate(("n_genes", "n_cells", "nnz"))])
 
 
 def read_mtx(spark: SparkSession, path: str, genes: DataFrame | None = None, sample: Column | None = None) -> DataFrame:
@@ -42,10 +59,8 @@ def read_mtx(spark: SparkSession, path: str, genes: DataFrame | None = None, sam
     is not it. A gzip file is one task, plain files split.
     """
     key = sample_key() if sample is None else sample
-    lines = _lines(spark, path)
-    sizes = _sizes(lines).select("file", "first")
     parts = F.split("line", r"\s+")
-    rows = lines.join(sizes, "file").where(F.col("place") != F.col("first")).select(
+    rows = _lines(spark, path).where(~F.col("is_size")).select(
         key.alias("sample_id"),
         F.concat_ws("_", key, parts[1]).alias("cell_id"),
         parts[0].cast("bigint").alias("gene_ix"),
