@@ -13,7 +13,7 @@ from donorlake.operators import splits as sp
 from donorlake.plans import arms
 from donorlake.plans.registry import CELLS, COUNTS, cells, counts, query, r6, table
 from donorlake.session import scratch
-from donorlake.sources import files, matrix_market, tables
+from donorlake.sources import matrix_market, tables
 from donorlake.streaming import incremental
 
 
@@ -208,23 +208,6 @@ def json_results_lookup(spark, sf):
     return rounded(spark.read.schema("arm string, value double").json(path))
 
 
-@query("directory_inventory")
-def directory_inventory(spark, sf):
-    return files.file_inventory(spark, sf, ".parquet")
-
-
-@query("file_fingerprints")
-def file_fingerprints(spark, sf):
-    live = files.fingerprint(spark, sf, "*.parquet")
-    recorded = live.withColumn("sha256", F.when(F.col("file").startswith("o"), F.lit("0")).otherwise(F.col("sha256"))).where(F.col("file") != "part.parquet")
-    return files.compare_fingerprints(recorded, live).select("file", "status")
-
-
-@query("table_fingerprint")
-def table_fingerprint(spark, sf):
-    return files.table_fingerprint(table(spark, sf, "lineitem")).select("n_rows", F.col("hash_sum").cast("string").alias("hash_sum"), "hash_xor")
-
-
 # --- stream ---------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from donorlake.functions.scalars import file_category
@@ -40,14 +40,15 @@ def file_categories(spark: SparkSession, path: str, suffix: str = ".npy") -> Dat
     return files.groupBy(file_category(stem).alias("category")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def fingerprint(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """SHA-256 of each file's content."""
-    return _binary(spark, path, pattern).select(_name().alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+def fingerprint(spark: SparkSession, path: str, pattern: str | None = None, name: Column | None = None) -> DataFrame:
+    """SHA-256 of each file's content, which is one value of its row (2 GiB at most); ``name`` derives the name from ``path``."""
+    return _binary(spark, path, pattern).select((_name() if name is None else name).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint of a table of any size: row count, sum and xor of row hashes."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    """Order-free fingerprint of a table of any size: row count, sum and xor of row hashes (the first 60 bits of the md5 of
+    the row's values as text, joined by ``|``, NULLs left out)."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])), 1, 15), 16, 10).cast("bigint")
     hashed = df.select(h.alias("_h"))
     return hashed.agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor("_h").alias("hash_xor")

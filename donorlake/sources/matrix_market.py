@@ -69,9 +69,10 @@ def read_mtx(spark: SparkSession, path: str, genes: DataFrame | None = None, sam
     return rows if genes is None else rows.join(genes, "gene_ix").drop("gene_ix")
 
 
-def companion_problems(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("matrix.mtx.gz", "barcodes.tsv.gz")) -> DataFrame:
-    """Samples that do not have exactly one file of each kind."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"))
+def companion_problems(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("matrix.mtx.gz", "barcodes.tsv.gz"), name: Column | None = None) -> DataFrame:
+    """Samples that do not have exactly one file of each kind; ``name`` derives ``<sample>_<kind>`` from ``path``."""
+    name = F.regexp_extract("path", "([^/]+)$", 1) if name is None else name
+    files = spark.read.format("binaryFile").load(path).select(name.alias("file"))
     counts = files.groupBy(sample_key().alias("sample_id")).agg(*[F.count_if(F.col("file").endswith(s)).alias(f"_{i}") for i, s in enumerate(suffixes)])
     rows = F.explode(F.array(*[F.struct(F.lit(s).alias("suffix"), F.col(f"_{i}").alias("n_files")) for i, s in enumerate(suffixes)]))
     return counts.select("sample_id", rows.alias("_r")).select("sample_id", "_r.*").where(F.col("n_files") != 1)
