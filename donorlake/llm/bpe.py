@@ -25,6 +25,7 @@ import json
 from dataclasses import dataclass
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,8 +34,8 @@ from donorlake.llm.text import map_rows
 
 # Fixed value: the byte-level pre-tokenisation pattern of this vocabulary.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 300_000  # words whose encodings a task keeps
-TRIE_NODES = 1_500_000  # nodes after which a task starts a new trie
+CACHE_WORDS = 200_000  # words whose encodings a task keeps
+TRIE_NODES = 1_000_000  # nodes after which a task starts a new trie
 LONG_WORD = 256  # bytes; longer words are encoded alone and not kept
 
 
@@ -106,11 +107,11 @@ def _undisturbed(vocab: Vocabulary, right, left, until: int) -> bool:
 class Encoder:
     """Encodes words of one task; remembers pairs and (up to a bound) words."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = CACHE_WORDS, max_nodes: int = TRIE_NODES):
-        self.vocab, self.limit, self.max_nodes = vocab, limit, max_nodes
+    def __init__(self, vocab: Vocabulary, limit: int = CACHE_WORDS, max_nodes: int = TRIE_NODES, keep_ids: bool = False):
+        self.vocab, self.limit, self.max_nodes, self.keep_ids = vocab, limit, max_nodes, keep_ids
         self.children: dict[int, int] = {}  # (node, byte) to node
         self.node_last = [0]  # last token of the prefix that a node stands for
-        self.known: dict[str, tuple[str, bytes, int]] = {}
+        self.known: dict[str, tuple[str, bytes, int, bytes]] = {}
         self.pairs: dict[int, bool] = {}
         self.find = regex.compile(WORD_PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")").split if vocab.special else None
@@ -177,11 +178,12 @@ class Encoder:
             before = raw
             self.known[word] = self.pack(self.ids(raw, last))
 
-    def pack(self, ids: list[int]) -> tuple[str, bytes, int]:
+    def pack(self, ids: list[int]) -> tuple[str, bytes, int, bytes]:
+        """What a document needs of a word: its ids as text, its decoded bytes, their number, and (if kept) the ids as 32-bit integers."""
         text = self.vocab.text
-        return ",".join(map(str, ids)), b"".join([text[i] for i in ids]), len(ids)
+        return ",".join(map(str, ids)), b"".join([text[i] for i in ids]), len(ids), np.array(ids, np.int32).tobytes() if self.keep_ids else b""
 
-    def long_word(self, word: str) -> tuple[str, bytes, int]:
+    def long_word(self, word: str) -> tuple[str, bytes, int, bytes]:
         """A word too long to keep is encoded along a trie of its own."""
         raw, last, kept = word.encode("utf-8", "surrogatepass"), [0], (self.children, self.node_last)
         self.children, self.node_last = {}, [0]
@@ -198,7 +200,7 @@ class Encoder:
             out += [part] if part in self.vocab.special else self.find(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[list[tuple[str, bytes, int]]]:
+    def encode(self, texts: list[str]) -> list[list[tuple[str, bytes, int, bytes]]]:
         split = [self.words(t) for t in texts]
         fresh = {w for words in split for w in words}
         special = {w for w in fresh if w in self.vocab.special}
@@ -224,7 +226,7 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFram
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
 
     def work():
-        encoder = Encoder(shared.value)
+        encoder = Encoder(shared.value, keep_ids=keep_ids)
 
         def each(batch: pa.RecordBatch):
             n, ids_hex, text_hex, ids = [], [], [], []
@@ -234,10 +236,12 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFram
                 n.append(sum([p[2] for p in pieces]))
                 ids_hex.append(sha256(listed.encode()).hexdigest())
                 text_hex.append(sha256(back.encode()).hexdigest())
-                if keep_ids:
-                    ids.append([int(i) for i in listed.split(",")] if listed else [])
+                ids += [p[3] for p in pieces] if keep_ids else ()
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(text_hex)]
-            return out + [pa.array(ids, pa.list_(pa.int32()))] if keep_ids else out
+            if keep_ids:
+                ends = pa.array(np.cumsum([0, *n]), pa.int32())
+                out.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32))))
+            return out
 
         return each
 
