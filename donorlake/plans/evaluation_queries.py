@@ -567,7 +567,7 @@ def fold_standardized(spark, sf):
 
 # --- resampling -------------------------------------------------------------------------
 
-BOOT, PERM = 200, 200
+BOOT, PERM = 5000, 1000  # replicates of the published analysis
 _HEX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
 
