@@ -177,28 +177,24 @@ def pca(vectors: DataFrame, k: int, vector: str = "embedding", out: str = "compo
     return model.transform(rows).withColumn(out, vector_to_array("_p")).drop("_m", "_v", "_p")
 
 
-def knn(
-    queries: DataFrame, references: DataFrame, k: int, key: str = "cell_id", vector: str = "embedding",
-    block_rows: int = 2048, exclude_self: bool = False,
-) -> DataFrame:
-    """Exact k nearest neighbours ``(key, neighbor, distance, rank)`` by euclidean distance, ties to the smaller id.
+def _block_candidates(q: DataFrame, r: DataFrame, k: int, block_rows: int, exclude_self: bool, kind: str) -> DataFrame:
+    """k best references of every query inside its cells: ``_id, neighbor, distance``.
 
-    Both sides are cut into blocks of about ``block_rows`` vectors, so the
-    number of tasks grows with the data and the size of a task does not. A task
-    compares one query block with one reference block in matrix form and keeps
-    k candidates per query; only those are shuffled. Pairs are never rows.
+    ``q`` and ``r`` hold ``_id, _v, _c``. A cell with many rows on either side is cut into blocks of about
+    ``block_rows``; a task compares one query block with one reference block of a cell in matrix form.
     """
-    query_blocks = max(1, -(-queries.count() // block_rows))
-    reference_blocks = max(1, -(-references.count() // block_rows))
-    q = queries.select(F.col(key).alias("_id"), F.transform(vector, lambda x: x.cast("double")).alias("_v"))
-    r = references.select(F.col(key).alias("_id"), F.transform(vector, lambda x: x.cast("double")).alias("_v"))
-    q = q.withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(query_blocks)).cast("int"))
-    q = q.withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(reference_blocks - 1))))
-    r = r.withColumn("_rb", F.pmod(F.xxhash64("_id"), F.lit(reference_blocks)).cast("int"))
-    r = r.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    kind = dict(queries.dtypes)[key]
 
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def cut(df: DataFrame) -> Column:
+        counts = df.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per pivot
+        return F.element_at(F.create_map(*[F.lit(x) for c in counts for x in (c["_c"], -(-c["n"] // block_rows))]), F.col("_c")) if counts else F.lit(1)
+
+    n_q, n_r = cut(q), cut(r)
+    block = lambda n: F.pmod(F.xxhash64("_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)).cast("int") - 1))
+    q = q.withColumn("_qb", block(n_q)).withColumn("_rb", every(n_r))
+    r = r.withColumn("_rb", block(n_r)).withColumn("_qb", every(n_q))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         frames = []
         if len(a) and len(b):
             ids, ref = b["_id"].to_numpy(), np.stack(b["_v"].to_numpy())
@@ -209,23 +205,75 @@ def knn(
                 if exclude_self:
                     d2[own[:, None] == ids[None, :]] = np.inf
                 # The k-th smallest distance of each query; all rows up to it, so that ties are ordered by id.
-                cut = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
-                q, r = np.nonzero((d2 <= cut[:, None]) & np.isfinite(d2))
-                order = np.lexsort((ids[r], d2[q, r], q))
-                q, r = q[order], r[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                q, r = q[place < k], r[place < k]
-                frames.append(pd.DataFrame({"_id": own[q], "neighbor": ids[r], "distance": np.sqrt(d2[q, r])}))
+                last = min(k, d2.shape[1]) - 1
+                i, j = np.nonzero((d2 <= np.partition(d2, last, axis=1)[:, last][:, None]) & np.isfinite(d2))
+                order = np.lexsort((ids[j], d2[i, j], i))
+                i, j = i[order], j[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[first], j[first]
+                frames.append(pd.DataFrame({"_id": own[i], "neighbor": ids[j], "distance": np.sqrt(d2[i, j])}))
         if not frames:
             return pd.DataFrame({"_id": a["_id"].iloc[:0], "neighbor": b["_id"].iloc[:0], "distance": pd.Series(dtype="float64")})
         return pd.concat(frames, ignore_index=True)
 
-    candidates = q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(
-        block, f"_id {kind}, neighbor {kind}, distance double"
-    )
+    keys = ["_c", "_qb", "_rb"]
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(nearest, f"_id {kind}, neighbor {kind}, distance double")
+
+
+def knn(
+    queries: DataFrame, references: DataFrame, k: int, key: str = "cell_id", vector: str = "embedding",
+    block_rows: int = 2048, exclude_self: bool = False, max_pivots: int = 256,
+) -> DataFrame:
+    """Exact k nearest neighbours ``(key, neighbor, distance, rank)`` by euclidean distance, ties to the smaller id.
+
+    References belong to the nearest of at most ``max_pivots`` pivots. A query first searches its own pivot's cell;
+    the distance of its k-th find bounds what it still needs, and by the triangle inequality it visits only cells
+    whose nearest possible member can be within that bound. Only k candidates per query and block are shuffled.
+    """
+    kind = dict(queries.dtypes)[key]
+    slim = lambda df: df.select(F.col(key).alias("_id"), F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    q, r = slim(queries), slim(references)
+    n_pivots = int(min(max_pivots, max(1, np.sqrt(references.count()))))
+    chosen = [row["_v"] for row in r.orderBy(F.xxhash64("_id"), "_id").limit(n_pivots).collect()]  # max_pivots vectors
     w = Window.partitionBy("_id").orderBy("distance", "neighbor")
-    ranked = candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.withColumnRenamed("_id", key)
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if not chosen:
+        return ranked(q.select("_id", F.col("_id").alias("neighbor"), F.lit(0.0).alias("distance")).where("false")).withColumnRenamed("_id", key)
+    pivots = q.sparkSession.sparkContext.broadcast(np.array(chosen))
+
+    def distances(v: pd.Series) -> np.ndarray:
+        return np.stack([np.sqrt(((pivots.value - x) ** 2).sum(axis=1)) for x in v.to_numpy()])
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                d = distances(pdf["_v"])
+                yield pdf.assign(_c=d.argmin(axis=1).astype("int32"), _d=d.min(axis=1))
+
+    assigned = f"_id {kind}, _v array<double>, _c int, _d double"
+    r = durable(r.mapInPandas(assign, assigned))
+    cells = {row["_c"]: row["radius"] for row in r.groupBy("_c").agg(F.max("_d").alias("radius")).collect()}
+    home = ranked(_block_candidates(q.mapInPandas(assign, assigned).drop("_d"), r.drop("_d"), k, block_rows, exclude_self, kind)).drop("rank")
+    home = durable(home)
+    bounds = home.groupBy("_id").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_found"))
+    reach = F.when(F.col("_found") >= k, F.col("_far")).otherwise(float("inf"))
+    bounded = q.join(bounds, "_id", "left").select("_id", "_v", F.coalesce(reach, F.lit(float("inf"))).alias("_reach"))
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        radius = np.array([cells.get(c, -np.inf) for c in range(len(pivots.value))])  # a pivot without members is never visited
+        for pdf in batches:
+            if len(pdf):
+                d = distances(pdf["_v"])
+                # A hair of slack for rounding: it can only add visits.
+                go = (d - radius <= pdf["_reach"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9 * (1 + d)) & np.isfinite(radius)
+                go[np.arange(len(d)), d.argmin(axis=1)] = False
+                i, c = np.nonzero(go)
+                if len(i):
+                    yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[i], "_v": pdf["_v"].to_numpy()[i], "_c": c.astype("int32")})
+
+    onward = durable(bounded.mapInPandas(visits, f"_id {kind}, _v array<double>, _c int"))
+    others = _block_candidates(onward, r.drop("_d"), k, block_rows, exclude_self, kind)
+    return ranked(home.unionByName(others)).withColumnRenamed("_id", key)
 
 
 def label_transfer(neighbors: DataFrame, labels: DataFrame, key: str = "cell_id", label: str = "label") -> DataFrame:

@@ -75,6 +75,26 @@ def _inside(folds: np.ndarray, out) -> tuple[np.ndarray, np.ndarray]:
     return train, score
 
 
+def _replicates(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """``rep, rows of the batch, features, folds, labels`` of every replicate in a batch.
+
+    Rows come either once per replicate (``rep, label, folds``) or once at all, with the labels and folds of all
+    replicates beside the features (``reps, labels, all_folds``).
+    """
+    x = _matrix(pdf["features"])
+    if "reps" in pdf:
+        labels = np.stack(pdf["labels"].to_numpy())
+        folds = np.stack(pdf["all_folds"].to_numpy()).reshape(*labels.shape, -1)
+        everyone = np.arange(len(pdf))
+        for j, rep in enumerate(pdf["reps"].iloc[0]):
+            yield int(rep), everyone, x, folds[:, j], labels[:, j]
+        return
+    reps, folds, labels = pdf["rep"].to_numpy(), np.stack(pdf["folds"].to_numpy()), pdf["label"].to_numpy()
+    for rep in np.unique(reps):
+        at = np.flatnonzero(reps == rep)
+        yield int(rep), at, x[at], folds[at], labels[at]
+
+
 def _sum_by_fit(rows: DataFrame, kernel, width: int) -> DataFrame:
     """Run ``kernel`` over each task's batches, then add the vectors of equal fits."""
 
@@ -102,13 +122,9 @@ def _curvature(state, balanced: bool):
 
     def kernel(pdf: pd.DataFrame):
         by_rep, fills, mu, sd, now, n_side, case_side, side = state.value
-        x_all, folds = _matrix(pdf["features"]), np.stack(pdf["folds"].to_numpy())
-        y, reps = pdf["label"].to_numpy(), pdf["rep"].to_numpy()
-        for rep in np.unique(reps):
-            pick = reps == rep
-            xr, fr, yr = x_all[pick], folds[pick], y[pick]
+        for rep, _at, xr, fr, yr in _replicates(pdf):
             seen: dict[int, tuple] = {}
-            for _, (i, out) in by_rep.get(int(rep), ()):
+            for _, (i, out) in by_rep.get(rep, ()):
                 s = side[i]
                 if s not in seen:
                     train, _scored = _inside(fr, out)
@@ -163,7 +179,7 @@ def fit_logistic(
 ) -> Fitted:
     """Minimise ½‖w‖² + C·Σ loss with a free intercept for every fit.
 
-    ``rows`` holds ``rep, label, features array<double>, folds array<int>``.
+    ``rows`` holds ``rep, label, features array<double>, folds array<int>``, or is the result of ``pack_replicates``.
     Features are standardised with each fit's training mean and population sd; a
     feature that is constant in training gets scale infinity, so its weight and
     its contribution are exactly 0. ``scaled`` switches that off per column. NaN features
@@ -188,11 +204,8 @@ def fit_logistic(
 
     def moments(pdf: pd.DataFrame):
         by_rep, fills = plan.value
-        x_all, folds, y, reps = _matrix(pdf["features"]), np.stack(pdf["folds"].to_numpy()), pdf["label"].to_numpy(), pdf["rep"].to_numpy()
-        for rep in np.unique(reps):
-            pick = reps == rep
-            xr, fr, yr = x_all[pick], folds[pick], y[pick]
-            for i, out in by_rep.get(int(rep), ()):
+        for rep, _at, xr, fr, yr in _replicates(pdf):
+            for i, out in by_rep.get(rep, ()):
                 train, _ = _inside(fr, out)
                 x = _filled(xr[train], None if fills is None else fills[i])
                 yield i, np.concatenate([[train.sum(), yr[train].sum()], x.sum(axis=0), (x * x).sum(axis=0)])
@@ -208,11 +221,8 @@ def fit_logistic(
 
     def spread(pdf: pd.DataFrame):
         by_rep, fills, mu = centre.value
-        x_all, folds, reps = _matrix(pdf["features"]), np.stack(pdf["folds"].to_numpy()), pdf["rep"].to_numpy()
-        for rep in np.unique(reps):
-            pick = reps == rep
-            xr, fr = x_all[pick], folds[pick]
-            for i, out in by_rep.get(int(rep), ()):
+        for rep, _at, xr, fr, _y in _replicates(pdf):
+            for i, out in by_rep.get(rep, ()):
                 train, _ = _inside(fr, out)
                 d = _filled(xr[train], None if fills is None else fills[i]) - mu[i]
                 yield i, (d * d).sum(axis=0)
@@ -276,17 +286,15 @@ def score_fits(rows: DataFrame, fitted: Fitted, keep: Sequence[str] = ("donor_id
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_rep, mean, scale, weights, fill = bc.value
         for pdf in batches:
-            x_all, folds, reps = _matrix(pdf["features"]), np.stack(pdf["folds"].to_numpy()), pdf["rep"].to_numpy()
-            for rep in np.unique(reps):
-                at = np.flatnonzero(reps == rep)
-                for _, (i, out) in by_rep.get(int(rep), ()):
-                    pick = at if everyone else at[_inside(folds[at], out)[1]]
-                    if not len(pick):
+            for rep, at, xr, fr, yr in _replicates(pdf):
+                for _, (i, out) in by_rep.get(rep, ()):
+                    inside = np.ones(len(at), bool) if everyone else _inside(fr, out)[1]
+                    if not inside.any():
                         continue
-                    x = _filled(x_all[pick], None if fill is None else fill[i])
+                    x = _filled(xr[inside], None if fill is None else fill[i])
                     m = ((x - mean[i]) / scale[i]) @ weights[i][:-1] + weights[i][-1]
-                    part = pdf.iloc[pick][[*keep, "rep", "label"]].copy()
-                    part["fit"] = i
+                    part = pdf.iloc[at[inside]][[*keep]].copy()
+                    part["fit"], part["rep"], part["label"] = i, rep, yr[inside]
                     part["score"] = 1.0 / (1.0 + np.exp(-np.clip(m, -500, 500)))
                     yield part[["fit", "rep", *keep, "label", "score"]]
 
@@ -323,6 +331,16 @@ def _place(rows: DataFrame, key: str) -> DataFrame:
     return durable(slim.repartition(slots, "rep", key))
 
 
+def pack_replicates(folded: DataFrame, features: DataFrame, key: str) -> DataFrame:
+    """Every donor once, with the labels and folds of all replicates as arrays beside its features. Written once."""
+    slots = task_slots(folded.sparkSession)
+    each = F.array_sort(F.collect_list(F.struct("rep", "label", "folds")))  # one entry per replicate
+    packed = folded.groupBy(key).agg(each.alias("_r"))
+    part = lambda field: F.transform("_r", lambda r: r[field])
+    slim = packed.select(key, part("rep").alias("reps"), part("label").alias("labels"), F.flatten(part("folds")).alias("all_folds"))
+    return durable(slim.join(features.select(key, "features"), key).repartition(slots, key))
+
+
 def nested_cv(
     donors: DataFrame,
     seed: int,
@@ -334,12 +352,15 @@ def nested_cv(
     label: str = "label",
     balanced: bool = False,
     reps: Sequence[int] = (0,),
+    features: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold scores (every row scored once) and the C of every outer fold.
 
-    With ``fixed_c`` the inner search is skipped. Scalers and fits see training rows only.
+    With ``fixed_c`` the inner search is skipped. Scalers and fits see training rows only. With ``features``, donors
+    holds just ``rep`` and label of every replicate, and features are kept once for all of them.
     """
-    rows = _place(fold_rows(donors, seed, outer, 0 if fixed_c is not None else inner, key, label), key)
+    folded = fold_rows(donors, seed, outer, 0 if fixed_c is not None else inner, key, label)
+    rows = _place(folded, key) if features is None else pack_replicates(folded, features, key)
     size = rows.select(F.max(F.size("features"))).head()[0]
     spark = rows.sparkSession
     if fixed_c is not None:
@@ -373,13 +394,15 @@ def best_c(scores: DataFrame, by: Sequence[str], c: str = "c", score: str = "sco
     return means.groupBy(*by).agg(F.max_by(c, F.struct(F.col("_m"), -F.col(c))).alias(c), F.max("_m").alias(score))
 
 
-def repeated_cv(donors: DataFrame, seeds: Sequence[int], **options) -> DataFrame:
-    """AUROC of nested CV for each seed."""
-    frames = []
-    for s in seeds:
-        oof, _ = nested_cv(donors, s, **options)
-        frames.append(auroc(oof).select(F.lit(s).alias("seed"), "auroc"))
-    return union_all(frames)
+def repeated_cv(donors: DataFrame, n: int, seed: int, **options) -> DataFrame:
+    """AUROC of nested CV for each of ``n`` fold assignments, ``repeat, auroc``.
+
+    The repeat is part of the key of folds and fits, so all repeats advance in the same jobs.
+    """
+    key, label = options.get("key", "donor_id"), options.get("label", "label")
+    rows = donors.select(key, label).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    oof, _ = nested_cv(rows, seed, reps=range(n), features=donors, **options)
+    return auroc(oof, by=["rep"]).withColumnRenamed("rep", "repeat").select("repeat", "auroc")
 
 
 def repeated_summary(aurocs: DataFrame, by: Sequence[str] = ("arm",)) -> DataFrame:
@@ -445,7 +468,7 @@ def shuffled_labels(donors: DataFrame, n: int, seed: int, key: str = "donor_id",
     return ranked.withColumn(label, (F.col("_pos") <= F.col("_p")).cast("int")).drop("_pos", "_p")
 
 
-def permutation_refit(donors: DataFrame, n: int, seed: int, key: str = "donor_id", label: str = "label", stage: int = 50, **options) -> DataFrame:
+def permutation_refit(donors: DataFrame, n: int, seed: int, key: str = "donor_id", label: str = "label", stage: int = 500, **options) -> DataFrame:
     """AUROC of the whole cross-validation refitted on permuted labels, per replicate.
 
     ``fixed_c`` in ``options`` skips the inner search. Replicates run in stages
@@ -454,15 +477,19 @@ def permutation_refit(donors: DataFrame, n: int, seed: int, key: str = "donor_id
     frames = []
     for start in range(0, n, stage):
         count = min(stage, n - start)
-        rows = shuffled_labels(donors, count, seed + 7919 * start, key, label)
-        oof, _ = nested_cv(rows, seed, key=key, label=label, reps=range(count), **options)
+        rows = shuffled_labels(donors.select(key, label), count, seed + 7919 * start, key, label)
+        oof, _ = nested_cv(rows, seed, key=key, label=label, reps=range(count), features=donors, **options)
         frames.append(auroc(oof, by=["rep"]).select((F.col("rep") + start).alias("replicate"), "auroc"))
     return union_all(frames)
 
 
-def permutation_loocv(donors: DataFrame, n: int, seed: int, c: float = 0.1, key: str = "donor_id", label: str = "label") -> DataFrame:
+def permutation_loocv(
+    donors: DataFrame, n: int, seed: int, c: float = 0.1, key: str = "donor_id", label: str = "label",
+    scaled: Sequence[bool] | None = None, fills: DataFrame | None = None,
+) -> DataFrame:
     """Permutation control with a full leave-one-out refit per replicate; a replicate in which a training side has one
-    class is reported as skipped instead of scored."""
+    class is reported as skipped instead of scored. ``fills`` holds each held-out donor's imputation vector, as in
+    ``loocv``; it doesn't depend on labels, so all replicates share it."""
     size_n = donors.count()
     from donorlake.operators.splits import leave_one_out
 
@@ -471,10 +498,18 @@ def permutation_loocv(donors: DataFrame, n: int, seed: int, c: float = 0.1, key:
     rows = shuffled_labels(ranked.withColumn("folds", F.array(fold)).drop("fold_id"), n, seed, key, label)
     placed = _place(rows.withColumn("label", F.col(label).cast("int")), key)
     size = placed.select(F.max(F.size("features"))).head()[0]
+    per_fold = None
+    if fills is not None:
+        per_fold = placed.where("rep = 0").join(fills, key).select(F.col("folds")[0].alias("f"), "fill")
     bad, parts = set(), []
     for part in _passes(n * size_n, size):
         fits = [Fit(k // size_n, ((0, k % size_n),), c) for k in part]
-        fitted = fit_logistic(placed, fits, size, balanced=True)
+        fill = None
+        if per_fold is not None:
+            held = sorted({k % size_n for k in part})
+            by_fold = {r["f"]: r["fill"] for r in per_fold.where(F.col("f").between(held[0], held[-1])).toLocalIterator()}
+            fill = np.array([by_fold[k % size_n] for k in part])
+        fitted = fit_logistic(placed, fits, size, True, scaled, fill)
         bad |= {f.rep for f, w in zip(fits, fitted.weights) if np.isnan(w).any()}
         scored = score_fits(placed, fitted, [key]).where("score IS NOT NULL")
         parts.append(durable(scored) if part.stop < n * size_n else scored)

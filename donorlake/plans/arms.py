@@ -109,10 +109,10 @@ def cohort_probe(dev: DataFrame, external: DataFrame, seed: int, **options) -> D
     return run_arm("cohort_membership", both, seed, **options)
 
 
-def metadata_design(donors: DataFrame, numeric: Sequence[str], categorical: Sequence[str], levels: dict[str, Sequence], key: str = "donor_id"):
+def metadata_design(donors: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: str = "donor_id"):
     """Feature arrays of a metadata-only model and each held-out donor's imputation vector.
 
-    Unknown values are NaN. A level that only the held-out donor has is constant
+    Unknown values are NaN. The levels of a category are those that occur (one column of the design each). A level that only the held-out donor has is constant
     zero in its training side, so its weight is 0: the same as an encoder that
     ignores unknown categories. Medians and modes come from everyone else.
     """
@@ -127,7 +127,8 @@ def metadata_design(donors: DataFrame, numeric: Sequence[str], categorical: Sequ
     for c in categorical:
         mode = sp.loo_mode(donors.select(key, c), c).select(key, F.col("train_mode").alias(f"_fill_{c}"))
         rows = rows.join(mode, key)
-        for v in levels[c]:
+        levels = donors.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()
+        for v in [r[0] for r in levels]:
             parts.append(F.when(F.col(c).isNull(), nan).otherwise((F.col(c) == v).cast("double")))
             fills.append((F.col(f"_fill_{c}") == v).cast("double"))
             scaled.append(False)
@@ -136,9 +137,9 @@ def metadata_design(donors: DataFrame, numeric: Sequence[str], categorical: Sequ
     return out.drop(*[f"_fill_{c}" for c in (*numeric, *categorical)]), scaled
 
 
-def metadata_loocv(donors: DataFrame, numeric: Sequence[str], categorical: Sequence[str], levels: dict[str, Sequence], c: float = 0.1, key: str = "donor_id", label: str = "label") -> DataFrame:
+def metadata_loocv(donors: DataFrame, numeric: Sequence[str], categorical: Sequence[str], c: float = 0.1, key: str = "donor_id", label: str = "label") -> DataFrame:
     """Leave-one-out predictions from donor metadata only, all preparation inside the fold."""
-    rows, scaled = metadata_design(donors, numeric, categorical, levels, key)
+    rows, scaled = metadata_design(donors, numeric, categorical, key)
     rows = durable(rows)
     return md.loocv(rows.select(key, label, "features"), c, key, label, True, scaled, rows.select(key, "fill"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from donorlake.functions import columns as col
@@ -14,6 +16,8 @@ from donorlake.operators import pseudobulk as pb
 from donorlake.operators.ordering import global_rank
 from donorlake.operators.resample import score_shift
 from donorlake.plans.registry import CELLS, COUNTS, DONOR_TEXT, GENES, cells, counts, donor_text, genes, query, r6, table
+from donorlake.session import scratch, task_slots
+from donorlake.sources import tables
 from donorlake.sources.tables import scan
 
 NATION_SUMS = f"""{CELLS}, {COUNTS}, sums AS (
@@ -26,6 +30,14 @@ def pseudobulk_sum(spark, sf):
     return pb.pseudobulk(counts(spark, sf), cells(spark, sf), "nation_id")
 
 
+@query("pseudobulk_bucketed", f"WITH {NATION_SUMS} SELECT * FROM sums")
+def pseudobulk_bucketed(spark, sf):
+    """The same sums from tables bucketed by cell: their join needs no exchange."""
+    paths = {name: scratch(spark, name) for name in ("bucketed-counts", "bucketed-cells")}
+    place = lambda df, name: tables.write_bucketed(df, re.sub("[^a-z0-9]", "_", paths[name].rsplit("/", 1)[1]), "cell_id", task_slots(spark), paths[name])
+    return pb.pseudobulk(place(counts(spark, sf), "bucketed-counts"), place(cells(spark, sf), "bucketed-cells"), "nation_id")
+
+
 @query(
     "pseudobulk_log_cpm",
     r6(

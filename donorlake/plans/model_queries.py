@@ -12,7 +12,7 @@ from donorlake.operators import pseudobulk as pb
 from donorlake.operators import splits as sp
 from donorlake.plans import arms
 from donorlake.plans.registry import CELLS, COUNTS, cells, counts, query, r6, table
-from donorlake.session import scratch
+from donorlake.session import durable, scratch
 from donorlake.sources import matrix_market, tables
 from donorlake.streaming import incremental
 
@@ -36,7 +36,6 @@ def _nations(spark, sf):
     return out.withColumns({"age": F.when(F.col("age") > 4300, F.col("age")), "sex": F.when(F.col("n_cells") % 7 != 0, F.col("sex"))})
 
 
-_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 _NUMERIC = ("age", "n_cells", "cell_type_prop_1_urgent", "cell_type_prop_2_high", "cell_type_prop_3_medium", "cell_type_prop_4_not_specified", "cell_type_prop_5_low")
 
 
@@ -55,14 +54,14 @@ def selected_hyperparameters(spark, sf):
 
 @query("repeated_cross_validation")
 def repeated_cross_validation(spark, sf):
-    runs = md.repeated_cv(_vectors(spark, sf), [1, 2, 3], fixed_c=0.01)
+    runs = md.repeated_cv(_vectors(spark, sf), 10, 20260719)
     return rounded(md.repeated_summary(runs.withColumn("arm", F.lit("vectors"))))
 
 
 @query("arm_run")
 def arm_run(spark, sf):
     """AUROC, interval, refit permutation p and sanity flag of the vector arm."""
-    return rounded(arms.run_arm("vectors", _vectors(spark, sf), 7, fixed_c=0.01, n_bootstrap=200, n_permutations=20))
+    return rounded(arms.run_arm("vectors", _vectors(spark, sf), 7, permutation_c=0.01))
 
 
 @query("external_scoring")
@@ -70,7 +69,7 @@ def external_scoring(spark, sf):
     """Fit on four fifths of the vectors at a frozen C, score the rest, overall and per stratum."""
     rows = sp.shuffled_kfold(_vectors(spark, sf), 5, seed=3).withColumn("stratum_id", F.when(F.col("features")[0] > 0, "high").otherwise("low"))
     dev, ext = rows.where(F.col("fold") != 4), rows.where(F.col("fold") == 4)
-    _, summary = arms.external_arm(dev.drop("fold"), ext.drop("fold"), 0.01, 5, "stratum_id", 200, 200)
+    _, summary = arms.external_arm(dev.drop("fold"), ext.drop("fold"), 0.01, 5, "stratum_id")
     return rounded(summary)
 
 
@@ -79,25 +78,28 @@ def cohort_probe(spark, sf):
     """Vectors of two label groups as two cohorts: how well membership is predicted."""
     v = table(spark, sf, "embeddings")
     side = lambda cond: v.where(cond).select(F.col("vec_id").alias("donor_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
-    return rounded(arms.cohort_probe(side(F.col("label") < 7), side(F.col("label") >= 7), 7, fixed_c=0.01, n_bootstrap=100, n_permutations=10))
+    return rounded(arms.cohort_probe(side(F.col("label") < 7), side(F.col("label") >= 7), 7, permutation_c=0.01))
 
 
 @query("metadata_leave_one_out")
 def metadata_leave_one_out(spark, sf):
     """Metadata-only predictions of each nation, preparation and fit inside the fold."""
-    out = arms.metadata_loocv(_nations(spark, sf), _NUMERIC, ["sex"], {"sex": _SEGMENTS})
+    out = arms.metadata_loocv(_nations(spark, sf), _NUMERIC, ["sex"])
     return rounded(out)
 
 
 @query("permutation_leave_one_out")
 def permutation_leave_one_out(spark, sf):
-    rows = _nations(spark, sf).select("donor_id", "label", F.array(*[F.col(c).cast("double") for c in _NUMERIC[1:]]).alias("features"))
-    return rounded(md.permutation_loocv(rows, 10, 42))
+    """100 refits of the whole leave-one-out on shuffled labels; gaps are imputed inside each fold."""
+    design, scaled = arms.metadata_design(_nations(spark, sf), _NUMERIC, ["sex"])
+    rows = durable(design.select("donor_id", "label", "features", "fill"))
+    return rounded(md.permutation_loocv(rows.drop("fill"), 100, 42, scaled=scaled, fills=rows.select("donor_id", "fill")))
 
 
 @query("permutation_refit")
 def permutation_refit(spark, sf):
-    return rounded(md.permutation_refit(_vectors(spark, sf), 20, 7, fixed_c=0.01))
+    """Cross-validation refitted on 1,000 permuted labellings at the published fixed C."""
+    return rounded(md.permutation_refit(_vectors(spark, sf), 1000, 7, fixed_c=0.01))
 
 
 @query("wide_feature_cross_validation")
@@ -124,7 +126,7 @@ def tree_importances(spark, sf):
 
 @query("vector_arm_metrics")
 def vector_arm_metrics(spark, sf):
-    oof, _ = md.nested_cv(_vectors(spark, sf), seed=1, fixed_c=0.01)
+    oof, _ = md.nested_cv(_vectors(spark, sf), seed=1)
     return rounded(mt.prediction_summary(oof))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +28,7 @@ def build_session(app: str = "donorlake", master: str | None = None, **conf: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.fileCompressionFactor", "4.0")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -39,14 +43,18 @@ def task_slots(spark: SparkSession) -> int:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only for a local master without the setting."""
+    """The folder every executor can reach. Only a local master without the setting gets a temporary one, which goes when
+    the driver ends."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="donorlake-checkpoint-")
+    made = tempfile.mkdtemp(prefix="donorlake-checkpoint-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    sc.setCheckpointDir(made)
+    return sc.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -81,9 +81,11 @@ def write_parquet(df: DataFrame, path: str, sort_by: Sequence[str], partition_by
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Counts or cells bucketed on the join key: joins of two such tables need no shuffle."""
-    df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Counts or cells bucketed on the join key: joins of two such tables need no shuffle. ``path`` places the files."""
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def write_json(row: DataFrame, path: str) -> None:

@@ -285,3 +285,19 @@ def test_rows_that_used_to_vanish(spark):
     assert tuple(qc.cell_metrics(sums, genes).head()) == ("c", 2, 100.0, 5.0)
     lone = sp.loo_moments(spark.createDataFrame([("a", "f", 2.0), ("a", "g", 1.0), ("b", "g", 3.0)], "donor_id string, feature_id string, value double"))
     assert {(r["donor_id"], r["feature_id"], r["train_mean"]) for r in lone.collect()} == {("a", "f", None), ("a", "g", 3.0), ("b", "g", 1.0)}
+
+
+def test_knn_prunes_and_stays_exact(spark):
+    """Clusters, ties, a hot vector and fewer references than k."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(8, 5)) * 40
+    x = np.concatenate([centres[rng.integers(0, 8, 300)] + rng.normal(size=(300, 5)), np.tile(centres[0], (60, 1))]).round(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id int, embedding array<double>")
+    got = qc.knn(df, df, 5, block_rows=32, exclude_self=True).orderBy("cell_id", "rank").toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(x)):
+        mine = got[got.cell_id == i]
+        assert list(mine["neighbor"]) == list(np.lexsort((np.arange(len(x)), d[i]))[:5]) and np.allclose(mine["distance"], np.sort(d[i])[:5])
+    assert qc.knn(df, df.limit(3), 5).groupBy("cell_id").count().where("count <> 3").count() == 0
+    assert qc.knn(df, df.where("false"), 5).count() == 0 and qc.knn(df.where("false"), df, 5).count() == 0

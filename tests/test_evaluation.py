@@ -426,11 +426,11 @@ def test_centroids(spark):
 def test_metadata_baseline_has_no_leak(spark):
     data = [("FLARE001", 1, 42.0, "F", 8, 0.75), ("FLARE002", 1, 39.0, "F", 8, 0.625), ("HC001", 0, 31.0, "Unknown", 8, 0.125), ("HC002", 0, 29.0, "F", 8, 0.25)]
     df = spark.createDataFrame(data, "donor_id string, label int, age double, sex string, n_cells int, b double")
-    rows_, scaled = arms.metadata_design(df, ["age", "n_cells", "b"], ["sex"], {"sex": ["F", "Unknown"]})
+    rows_, scaled = arms.metadata_design(df, ["age", "n_cells", "b"], ["sex"])
     fill = {r["donor_id"]: r["fill"] for r in rows_.collect()}
     assert fill["FLARE001"][0] == 31.0 and scaled == [True, True, True, False, False]
     assert not sp.loo_mode(df, "sex").where("donor_id = 'HC001'").head()["category_in_train"]
-    out = arms.metadata_loocv(df, ["age", "n_cells", "b"], ["sex"], {"sex": ["F", "Unknown"]})
+    out = arms.metadata_loocv(df, ["age", "n_cells", "b"], ["sex"])
     assert out.count() == 4 and out.where("score < 0 or score > 1").count() == 0
 
 
@@ -441,7 +441,7 @@ def test_imputed_rows_equal_explicit_rows(spark):
     holes = x.copy()
     holes[3, 0] = holes[8, 0] = np.nan
     df = spark.createDataFrame([(f"d{i:02d}", int(v), None if np.isnan(r[0]) else float(r[0]), float(r[1])) for i, (v, r) in enumerate(zip(y, holes))], "donor_id string, label int, a double, b double")
-    got = arms.metadata_loocv(df, ["a", "b"], [], {}).toPandas().sort_values("donor_id").reset_index(drop=True)
+    got = arms.metadata_loocv(df, ["a", "b"], []).toPandas().sort_values("donor_id").reset_index(drop=True)
     for i in (0, 3):
         train = np.delete(np.arange(14), i)
         full = np.where(np.isnan(holes), [np.nanmedian(holes[train, 0]), 0.0], holes)
@@ -469,3 +469,14 @@ def test_a_stratum_without_positives_keeps_its_replicates(spark):
     got = rs.permutation_auroc(df, n=6, by=["s"]).collect()
     assert sorted((r["s"], r["replicate"]) for r in got) == sorted((s, r) for s in ("none", "both") for r in range(6))
     assert all((r["auroc"] is None) == (r["s"] == "none") for r in got)
+
+
+def test_packed_replicates_equal_copied_features(cohort):
+    df, *_ = cohort
+    rows_ = md.shuffled_labels(df, 3, 11)
+    copied, picks = md.nested_cv(rows_, 4, c_grid=(0.01, 1.0), reps=range(3))
+    packed, same = md.nested_cv(rows_.drop("features"), 4, c_grid=(0.01, 1.0), reps=range(3), features=df)
+    a, b = (x.toPandas().sort_values(["rep", "donor_id"]).reset_index(drop=True) for x in (copied, packed))
+    assert np.allclose(a.score, b.score, atol=1e-9) and list(a.label) == list(b.label) and list(a.fold) == list(b.fold)
+    assert rows(picks, "rep", "fold") == rows(same, "rep", "fold")
+    assert md.repeated_cv(df, 2, 1, fixed_c=0.1).count() == 2
