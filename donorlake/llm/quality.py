@@ -41,6 +41,7 @@ DIM = 32
 NONZERO = 4  # entries of an index vector
 REACH = 2  # neighbours on either side
 BLOCK = 256  # table rows sent at a time
+FAN_IN = 256  # tasks whose sums are added up at once
 MAX_ROWS = 12_000
 _KINDS = bytes(
     65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256)
@@ -102,14 +103,19 @@ def context_counts(docs: DataFrame) -> DataFrame:
             [pa.array(used.astype(np.int32)), pa.array([cells[i].tobytes() for i in used], pa.binary())], names=["block", "body"]
         )
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BLOCK * DIM, np.int64)
-        for body in pdf["body"]:
-            total += np.frombuffer(body, np.int32)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "body": [total.tobytes()]})
+    def add(kind):
+        def total(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = np.zeros(BLOCK * DIM, np.int64)
+            for body in pdf["body"]:
+                out += np.frombuffer(body, kind)
+            return pd.DataFrame({"block": pdf["block"].iloc[:1], "body": [out.tobytes()]})
 
-    parts = docs.select("text").mapInArrow(run, "block int, body binary")
-    return parts.groupBy("block").applyInPandas(add, "block int, body binary")
+        return total
+
+    # Sums of up to FAN_IN tasks first, so that what meets for a block stays small however many tasks there are.
+    parts = docs.select("text").mapInArrow(run, "block int, body binary").withColumn("part", F.floor(F.spark_partition_id() / FAN_IN))
+    some = parts.groupBy("block", "part").applyInPandas(add(np.int32), "block int, body binary")
+    return some.groupBy("block").applyInPandas(add(np.int64), "block int, body binary")
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from donorlake.llm.text import WordTable, crc_fold, hash_sample, map_rows, mixed
+from donorlake.llm.text import WordTable, crc_fold, dropped, hash_sample, map_rows, mixed, written
 
 BITS = 22
 STEMS = (4, 5)  # bytes of a word's beginning that count as its stem
@@ -116,15 +116,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, epochs: int = 3, bits: int = BITS):
-    """Sparse weights (feature, weight) learnt from the labelled sample in a fixed order."""
-    rows = _document_features(labelled_sample(docs, labels, label, max_rows), ["doc_id", "y"], bits).toArrow()
-    at = np.lexsort((rows["y"].to_numpy(), mixed(rows["doc_id"].to_numpy().astype(np.uint64)))) if rows.num_rows else np.empty(0, int)
-    idx = [np.frombuffer(rows["idx"][int(i)].as_py(), np.int32) for i in at]
-    y = rows["y"].to_numpy()[at]
-    model, order = Ftrl(bits), np.random.default_rng(7)
-    for _ in range(epochs):
-        for i in order.permutation(len(idx)):
-            model.learn(idx[i], y[i])
+    """Sparse weights (feature, weight) learnt from the labelled sample, in another fixed order in every epoch.
+
+    The sample's features are written once and stream through the learner one partition at a time.
+    """
+    rows = written(_document_features(labelled_sample(docs, labels, label, max_rows), ["doc_id", "y"], bits), "sample-features")
+    model = Ftrl(bits)
+    for epoch in range(epochs):
+        order = [F.xxhash64("doc_id", F.lit(epoch)), "doc_id", "y", F.xxhash64("idx")]
+        for row in rows.orderBy(*order).select("y", "idx").toLocalIterator():
+            model.learn(np.frombuffer(row["idx"], np.int32), row["y"])
+    dropped(rows)
     return model.sparse()
 
 
