@@ -61,7 +61,7 @@ def repeated_cross_validation(spark, sf):
 @query("arm_run")
 def arm_run(spark, sf):
     """AUROC, interval, refit permutation p and sanity flag of the vector arm."""
-    return rounded(arms.run_arm("vectors", _vectors(spark, sf), 7, permutation_c=0.01))
+    return rounded(arms.run_arm("vectors", _vectors(spark, sf), 7, permutation_c=0.01, n_permutations=200))
 
 
 @query("external_scoring")
@@ -78,7 +78,7 @@ def cohort_probe(spark, sf):
     """Vectors of two label groups as two cohorts: how well membership is predicted."""
     v = table(spark, sf, "embeddings")
     side = lambda cond: v.where(cond).select(F.col("vec_id").alias("donor_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
-    return rounded(arms.cohort_probe(side(F.col("label") < 7), side(F.col("label") >= 7), 7, permutation_c=0.01))
+    return rounded(arms.cohort_probe(side(F.col("label") < 7), side(F.col("label") >= 7), 7, permutation_c=0.01, n_permutations=200))
 
 
 @query("metadata_leave_one_out")
