@@ -21,6 +21,7 @@ from donorlake.functions.columns import (
 )
 from donorlake.functions.scalars import as_true, is_finite, vector_problem
 from donorlake.operators.ordering import union_all
+from donorlake.session import durable
 
 # Allowed and forbidden domains of the manifests.
 SPLITS = ("train", "validation", "test", "external_validation", "holdout")
@@ -147,9 +148,10 @@ def _leakage_groups(rows: DataFrame) -> DataFrame:
         entry("label_leakage", ~is_missing("disease_label") & (s != ""), known("disease_label"), s),
     ]
     spread = rows.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
-    return spread.groupBy("check", "key", "detail").agg(
+    groups = spread.groupBy("check", "key", "detail").agg(
         F.count(F.lit(1)).alias("n"), F.min("side").alias("a"), F.max("side").alias("b"), F.max("t").alias("t"), F.max("h").alias("h")
     )
+    return durable(groups)  # else each rule's filter moves below the aggregate, and the manifest is read once per rule
 
 
 def _leakage_found(groups: DataFrame) -> DataFrame:
