@@ -155,12 +155,19 @@ def crc_fold() -> Column:
 
 
 def hash_sample(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """At most ``n`` rows: those with the smallest hashes of their keys.
+    """At most ``n`` distinct keys of the rows: those with the smallest hashes.
 
-    Large tables are first cut to about ``2 n`` rows by the hash alone, so that what meets in one task stays small.
+    Large tables are first cut to about ``2 n`` keys by the hash alone, so that what meets in one task stays small.
     """
-    total, order = rows.count(), F.xxhash64(*keys)
+    rows = rows.select(*keys).distinct()
+    total, order = rows.count(), F.shiftrightunsigned(F.xxhash64(*keys), 33)
     if total > 4 * n:
-        rows = rows.where(F.shiftrightunsigned(order, 33) < int(2**31 * (2 * n / total)))
-    order = F.shiftrightunsigned(order, 33)
+        rows = rows.where(order < int(2**31 * (2 * n / total)))
     return rows.orderBy(order, *keys).limit(n)
+
+
+def one_text(docs: DataFrame, picked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``picked``, a bounded sample, beside the text of one row of ``docs`` with the same ``keys``: the one with the smallest hash."""
+    rows = docs.join(F.broadcast(picked.select(*keys).distinct()), list(keys), "left_semi")
+    one = rows.groupBy(*keys).agg(F.min(F.struct(text_key().alias("k"), "text")).alias("one"))
+    return one.select(*keys, "one.text").join(F.broadcast(picked), list(keys))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from donorlake.llm.text import WordTable, crc_fold, dropped, hash_sample, map_rows, mixed, written
+from donorlake.llm.text import WordTable, crc_fold, dropped, hash_sample, map_rows, mixed, one_text, written
 
 BITS = 22
 STEMS = (4, 5)  # bytes of a word's beginning that count as its stem
@@ -108,11 +108,11 @@ def sigmoid(x):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """``doc_id, text, y`` of the training rows with the smallest hashes, ``max_rows`` at most."""
+    """``doc_id, text, y`` of the training rows with the smallest hashes, ``max_rows`` at most: one for each doc_id and label."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(crc_fold() != 0)
     picked = hash_sample(known, ["doc_id", "y"], max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # max_rows pairs of numbers
+    return one_text(docs, picked, ["doc_id"]).select("doc_id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, epochs: int = 3, bits: int = BITS):
