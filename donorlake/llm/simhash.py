@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from donorlake.llm.components import components
-from donorlake.llm.text import map_rows, written
+from donorlake.llm.text import map_rows, text_key, written
 
 THRESHOLD = 3
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # value by bit, lowest first
@@ -56,16 +56,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp bigint`` (the 64 bits as a signed number) of every row."""
+    """``doc_id, text_key, fp bigint`` (the 64 bits as a signed number) of every row."""
 
     def work():
         def each(batch: pa.RecordBatch):
-            fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            return [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            fps = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
+            return [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))]
 
         return each
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, fp bigint", work)
+    rows = docs.select("doc_id", text_key().alias("text_key"), "text")
+    return map_rows(rows, ["doc_id", "text_key", "text"], "doc_id bigint, text_key bigint, fp bigint", work)
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -137,15 +138,20 @@ def links(classes: DataFrame) -> DataFrame:
     return stars.unionByName(pairs)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row: component_id is the smallest doc_id reachable over links."""
+def _grouped(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, text_key, fp, component_id`` of every row."""
     rows = written(fingerprints(docs, shingle), "simhash")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(classes)).withColumnRenamed("node", "fp")
     linked = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     placed = linked.join(lowest, "root").select("fp", "component_id")
-    return rows.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(placed, "fp").select("doc_id", "text_key", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row: component_id is the smallest doc_id reachable over links."""
+    return _grouped(docs, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -153,6 +159,6 @@ def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     Rows without a doc_id are kept: nothing says which of them came first.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi")
+    heads = _grouped(docs, shingle).where("doc_id = component_id").select("doc_id", F.col("text_key").alias("_text_key")).distinct()
+    kept = docs.withColumn("_text_key", text_key()).join(heads, ["doc_id", "_text_key"], "left_semi").select(*docs.columns)
     return kept.unionByName(docs.where("doc_id IS NULL"))

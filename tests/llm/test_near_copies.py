@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from donorlake.llm import near_copies
+from donorlake.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -89,3 +89,10 @@ def test_stage_on_a_corpus(spark):
     kept = corpus_pipeline.near_copies(spark, docs, "")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == brute_heads(rows)
+
+
+@pytest.mark.parametrize("keep_first", [simhash.keep_first, near_copies.keep_first])
+def test_rows_of_one_doc_id_are_told_apart(spark, keep_first):
+    a, b = "one two three four five six seven", "red green blue black white grey pink"
+    docs = spark.createDataFrame([(2, a), (5, a), (5, b)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in keep_first(docs).collect()) == [(2, a), (5, b)]
