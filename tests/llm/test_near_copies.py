@@ -62,6 +62,8 @@ def edited():
 def test_stage_keeps_what_all_pairs_keep(spark, few, monkeypatch):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     monkeypatch.setattr(near_copies, "FEW_PAIRS", few)
+    if few == 10:
+        monkeypatch.setattr(near_copies, "PASS_BYTES", 1_000_000)
     rows = edited()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     kept = corpus_pipeline.near_copies(spark, docs, "")
