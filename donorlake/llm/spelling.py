@@ -1,13 +1,14 @@
 """Spelling variants of words: PartEnum signatures of letter multisets, equi-joined and verified.
 
-A word is a binary vector with a dimension for every letter and its number of
-occurrence (``banana``: a1 a2 a3 b1 n1 n2). A replaced letter moves two of them,
-an inserted or deleted one moves one. Dimensions are dealt into ``parts``;
-vectors that differ in at most two dimensions are equal outside some two parts,
-those that differ in one outside some one part. So words of one length meet at
-the signatures of all choices of two parts left out, words whose lengths differ
-by one at those of one part left out, and no pair is missed. Every meeting is
-verified by the edit distance.
+The letters of a word are a binary vector with a dimension for every half of the
+word, letter and number of occurrence (``ban|ana``: a1 b1 n1 | a1 a2 n1). A replaced
+letter moves two dimensions of one half, an inserted or deleted one moves one; the
+other half, a partition of the first level, stays equal. The dimensions of a half
+are dealt into ``parts`` of the second level: vectors that differ in at most two are
+equal outside some two parts, those that differ in one outside some one. So words of
+one length meet at the signatures of all choices of a half and two of its parts left
+out, words whose lengths differ by one at those of one part left out, and no pair is
+missed. Every meeting is verified by the edit distance.
 
 Letters are dealt by their frequency, so that all parts tell words apart, and
 more words get more parts, which keeps meetings by chance rare. A word's form is
@@ -88,8 +89,8 @@ def letter_ranks(words: DataFrame) -> dict[int, int]:
     return {ord(r["letter"]): i for i, r in enumerate(rows) if r["letter"]}
 
 
-def part_hashes(words: list[str], ranks: dict[int, int], parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per word and part, the hash of the word's dimensions in that part (a sum, so of a set); and the words' lengths."""
+def part_hashes(words: list[str], ranks: dict[int, int], parts: int) -> np.ndarray:
+    """Per word and part, the hash of the word's dimensions in that part (a sum, so of a set)."""
     size = np.fromiter(map(len, words), np.int64, len(words))
     code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
     owner = np.repeat(np.arange(len(words)), size)
@@ -105,7 +106,7 @@ def part_hashes(words: list[str], ranks: dict[int, int], parts: int) -> tuple[np
     out = np.zeros((len(words), parts), np.uint64)
     with np.errstate(over="ignore"):
         np.add.at(out, (owner, part), mixed((code.astype(np.uint64) << np.uint64(32)) + nth.astype(np.uint64) + np.uint64(1)))
-    return out, size
+    return out
 
 
 def choices(parts: int, left_out: int) -> list[tuple[int, ...]]:
@@ -113,18 +114,33 @@ def choices(parts: int, left_out: int) -> list[tuple[int, ...]]:
     return [(i,) for i in range(parts)] if left_out == 1 else [(i, j) for i in range(parts) for j in range(i)]
 
 
+def halves(word: str, longer: int) -> list[tuple[str, str]]:
+    """The word as (equal half, changed half), once for each half that may have changed.
+
+    A word that has one letter more than its partner (``longer`` 1) is cut where the partner is: before the extra letter
+    if that lies in the second half, after it if it lies in the first.
+    """
+    cut = (len(word) - longer) // 2
+    return [(word[:cut], word[cut:]), (word[cut + longer :], word[: cut + longer])]
+
+
 def signatures(words: DataFrame, ranks: dict[int, int], parts: int, left_out: int, longer: int = 0) -> DataFrame:
-    """``sig, word``: one signature per choice of ``left_out`` parts, of what the word has in the other parts and its length less ``longer``."""
+    """``sig, word``: for either half and every choice of ``left_out`` parts, one signature of the other half's letters, of what
+    this half has in the other parts, and of the word's length less ``longer``."""
     chosen = choices(parts, left_out)
 
     def work():
         def each(batch: pa.RecordBatch):
             texts = batch.column(0).to_pylist()
-            hashes, size = part_hashes(texts, ranks, parts)
-            with np.errstate(over="ignore"):
-                total = hashes.sum(axis=1) + mixed((size - longer).astype(np.uint64))
-                sigs = [mixed(total - hashes[:, list(out)].sum(axis=1)) + np.uint64(k) for k, out in enumerate(chosen)]
-            word = batch.column(0).take(pa.array(np.tile(np.arange(len(texts)), len(chosen))))
+            size = np.fromiter(map(len, texts), np.int64, len(texts)) - longer
+            cut, sigs = [halves(w, longer) for w in texts], []
+            for side in (0, 1):
+                same = part_hashes([c[side][0] for c in cut], ranks, parts).sum(axis=1)
+                hashes = part_hashes([c[side][1] for c in cut], ranks, parts)
+                with np.errstate(over="ignore"):
+                    total = hashes.sum(axis=1) + mixed(same + mixed(size.astype(np.uint64) * np.uint64(2) + np.uint64(side)))
+                    sigs += [mixed(total - hashes[:, list(out)].sum(axis=1)) + np.uint64(k) for k, out in enumerate(chosen)]
+            word = batch.column(0).take(pa.array(np.tile(np.arange(len(texts)), len(sigs))))
             return [pa.array(np.concatenate(sigs).view(np.int64)), word]
 
         return each
@@ -133,8 +149,8 @@ def signatures(words: DataFrame, ranks: dict[int, int], parts: int, left_out: in
 
 
 def parts_for(words: int) -> int:
-    """More words are told apart by more parts: 6 up to a million, then one more for every fourfold."""
-    return 6 + max(0, math.ceil(math.log(max(1, words) / 1e6, 4)))
+    """More words are told apart by more parts: 4 up to a million, then one more for every fourfold."""
+    return 4 + max(0, math.ceil(math.log(max(1, words) / 1e6, 4)))
 
 
 def near_words(words: DataFrame, parts: int | None = None) -> DataFrame:
