@@ -6,6 +6,8 @@ fit's gradient and curvature, and sends one vector per fit; Spark sums the
 vectors by fit and the solve runs on the summed rows. No group of rows is
 ever gathered, so rows may grow without limit. A pass takes as many fits as
 keep fits × features² within a task's bound; the rest follow in further passes.
+Where one fit's features² alone are over that bound, ``quasi_newton`` reaches the
+same optimum with a few vectors per fit.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from donorlake.functions.scalars import euclidean, inverse_distance
 from donorlake.operators.donors import mean_pool
+from donorlake.operators import quasi_newton as qn
 from donorlake.operators.metrics import auroc
 from donorlake.operators.ordering import hash_rank, union_all, with_group_totals
 from donorlake.session import durable, task_slots
@@ -54,6 +57,7 @@ class Fitted:
     iterations: int = 0
     converged: np.ndarray | None = None  # per fit; a fit whose training rows have one class has no weights and counts as done
     fill: np.ndarray | None = field(default=None)
+    kkt: np.ndarray | None = None  # greatest entry of each fit's gradient
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
@@ -160,12 +164,46 @@ def _newton_step(state, penalty: np.ndarray):
                 hess = np.zeros((p + 1, p + 1))
                 hess[np.triu_indices(p + 1)] = s[p + 2 :]
                 hess = c * (np.triu(hess) + np.triu(hess, 1).T) + np.diag(np.append(np.ones(p), 1e-12))
-                rows.append((int(fit), float(c * s[0] + 0.5 * ridge @ ridge), -np.linalg.solve(hess, grad)))
-            yield pd.DataFrame(rows, columns=["fit", "loss", "step"])
+                rows.append((int(fit), float(c * s[0] + 0.5 * ridge @ ridge), float(np.abs(grad).max()), -np.linalg.solve(hess, grad)))
+            yield pd.DataFrame(rows, columns=["fit", "loss", "kkt", "step"])
 
     return solve
 
 
+def _ladder(fits, rows, balanced, fills, mean, scale, n, cases, fit_side):
+    """The pass of ``quasi_newton``: only what the fits of the pass need is broadcast, and freed again."""
+    spark = rows.sparkSession
+
+    def evaluate(live, w, steps, lengths):
+        sides = sorted({int(fit_side[i]) for i in live})
+        at = {s: k for k, s in enumerate(sides)}
+        keys = [(fits[i].rep, (k, at[int(fit_side[i])], fits[i].out)) for k, i in enumerate(live)]
+        plan: dict[int, list] = {}
+        for rep, entry in keys:
+            plan.setdefault(rep, []).append(entry)
+        part = lambda x: None if x is None else x[sides]
+        state = spark.sparkContext.broadcast((plan, part(fills), mean[sides], scale[sides], n[sides], cases[sides], w, steps, lengths))
+
+        def kernel(pdf: pd.DataFrame):
+            plan, fill, mu, sd, n_side, case_side, w, steps, lengths = state.value
+            for rep, _at, xr, fr, yr in _replicates(pdf):
+                last, z, yt, weight = None, None, None, None
+                for k, s, out in sorted(plan.get(rep, ()), key=lambda e: e[1]):
+                    if s != last:  # one side's rows are scaled at a time
+                        train, _scored = _inside(fr, out)
+                        z = (_filled(xr[train], None if fill is None else fill[s]) - mu[s]) / sd[s]
+                        z, yt, weight, last = np.column_stack([z, np.ones(len(z))]), yr[train].astype("float64"), np.ones(train.sum()), s
+                        if balanced:
+                            weight = np.where(yt == 1, n_side[s] / (2 * case_side[s]), n_side[s] / (2 * (n_side[s] - case_side[s])))
+                    yield k, qn.ladder_sums(z, yt, weight, w[k], steps[k], lengths[k])
+
+        for row in _sum_by_fit(rows, kernel, w.shape[1] + len(qn.LADDER)).toLocalIterator():
+            yield row["fit"], np.asarray(row["stats"])
+        state.unpersist()
+
+    return evaluate
+
+
 def fit_logistic(
     rows: DataFrame,
     fits: Sequence[Fit],
@@ -176,6 +214,7 @@ def fit_logistic(
     tolerance: float = 1e-10,
     max_iter: int = 60,
     on_unconverged: str = "fail",
+    solver: str | None = None,
 ) -> Fitted:
     """Minimise ½‖w‖² + C·Σ loss with a free intercept for every fit.
 
@@ -185,6 +224,8 @@ def fit_logistic(
     its contribution are exactly 0. ``scaled`` switches that off per column. NaN features
     take the fit's ``fill`` values. ``balanced`` weighs classes by n / (2·n_class).
     Fits that haven't converged after ``max_iter`` steps fail, or are told apart by ``converged`` with ``keep``.
+    ``solver`` is ``newton`` (features² doubles per fit), ``matrix-free`` (a few vectors per fit), or the first wherever
+    one fit fits a task. The greatest entry of every fit's gradient is in ``kkt``.
     """
     fits = list(fits)
     p = size
@@ -239,10 +280,18 @@ def fit_logistic(
     # Damped Newton. ``w`` is the point being tried, ``good`` the last accepted one.
     w = np.zeros((len(fits), p + 1))
     good, good_loss = w.copy(), np.full(len(fits), np.inf)
-    active = ~one_class
+    active, kkt = ~one_class, np.full(len(fits), np.nan)
     penalty = np.array([f.c for f in fits])
     rounds = 0
-    while active.any() and rounds < max_iter:
+    matrices = width <= MAX_STATE if solver is None else solver == "newton"
+    if not matrices:
+        left = np.flatnonzero(active)
+        evaluate = _ladder([fits[i] for i in left], rows, balanced, side_fill, mean, scale, n, cases, fit_side[left])
+        good[left], kkt[left], reached, rounds = qn.minimise(
+            [fits[i] for i in left], p, penalty[left], evaluate, MAX_STATE, max(tolerance, 1e-9), 20 * max_iter
+        )
+        active[left] = ~reached
+    while matrices and active.any() and rounds < max_iter:
         rounds += 1
         live = np.flatnonzero(active)
         for start in range(0, len(live), per_pass):
@@ -251,14 +300,14 @@ def fit_logistic(
                 (_by_rep([(fits[i].rep, (i, fits[i].out)) for i in chunk]), side_fill, mean, scale, w, n, cases, fit_side)
             )
             stepped = _sum_by_fit(rows, _curvature(state, balanced), width).mapInPandas(
-                _newton_step(state, penalty), "fit int, loss double, step array<double>"
+                _newton_step(state, penalty), "fit int, loss double, kkt double, step array<double>"
             )
             for row in stepped.toLocalIterator():
                 i, loss, step = row["fit"], row["loss"], np.asarray(row["step"])
                 if loss > good_loss[i] + 1e-9 * max(1.0, abs(good_loss[i])):
                     w[i] = (w[i] + good[i]) / 2.0
                     continue
-                good[i], good_loss[i] = w[i].copy(), loss
+                good[i], good_loss[i], kkt[i] = w[i].copy(), loss, row["kkt"]
                 if np.abs(step).max() <= tolerance * max(1.0, np.abs(w[i]).max()):
                     active[i] = False
                 else:
@@ -267,7 +316,7 @@ def fit_logistic(
     if active.any() and on_unconverged == "fail":
         raise RuntimeError(f"{int(active.sum())} of {len(fits)} fits have not converged after {max_iter} steps")
     good[one_class] = np.nan
-    return Fitted(fits, mean[fit_side], scale[fit_side], good, n[fit_side].astype(int), cases[fit_side].astype(int), rounds, ~active, fill)
+    return Fitted(fits, mean[fit_side], scale[fit_side], good, n[fit_side].astype(int), cases[fit_side].astype(int), rounds, ~active, fill, kkt)
 
 
 def _passes(n: int, p: int) -> list[range]:
@@ -278,6 +327,15 @@ def _passes(n: int, p: int) -> list[range]:
 
 def score_fits(rows: DataFrame, fitted: Fitted, keep: Sequence[str] = ("donor_id",), everyone: bool = False) -> DataFrame:
     """Probability of class 1 for the rows each fit left out last (or for all rows): ``fit, rep, keep…, label, score``."""
+    passes = _passes(len(fitted.fits), 3 * fitted.weights.shape[1])
+    if len(passes) > 1:  # the weights of one pass are broadcast at a time
+        part = lambda a, at: None if a is None else a[at.start : at.stop]
+        done = [
+            score_fits(rows, Fitted(fitted.fits[at.start : at.stop], *(part(a, at) for a in (fitted.mean, fitted.scale, fitted.weights, fitted.n_train, fitted.n_cases)), fill=part(fitted.fill, at)), keep, everyone)
+            .withColumn("fit", F.col("fit") + at.start)
+            for at in passes
+        ]
+        return union_all(done)
     schema = {f.name: f.dataType.simpleString() for f in rows.schema}
     head = ", ".join(f"`{c}` {schema[c]}" for c in keep)
     state = (_by_rep([(f.rep, (i, f.out)) for i, f in enumerate(fitted.fits)]), fitted.mean, fitted.scale, fitted.weights, fitted.fill)
@@ -367,9 +425,12 @@ def nested_cv(
         chosen = {(r, o): float(fixed_c) for r in reps for o in range(outer)}
     else:
         search = [Fit(r, ((0, o), (1 + o, i)), c) for r in reps for o in range(outer) for i in range(inner) for c in c_grid]
-        fitted = fit_logistic(rows, search, size, balanced)
-        scored = score_fits(rows, fitted, [key]).where("score IS NOT NULL")  # a fold with one class has no fit
-        per_fit = auroc(scored, by=["fit"]).select("fit", "auroc").toPandas().set_index("fit")["auroc"]
+        per_fit: dict[int, float] = {}
+        for held in _passes(len(search), 3 * size):  # weights of a pass are dropped when it is scored
+            fitted = fit_logistic(rows, search[held.start : held.stop], size, balanced)
+            scored = score_fits(rows, fitted, [key]).where("score IS NOT NULL")  # a fold with one class has no fit
+            for row in auroc(scored, by=["fit"]).select("fit", "auroc").collect():
+                per_fit[held.start + row["fit"]] = row["auroc"]
         table = pd.DataFrame([(f.rep, f.out[0][1], f.c) for f in search], columns=["rep", "fold", "c"])
         table["auroc"] = [per_fit.get(i) for i in range(len(search))]
         means = table.groupby(["rep", "fold", "c"], as_index=False)["auroc"].mean()
@@ -468,18 +529,22 @@ def shuffled_labels(donors: DataFrame, n: int, seed: int, key: str = "donor_id",
     return ranked.withColumn(label, (F.col("_pos") <= F.col("_p")).cast("int")).drop("_pos", "_p")
 
 
-def permutation_refit(donors: DataFrame, n: int, seed: int, key: str = "donor_id", label: str = "label", stage: int = 500, **options) -> DataFrame:
+def permutation_refit(donors: DataFrame, n: int, seed: int, key: str = "donor_id", label: str = "label", stage: int | None = None, **options) -> DataFrame:
     """AUROC of the whole cross-validation refitted on permuted labels, per replicate.
 
-    ``fixed_c`` in ``options`` skips the inner search. Replicates run in stages
-    so that the state of one stage stays bounded.
+    ``fixed_c`` in ``options`` skips the inner search. Replicates run in stages (``stage`` at a time, or as many as
+    have bounded weights) so that the state of one stage stays bounded; the scores of a stage are written.
     """
     frames = []
+    if stage is None:
+        size = donors.select(F.max(F.size("features"))).head()[0]
+        stage = min(500, max(1, MAX_STATE // (3 * (size + 1) * options.get("outer", OUTER_FOLDS))))
     for start in range(0, n, stage):
         count = min(stage, n - start)
         rows = shuffled_labels(donors.select(key, label), count, seed + 7919 * start, key, label)
         oof, _ = nested_cv(rows, seed, key=key, label=label, reps=range(count), features=donors, **options)
-        frames.append(auroc(oof, by=["rep"]).select((F.col("rep") + start).alias("replicate"), "auroc"))
+        part = auroc(oof, by=["rep"]).select((F.col("rep") + start).alias("replicate"), "auroc")
+        frames.append(durable(part) if n > stage else part)
     return union_all(frames)
 
 

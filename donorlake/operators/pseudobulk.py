@@ -6,12 +6,14 @@ absent, so every mean divides by the number of cells, not by the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from donorlake.operators.ordering import with_group_totals
+from donorlake.operators.ordering import global_rank, with_group_totals
 
 
 def restrict_genes(counts: DataFrame, genes: DataFrame, gene: str = "gene_id") -> DataFrame:
@@ -127,7 +129,7 @@ def feature_arrays(
     """Long rows to one ordered array per donor. The feature list must fit ``size`` (a donor's array is one value)."""
     n = features.select(feature).distinct().count()
     if n > size:
-        raise ValueError(f"{n} features exceed the array bound {size}; keep the long form")
+        raise ValueError(f"{n} features exceed the array bound {size}; use blocked_arrays")
     pairs = F.array_sort(F.collect_list(F.struct(F.col(feature), F.col(value))))
     return features.groupBy(donor).agg(pairs.alias("_pairs")).select(
         donor,
@@ -139,3 +141,67 @@ def feature_arrays(
 def feature_columns(features: DataFrame, names: Sequence, donor: str = "donor_id", feature: str = "feature_id", value: str = "value") -> DataFrame:
     """Wide form for a short, given list of features; absent values are 0."""
     return features.groupBy(donor).pivot(feature, list(names)).agg(F.first(value)).fillna(0.0)
+
+
+BLOCK = 4096  # features of a block of the donor matrix
+
+
+def feature_positions(features: DataFrame, feature: str = "feature_id") -> DataFrame:
+    """``feature, position``: features numbered from 0 in their order."""
+    ranked = global_rank(features.select(feature).distinct(), [feature], name="_r")
+    return ranked.select(feature, (F.col("_r") - 1).alias("position"))
+
+
+def blocked_arrays(
+    features: DataFrame, positions: DataFrame, donor: str = "donor_id", feature: str = "feature_id", value: str = "value", block: int = BLOCK
+) -> DataFrame:
+    """Long rows to the donor matrix in blocks: ``donor, block, first, values array<double>``.
+
+    ``positions (feature, position)`` gives the columns; absent values are 0, and so are blocks without a row (they have
+    none). A row holds ``block`` values at most, so donors and features may both grow without limit. A feature without a
+    position is left out; NULL values and repeated entries fail.
+    """
+    placed = features.join(positions.select(feature, "position"), feature).select(donor, "position", F.col(value).cast("double").alias("x"))
+    placed = placed.withColumn("block", F.floor(F.col("position") / block).cast("bigint"))
+    entry = F.struct((F.col("position") - F.col("block") * block).cast("int").alias("at"), "x")
+    gathered = placed.groupBy(donor, "block").agg(F.collect_list(entry).alias("e"), F.count_if(F.col("x").isNull()).alias("_null"), F.countDistinct("position").alias("_d"))
+    bad = (F.col("_null") > 0) | (F.col("_d") < F.size("e"))
+    gathered = gathered.withColumn("e", F.when(bad, F.raise_error(F.lit("a feature of a donor is NULL or repeated"))).otherwise(F.col("e")))
+    kind = dict(features.dtypes)[donor]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = batch.column(2)
+            out = np.zeros((batch.num_rows, block))
+            who = np.repeat(np.arange(batch.num_rows), e.value_lengths().to_numpy())
+            flat = e.flatten()
+            out[who, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+            values = pa.ListArray.from_arrays(np.arange(0, out.size + 1, block, dtype=np.int32), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], names=[donor, "block", "values"])
+
+    filled = gathered.select(donor, "block", "e").mapInArrow(run, f"`{donor}` {kind}, block bigint, `values` array<double>")
+    return filled.select(donor, "block", (F.col("block") * block).alias("first"), "values")
+
+
+def long_rows(blocks: DataFrame, positions: DataFrame, donor: str = "donor_id", feature: str = "feature_id", value: str = "value") -> DataFrame:
+    """Blocks back to long rows; zeros are left out."""
+    flat = blocks.select(donor, "first", F.posexplode("values").alias("at", value)).where(F.col(value) != 0)
+    flat = flat.select(donor, (F.col("first") + F.col("at")).alias("position"), value)
+    return flat.join(positions.select(feature, "position"), "position").select(donor, feature, value)
+
+
+def blocked_cpm(blocks: DataFrame, donor: str = "donor_id") -> DataFrame:
+    """log1p counts per million on the blocks themselves: a total per donor, then one expression per block."""
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    totals = blocks.groupBy(donor).agg(F.sum(add("values")).alias("_t"))
+    return with_group_totals(blocks, totals, [donor]).withColumn(
+        "values", F.transform("values", lambda x: F.when(F.col("_t") > 0, F.log1p(x / F.col("_t") * 1e6)).otherwise(0.0))
+    ).drop("_t")
+
+
+def model_rows(blocks: DataFrame, size: int, donor: str = "donor_id", block: int = BLOCK) -> DataFrame:
+    """``donor, features array<double>`` of ``size`` values for the model operators: a donor's blocks in order, absent ones 0."""
+    held = blocks.groupBy(donor).agg(F.map_from_entries(F.collect_list(F.struct("block", "values"))).alias("_b"))
+    every = F.sequence(F.lit(0), F.lit(max(0, -(-size // block) - 1)))
+    whole = F.flatten(F.transform(every, lambda i: F.coalesce(F.col("_b")[i.cast("bigint")], F.array_repeat(F.lit(0.0), block))))
+    return held.select(donor, F.slice(whole, 1, size).alias("features"))

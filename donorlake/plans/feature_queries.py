@@ -200,6 +200,22 @@ def donor_feature_arrays(spark, sf):
     return flat.select("donor_id", F.col("col.features").alias("feature"), F.col("col.values").alias("value"), F.col("pos").cast("bigint").alias("pos"))
 
 
+@query(
+    "blocked_matrix_round_trip",
+    r6(
+        f"""WITH {CELLS}, {COUNTS}, s AS (SELECT nation_id AS donor_id, gene_id, sum(value) AS value FROM counts JOIN cells USING (cell_id) GROUP BY ALL)
+    SELECT donor_id, gene_id, ln(1 + value / sum(value) OVER (PARTITION BY donor_id) * 1e6) AS value FROM s""",
+        "value",
+    ),
+)
+def blocked_matrix_round_trip(spark, sf):
+    """Sums of nations and genes as a blocked matrix, normalised there, and back to long rows."""
+    sums = pb.pseudobulk(counts(spark, sf), cells(spark, sf).withColumn("donor_id", F.col("nation_id")))
+    positions = pb.feature_positions(sums, "gene_id")
+    blocks = pb.blocked_cpm(pb.blocked_arrays(sums, positions, feature="gene_id", block=512))
+    return rounded(pb.long_rows(blocks, positions, feature="gene_id"))
+
+
 @query(
     "mean_pooled_vectors",
     r6(

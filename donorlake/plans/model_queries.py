@@ -9,6 +9,7 @@ from donorlake.operators import donors as dn
 from donorlake.operators import metrics as mt
 from donorlake.operators import models as md
 from donorlake.operators import pseudobulk as pb
+from donorlake.operators import quasi_newton as qn
 from donorlake.operators import splits as sp
 from donorlake.plans import arms
 from donorlake.plans.registry import CELLS, COUNTS, cells, counts, query, r6, table
@@ -110,6 +111,66 @@ def wide_feature_cross_validation(spark, sf):
     return rounded(md.cv_wide(features, donors, 7, 0.01, feature="gene_id", value="log1p_cpm"))
 
 
+_WIDE_C = (0.01, 1.0)
+
+
+@query(
+    "wide_fit_residuals",
+    f"""WITH {CELLS}, {COUNTS}, donors AS (
+      SELECT DISTINCT nation_id AS donor_id, (n_regionkey < 2)::INT AS label, nation_id % 5 AS fold
+      FROM counts JOIN cells USING (cell_id) JOIN nation ON nation_id = n_nationkey)
+    SELECT f.fold::INT AS fold, c::DOUBLE AS c, count(*) AS n_train, sum(label)::BIGINT AS n_cases, true AS converged, 0.0::DOUBLE AS kkt
+    FROM range(0, 5) f(fold) JOIN donors d ON d.fold <> f.fold CROSS JOIN (VALUES ({_WIDE_C[0]}), ({_WIDE_C[1]})) v(c) GROUP BY f.fold, c""",
+)
+def wide_fit_residuals(spark, sf):
+    """Nations against all genes by the matrix-free solver, five folds and two values of C: every fit's gradient is zero."""
+    features = arms.pseudobulk_features(counts(spark, sf), cells(spark, sf).withColumn("donor_id", F.col("nation_id")))
+    donors = table(spark, sf, "nation").select(F.col("n_nationkey").alias("donor_id"), (F.col("n_regionkey") < 2).cast("int").alias("label"))
+    positions = pb.feature_positions(features, "gene_id")
+    blocks = pb.blocked_arrays(features, positions, feature="gene_id", value="log1p_cpm")
+    size = positions.count()
+    rows = pb.model_rows(blocks, size).join(donors, "donor_id")
+    rows = durable(rows.withColumns({"rep": F.lit(0), "folds": F.array((F.col("donor_id") % 5).cast("int"))}))
+    fits = [md.Fit(0, ((0, i),), c) for i in range(5) for c in _WIDE_C]
+    fitted = md.fit_logistic(rows, fits, size, solver="matrix-free")
+    fold = spark.createDataFrame([(i, f.out[0][1]) for i, f in enumerate(fits)], "fit int, fold int")
+    out = qn.residuals(fits, fitted.kkt, fitted.n_train, fitted.n_cases, fitted.converged, spark).join(fold, "fit")
+    return out.select("fold", "c", "n_train", "n_cases", "converged", F.round("kkt", 5).alias("kkt"))
+
+
+# Newton's method for two standardised features and an intercept: sums over all rows, then the 3 x 3 solve by cofactors.
+_NEWTON = """
+raw AS (SELECT (label < 5)::INT AS y, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2 FROM embeddings),
+z AS (SELECT y, (x1 - avg(x1) OVER ()) / stddev_pop(x1) OVER () AS z1, (x2 - avg(x2) OVER ()) / stddev_pop(x2) OVER () AS z2 FROM raw),
+steps AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS b
+  UNION ALL
+  SELECT k + 1,
+    w1 - ((h22 * h33 - h23 * h23) * g1 + (h13 * h23 - h12 * h33) * g2 + (h12 * h23 - h13 * h22) * g3) / det,
+    w2 - ((h13 * h23 - h12 * h33) * g1 + (h11 * h33 - h13 * h13) * g2 + (h12 * h13 - h11 * h23) * g3) / det,
+    b - ((h12 * h23 - h13 * h22) * g1 + (h12 * h13 - h11 * h23) * g2 + (h11 * h22 - h12 * h12) * g3) / det
+  FROM (
+    SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h13 * h23) + h13 * (h12 * h23 - h13 * h22) AS det FROM (
+      SELECT k, w1, w2, b, w1 + C * sum((p - y) * z1) AS g1, w2 + C * sum((p - y) * z2) AS g2, C * sum(p - y) AS g3,
+        1 + C * sum(p * (1 - p) * z1 * z1) AS h11, C * sum(p * (1 - p) * z1 * z2) AS h12, C * sum(p * (1 - p) * z1) AS h13,
+        1 + C * sum(p * (1 - p) * z2 * z2) AS h22, C * sum(p * (1 - p) * z2) AS h23, C * sum(p * (1 - p)) AS h33
+      FROM (SELECT steps.*, z.*, 1 / (1 + exp(-(w1 * z1 + w2 * z2 + b))) AS p FROM steps, z WHERE k < 12) GROUP BY k, w1, w2, b)))"""
+
+
+@query(
+    "two_feature_fit",
+    f"""WITH RECURSIVE {_NEWTON.replace("C *", "0.1 *")}
+    SELECT unnest(['intercept', 'x1', 'x2']) AS term, round(unnest([b, w1, w2]), 6) AS weight FROM steps WHERE k = 12""",
+)
+def two_feature_fit(spark, sf):
+    """Weights of two standardised dimensions by the matrix-free solver."""
+    rows = _vectors(spark, sf).withColumn("features", F.slice("features", 1, 2))
+    rows = durable(rows.withColumns({"rep": F.lit(0), "folds": F.array(F.lit(0))}))
+    fitted = md.fit_logistic(rows, [md.Fit(0, ((0, -1),), 0.1)], 2, solver="matrix-free")
+    w = fitted.weights[0]
+    return rounded(spark.createDataFrame(list(zip(("intercept", "x1", "x2"), (float(w[2]), float(w[0]), float(w[1])))), "term string, weight double"))
+
+
 @query("model_coefficients")
 def model_coefficients(spark, sf):
     rows = _vectors(spark, sf)
