@@ -168,7 +168,7 @@ def test_chains_of_forms(spark):
 
 def test_near_words_are_equal_outside_a_few_parts():
     rng = random.Random(6)
-    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(7, 9))) for _ in range(400)})
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(7, 9))) for _ in range(1500)})
     ranks, found = {ord(c): i for i, c in enumerate("dbac")}, 0
     for parts in (3, 4, 7):
         for a, others in brute_near(words).items():
