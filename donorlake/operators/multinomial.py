@@ -8,6 +8,7 @@ replicate. The number is the quantile of a uniform value that depends on (seed,
 stratum, replicate, range) only: not on partitioning, retries, or how ranges are dealt
 to tasks. Ranges above ``LEAF`` ranks are dealt to tasks, each of which walks down
 from the whole stratum; no task holds more than a leaf's cells for a chunk of replicates.
+The walk takes about a tenth of a leaf's own time at 1e8 ranks, and as much as that at 1e10.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ def uniform(seed: int, *keys) -> np.ndarray:
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """For whole numbers from 1 on."""
     x = np.asarray(x, np.float64)
+    if x.max(initial=1) < 200:
+        return _TABLE[x.astype(np.int64)]
     far = np.maximum(x, 200.0)
     series = (far - 0.5) * np.log(far) - far + 0.5 * np.log(2 * np.pi) + 1 / (12 * far) - 1 / (360 * far**3) + 1 / (1260 * far**5)
     return np.where(x < 200, _TABLE[np.minimum(x, 200).astype(np.int64)], series)
@@ -82,10 +85,10 @@ def _lower(lo: np.ndarray, hi: np.ndarray, m: np.ndarray, seed: int, stratum: in
     return out
 
 
-def leaves(n: int) -> list[tuple[int, int]]:
-    """The ranges of ``n`` ranks that are dealt to tasks."""
+def leaves(n: int, leaf: int = LEAF) -> list[tuple[int, int]]:
+    """The ranges of ``n`` ranks that are dealt to tasks, of ``leaf`` ranks at most."""
     ranges = [(0, n)]
-    while ranges and ranges[0][1] - ranges[0][0] > LEAF:
+    while max(hi - lo for lo, hi in ranges) > leaf:
         ranges = [half for lo, hi in ranges for half in ((lo, (lo + hi) // 2), ((lo + hi) // 2, hi))]
     return ranges
 

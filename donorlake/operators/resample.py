@@ -1,20 +1,21 @@
 """Bootstrap, permutation and multiple-testing operators.
 
-Replicates are a key. Which rows a replicate draws depends on (seed, replicate,
-position) or (seed, replicate, id) only, so results do not change with
-partitioning, and a lost executor recomputes the same draws.
+Replicates are a key. What a replicate draws depends on (seed, replicate, range of
+ranks) or (seed, replicate, id) only, so results do not change with partitioning,
+and a lost executor recomputes the same draws.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from donorlake.functions.hashing import draw
-from donorlake.operators.metrics import auroc
-from donorlake.operators.ordering import global_rank, hash_draw_sums, hash_rank, mid_ranks, running_totals, union_all, with_group_totals
+from donorlake.operators import multinomial as mn
+from donorlake.operators.ordering import hash_draw_sums, hash_rank, mid_ranks, running_totals, union_all, with_group_totals
 from donorlake.session import durable, task_slots
 
 
@@ -24,6 +25,32 @@ def _spread(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.repartition(slots, *keys).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+REPLICATES = 64  # replicates that a task weighs together
+
+
+def _cells(df: DataFrame, scores: Sequence[str], label: str, by: Sequence[str]) -> DataFrame:
+    """Rows folded to what counts, ``by…, _s0…, _y, _start, _end, _n``: the ranks of every cell in its stratum of ``_n`` rows."""
+    value = lambda s: F.when(F.col(s).isNull(), F.raise_error(F.lit(f"{s} is NULL"))).otherwise(F.col(s).cast("double"))
+    named = df.select(*by, *[value(s).alias(f"_s{i}") for i, s in enumerate(scores)], F.col(label).cast("int").alias("_y"))
+    order = [*by, *[f"_s{i}" for i in range(len(scores))], "_y"]
+    cells = named.groupBy(*order).agg(F.count(F.lit(1)).alias("_c"))
+    placed = durable(cells.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.sum("_c").alias("_k"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
+    ranked = placed.withColumn("_local", F.sum("_c").over(inside)).join(offsets, "_part").withColumn("_end", F.col("_before") + F.col("_local"))
+    strata = ranked.groupBy(*by).agg(F.min(F.col("_end") - F.col("_c")).alias("_zero"), F.sum("_c").alias("_n"))
+    whole = with_group_totals(ranked, strata, by)
+    return whole.select(*order, (F.col("_end") - F.col("_c") - F.col("_zero")).alias("_start"), (F.col("_end") - F.col("_zero")).alias("_end"), "_n")
+
+
+def _auroc_sums(score: np.ndarray, pos: np.ndarray, neg: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted positives, negatives and pairs won of sorted distinct scores, with ``below`` negatives under them (per replicate)."""
+    under = np.cumsum(neg, axis=0) - neg + below
+    return pos.sum(axis=0), neg.sum(axis=0), (pos * (under + 0.5 * neg)).sum(axis=0)
+
+
 def bootstrap_auroc(
     df: DataFrame,
     scores: Sequence[str] = ("score",),
@@ -35,19 +62,130 @@ def bootstrap_auroc(
 ) -> DataFrame:
     """AUROC of each arm on rows drawn with replacement, per replicate (and stratum).
 
-    All arms see the same draws. A replicate that drew one class only has a NULL AUROC.
+    A replicate is a weight per distinct (scores, label), by ``multinomial``; no row is drawn or joined. All arms see the
+    same draws. A replicate that drew one class only has a NULL AUROC; NULL scores fail. Rows with a NULL label are drawn
+    but count for neither class. ``key`` isn't needed any more: rows that are equal in all that counts share their draws.
     """
-    by = list(by)
-    rows = global_rank(df.select(*by, key, label, *scores), [key], by, name="_rank").withColumn("_ix", F.col("_rank") - 1)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    slots = with_group_totals(rows.select(*by, "_ix"), sizes, by)
-    picks = _spread(slots, n, *by, "_ix").select(
-        *by, "replicate", (draw(seed, *by, "replicate", "_ix") % F.col("_n")).alias("_ix")
+    by, arms, spark = list(by), len(scores), df.sparkSession
+    # Leaves are bounded; a cell that lies over several is cut.
+    leaf, kinds = mn.LEAF, {f.name: f.dataType.simpleString() for f in df.schema}
+    head = "".join(f"`{c}` {kinds[c]}, " for c in by)
+    cells = _cells(df, scores, label, by)
+    values = [f"_s{i}" for i in range(arms)]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for size, part in pdf.groupby("_n"):
+                if size not in edges:
+                    edges = {size: np.array([lo for lo, _ in mn.leaves(int(size), leaf)] + [int(size)])}
+                edge = edges[size]
+                one = np.searchsorted(edge, part["_start"], side="right") - 1
+                many = np.searchsorted(edge, part["_end"] - 1, side="right") - one
+                part = part.loc[part.index.repeat(many)]
+                at = np.repeat(one, many) + np.arange(len(part)) - np.repeat(np.cumsum(many) - many, many)
+                part = part.assign(_first=edge[at], _last=edge[at + 1])
+                yield part.assign(_start=np.maximum(part["_start"], part["_first"]), _end=np.minimum(part["_end"], part["_last"]))
+
+    shape = head + "".join(f"{v} double, " for v in values) + "_y int, _start bigint, _end bigint, _n bigint"
+    pieces = cells.mapInPandas(cut, shape + ", _first bigint, _last bigint")
+    stratum = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in by])), 1, 8), 16, 10).cast("bigint") if by else F.lit(0).cast("bigint")
+    pieces = durable(pieces.withColumn("_h", stratum))
+    chunks = pieces.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // REPLICATES))))
+    # A number of partitions of one's own: the rows are few but each stands for many binomial draws.
+    chunks = chunks.repartition(task_slots(spark), *by, "_first", "_chunk")
+    single = pieces.where("_first > 0 OR _last < _n").isEmpty()
+
+    def weigh(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame, np.ndarray]:
+        """The draws of a leaf's cells (in order) for one chunk of replicates."""
+        pdf, row = pdf.sort_values("_start", kind="stable"), pdf.iloc[0]
+        start = int(row["_chunk"]) * REPLICATES
+        replicates = np.arange(start, min(n, start + REPLICATES))
+        w = mn.cell_weights(int(row["_n"]), int(row["_first"]), int(row["_last"]), pdf["_end"].to_numpy(), seed, int(row["_h"]), replicates)
+        return replicates, pdf, w
+
+    def by_score(pdf: pd.DataFrame, w: np.ndarray, arm: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        score, at = np.unique(pdf[f"_s{arm}"].to_numpy(), return_inverse=True)
+        y = pdf["_y"].to_numpy()
+        out = []
+        for side in (1, 0):
+            sums = np.zeros((len(score), w.shape[1]), np.int64)
+            np.add.at(sums, at[y == side], w[y == side])
+            out.append(sums)
+        return score, *out
+
+    if single:
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            replicates, pdf, w = weigh(pdf)
+            parts = []
+            for arm, name in enumerate(scores):
+                pos, neg, won = _auroc_sums(*by_score(pdf, w, arm), np.zeros(len(replicates)))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    auroc = np.where(pos * neg > 0, won / (pos * neg.astype(np.float64)), np.nan)
+                parts.append(pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "arm": name, "replicate": replicates, "n_pos": pos, "n_neg": neg, "auroc": auroc}))
+            return pd.concat(parts)
+
+        schema = head + "arm string, replicate int, n_pos bigint, n_neg bigint, auroc double"
+        done = chunks.groupBy(*by, "_first", "_chunk").applyInPandas(whole, schema)
+        return done.withColumn("auroc", F.when(~F.isnan("auroc"), F.col("auroc")))
+
+    # Several leaves: weights go on per score and chunk, are sorted by score, and partitions' sums meet in order.
+    def per_score(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, pdf, w = weigh(pdf)
+        parts = []
+        for arm, name in enumerate(scores):
+            score, pos, neg = by_score(pdf, w, arm)
+            parts.append(pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "arm": name, "_chunk": pdf["_chunk"].iloc[0], "score": score, "pos": list(pos), "neg": list(neg)}))
+        return pd.concat(parts)
+
+    schema = head + "arm string, _chunk int, score double, pos array<bigint>, neg array<bigint>"
+    weights = durable(chunks.groupBy(*by, "_first", "_chunk").applyInPandas(per_score, schema))
+    order = [*by, "arm", "_chunk", "score"]
+    ranged = weights.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    group = [*by, "arm", "_chunk", "_part"]
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums of each group of a sorted partition; only the open group's sums are held, and its last score, which may go on."""
+        held, tail = None, None  # [group, pos, neg, won], [score, pos, neg]
+
+        def close(score, pos, neg):
+            p, q, won = _auroc_sums(score, pos, neg, held[2])
+            held[1], held[2], held[3] = held[1] + p, held[2] + q, held[3] + won
+
+        def row():
+            return pd.DataFrame([(*held[0], held[1], held[2], held[3])], columns=[*group, "pos", "neg", "won"])
+
+        for pdf in batches:
+            for name, part in pdf.groupby(group, sort=False, dropna=False):
+                if held is None or held[0] != name:
+                    if held is not None:
+                        close(*tail)
+                        yield row()
+                    zero = np.zeros(len(part["pos"].iloc[0]))
+                    held, tail = [name, zero, zero, zero], None
+                score, pos, neg = part["score"].to_numpy(), np.stack(part["pos"].to_numpy()), np.stack(part["neg"].to_numpy())
+                if tail is not None:
+                    score, pos, neg = np.concatenate([tail[0], score]), np.concatenate([tail[1], pos]), np.concatenate([tail[2], neg])
+                score, first = np.unique(score, return_index=True)
+                pos, neg = np.add.reduceat(pos, first), np.add.reduceat(neg, first)
+                if len(score) > 1:
+                    close(score[:-1], pos[:-1], neg[:-1])
+                tail = [score[-1:], pos[-1:], neg[-1:]]
+        if held is not None:
+            close(*tail)
+            yield row()
+
+    sums = ranged.mapInPandas(stream, head + "arm string, _chunk int, _part int, pos array<double>, neg array<double>, won array<double>")
+    at = F.posexplode(F.arrays_zip("pos", "neg", "won")).alias("_at", "_v")
+    flat = sums.select(*group, at).select(*group, "_at", "_v.*")
+    earlier = Window.partitionBy(*by, "arm", "_chunk", "_at").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    flat = flat.withColumn("won", F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
+    met = flat.groupBy(*by, "arm", (F.col("_chunk") * REPLICATES + F.col("_at")).cast("int").alias("replicate")).agg(
+        F.sum("pos").cast("bigint").alias("n_pos"), F.sum("neg").cast("bigint").alias("n_neg"), F.sum("won").alias("won")
     )
-    arms = F.explode(F.array(*[F.struct(F.lit(s).alias("arm"), F.col(s).cast("double").alias("score")) for s in scores]))
-    drawn = picks.join(rows.select(*by, "_ix", label, *scores), by + ["_ix"])
-    drawn = drawn.select(*by, "replicate", label, arms.alias("_a")).select(*by, "replicate", label, "_a.*")
-    return auroc(drawn, "score", label, by=[*by, "arm", "replicate"])
+    pairs = F.col("n_pos").cast("double") * F.col("n_neg")
+    return met.select(*by, "arm", "replicate", "n_pos", "n_neg", F.when(pairs > 0, F.col("won") / pairs).alias("auroc"))
 
 
 def bootstrap_interval(replicates: DataFrame, value: str = "auroc", by: Sequence[str] = ("arm",), level: float = 0.95) -> DataFrame:

@@ -568,15 +568,44 @@ def fold_standardized(spark, sf):
 # --- resampling -------------------------------------------------------------------------
 
 BOOT, PERM = 5000, 1000  # replicates of the published analysis
-_HEX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+def _mix_sql(x: str) -> str:
+    """The 32-bit finaliser of ``multinomial`` on a UBIGINT."""
+    a = f"((xor({x}, {x} >> 16) * 2246822507) & 4294967295)"
+    b = f"((xor({a}, {a} >> 13) * 3266489909) & 4294967295)"
+    return f"xor({b}, {b} >> 16)"
+
+
+def _lane_sql(seed: int, lane: int) -> str:
+    start = _mix_sql(f"{lane ^ seed}::UBIGINT")
+    return f"list_reduce([stratum::UBIGINT, replicate::UBIGINT, lo::UBIGINT, hi::UBIGINT], lambda h, k: {_mix_sql('xor(h, k)')}, {start})"
+
+
+_BINOMIAL = """list_reduce(list_transform(range(0, m + 1), lambda i: {'c': exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + i * ln(p) + (m - i) * ln(1 - p)), 'k': 0}),
+  lambda s, e: {'c': s.c + e.c, 'k': s.k + (s.c + e.c <= u)::INT}, {'c': 0.0::DOUBLE, 'k': 0}).k"""
+
+
+def _weights_sql(seed: int, by: str = "") -> str:
+    """Ranks halved down to single rows of ``ix (i, n)``: how often each replicate draws every row."""
+    group = f"{by}, " if by else ""
+    stratum = f"('0x' || substr(md5({by}::VARCHAR), 1, 8))::BIGINT" if by else "0"
+    return f"""sizes AS (SELECT {group}any_value(n) AS n, {stratum} AS stratum FROM ix {f'GROUP BY {by}' if by else ''}),
+    tree AS (SELECT {group}stratum, r AS replicate, 0::BIGINT AS lo, n AS hi, n AS m FROM sizes, range(0, {BOOT}) t(r)
+      UNION ALL SELECT {group}stratum, replicate, CASE WHEN side = 0 THEN lo ELSE mid END, CASE WHEN side = 0 THEN mid ELSE hi END, CASE WHEN side = 0 THEN k ELSE m - k END FROM (
+        SELECT *, least(m, CASE WHEN m = 1 THEN (u >= 1 - p)::INT ELSE {_BINOMIAL} END) AS k FROM (
+          SELECT *, (lo + hi) // 2 AS mid, ((lo + hi) // 2 - lo) / (hi - lo)::DOUBLE AS p,
+            ({_lane_sql(seed, 0)} * 1048576 + ({_lane_sql(seed, 0x9747B28C)} >> 12)) / 4503599627370496::DOUBLE AS u
+          FROM tree WHERE hi - lo > 1 AND m > 0)), (VALUES (0), (1)) sides(side)),
+    draws AS (SELECT {group}replicate, lo AS i, unnest(range(0, m)) AS again FROM tree WHERE hi - lo = 1 AND m > 0)"""
 
 
 def _boot_sql(label: str, scores: dict[str, str], by: str = "") -> str:
     part = f"PARTITION BY {by} " if by else ""
-    key, group = (f"|| {by} || '|' ", f"{by}, ") if by else ("", "")
+    group = f"{by}, " if by else ""
     arms = " UNION ALL ".join(f"SELECT {group}replicate, '{arm}' AS arm, label, {s}::DOUBLE AS score FROM drawn" for arm, s in scores.items())
-    return f"""{PREDICTIONS}, ix AS (SELECT *, {label} AS y, row_number() OVER ({part}ORDER BY doc_id) - 1 AS i, count(*) OVER ({f'PARTITION BY {by}' if by else ''}) AS n FROM predictions),
-    draws AS (SELECT {group}r AS replicate, {_HEX.format(f"'5|' {key}|| r || '|' || i")} % n AS i FROM ix, range(0, {BOOT}) t(r)),
+    return f"""{PREDICTIONS}, ix AS (SELECT *, {label} AS y, row_number() OVER ({part}ORDER BY {', '.join(scores.values())}, {label}) - 1 AS i, count(*) OVER ({part}) AS n FROM predictions),
+    {_weights_sql(5, by)},
     drawn AS (SELECT {'d.' + by + ', ' if by else ''}d.replicate, ix.y AS label, ix.n_chars, ix.toxic, ix.score FROM draws d JOIN ix ON ix.i = d.i {f'AND ix.{by} = d.{by}' if by else ''}),
     armed AS ({arms}),
     boot AS ({_auroc_sql('armed', 'score', 'label', group + 'arm, replicate')})"""
@@ -595,7 +624,7 @@ _INTERVAL = """quantile_cont(auroc, 0.025) AS ci_lower, quantile_cont(auroc, 0.9
 
 @query(
     "bootstrap_auroc_interval",
-    r6(f"WITH {_boot_sql('label', {'score': 'score'})} SELECT arm, {_INTERVAL} FROM boot GROUP BY arm", "ci_lower", "ci_upper", "boot_mean"),
+    r6(f"WITH RECURSIVE {_boot_sql('label', {'score': 'score'})} SELECT arm, {_INTERVAL} FROM boot GROUP BY arm", "ci_lower", "ci_upper", "boot_mean"),
 )
 def bootstrap_auroc_interval(spark, sf):
     reps = rs.bootstrap_auroc(predictions(spark, sf), ["score"], key="doc_id", n=BOOT, seed=5)
@@ -604,7 +633,7 @@ def bootstrap_auroc_interval(spark, sf):
 
 @query(
     "stratified_bootstrap",
-    r6(f"WITH {_boot_sql('toxic', {'n_chars': 'n_chars'}, 'lang')} SELECT lang, {_INTERVAL} FROM boot GROUP BY lang", "ci_lower", "ci_upper", "boot_mean"),
+    r6(f"WITH RECURSIVE {_boot_sql('toxic', {'n_chars': 'n_chars'}, 'lang')} SELECT lang, {_INTERVAL} FROM boot GROUP BY lang", "ci_lower", "ci_upper", "boot_mean"),
 )
 def stratified_bootstrap(spark, sf):
     reps = rs.bootstrap_auroc(predictions(spark, sf), ["n_chars"], "toxic", "doc_id", BOOT, 5, ["lang"])
@@ -620,7 +649,7 @@ def _paired_boot(spark, sf):
     return rs.bootstrap_interval(diff, "diff", by=[])
 
 
-@query("paired_bootstrap_difference", r6(f"WITH {_PAIRED_BOOT} SELECT {_INTERVAL} FROM d", "ci_lower", "ci_upper", "boot_mean"))
+@query("paired_bootstrap_difference", r6(f"WITH RECURSIVE {_PAIRED_BOOT} SELECT {_INTERVAL} FROM d", "ci_lower", "ci_upper", "boot_mean"))
 def paired_bootstrap_difference(spark, sf):
     return rounded(_paired_boot(spark, sf))
 
@@ -865,8 +894,8 @@ _DOC_ARMS = """docs AS (SELECT d.doc_id, quality AS label, n_chars, length(regex
   arms AS (SELECT doc_id, label, 'n_chars' AS arm, n_chars::DOUBLE AS score FROM docs UNION ALL SELECT doc_id, label, 'capitals', capitals FROM docs UNION ALL SELECT doc_id, label, 'words', words FROM docs)"""
 _PAIRS = "pairs(test, a, b) AS (VALUES ('chars_vs_capitals', 'n_chars', 'capitals'), ('chars_vs_words', 'n_chars', 'words'))"
 _CO_PRIMARY = f"""{_DOC_ARMS}, {_PAIRS},
-  ix AS (SELECT doc_id, label, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM docs),
-  draws AS (SELECT r AS replicate, {_HEX.format("'5|' || r || '|' || i")} % n AS i FROM ix, range(0, {BOOT}) t(r)),
+  ix AS (SELECT doc_id, label, row_number() OVER (ORDER BY capitals, n_chars, words, label) - 1 AS i, count(*) OVER () AS n FROM docs),
+  {_weights_sql(5)},
   drawn AS (SELECT d.replicate, arm, x.label, score FROM draws d JOIN ix USING (i) JOIN arms x USING (doc_id)),
   boot AS ({_auroc_sql('drawn', 'score', 'label', 'arm, replicate')}),
   seen AS ({_auroc_sql('arms', 'score', 'label', 'arm')}),
@@ -891,7 +920,7 @@ _CO_PRIMARY = f"""{_DOC_ARMS}, {_PAIRS},
 @query(
     "co_primary_comparison",
     r6(
-        f"WITH {_CO_PRIMARY} SELECT *, CASE WHEN ci_lower > 0 AND significant THEN 'GO' ELSE 'REJECTED' END AS decision FROM fin",
+        f"WITH RECURSIVE {_CO_PRIMARY} SELECT *, CASE WHEN ci_lower > 0 AND significant THEN 'GO' ELSE 'REJECTED' END AS decision FROM fin",
         "observed", "p_value", "null_mean", "null_std", "ci_lower", "ci_upper", "boot_mean", "threshold",
     ),
 )
