@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from donorlake.llm.text import map_rows
+from donorlake.llm.text import Shared, map_rows
 
 # Fixed value: the byte-level pre-tokenisation pattern of this vocabulary.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -222,7 +222,7 @@ def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:
 
 def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids array<int>`` on demand) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    shared = Shared(docs.sparkSession, read_vocabulary(vocabulary))
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
 
     def work():
@@ -250,7 +250,7 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFram
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, text`` of ``doc_id, ids``; special tokens are kept."""
-    shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    shared = Shared(encoded.sparkSession, read_vocabulary(vocabulary))
 
     def work():
         return lambda batch: [batch.column(0), pa.array([decode_ids(shared.value, x or []) for x in batch.column(1).to_pylist()], pa.string())]

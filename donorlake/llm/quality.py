@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from donorlake.llm.text import WordTable, crc_fold, map_rows, mixed, split_words
+from donorlake.llm.text import Shared, WordTable, crc_fold, map_rows, mixed, split_words
 from donorlake.llm.toxicity import labelled_sample, sigmoid
 
 ROWS = 1 << 13  # rows of the vector table; shapes take the last eighth
@@ -222,7 +222,7 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows
     rows = pooled_documents(labelled_sample(docs, labels, label, max_rows), vectors, ["doc_id", "y"]).toArrow()
     order = np.lexsort((rows["y"].to_numpy(), rows["doc_id"].to_numpy())) if rows.num_rows else np.empty(0, int)
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, 4 * DIM + 2)[order].astype(np.float64)
-    shared = sc.broadcast((vectors.value, train(x, rows["y"].to_numpy()[order])))
+    shared = Shared(docs.sparkSession, (vectors.value, train(x, rows["y"].to_numpy()[order])))
 
     def work():
         tokens = Tokens()

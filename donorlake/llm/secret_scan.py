@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from donorlake.llm.text import hash_sample, map_rows, one_text, text_key, written
+from donorlake.llm.text import Shared, hash_sample, map_rows, one_text, text_key, written
 from donorlake.llm.toxicity import sigmoid
 
 # The rules.
@@ -225,7 +225,7 @@ def _listed(spans) -> str:
 
 def scan(docs: DataFrame, net: CharacterNetwork) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = Shared(docs.sparkSession, net)
 
     def work():
         def each(batch: pa.RecordBatch):
@@ -262,7 +262,7 @@ def redacted(text: str | None, net: CharacterNetwork, mark: str = "[SECRET]") ->
 
 def redact(docs: DataFrame, net: CharacterNetwork) -> DataFrame:
     """All rows and columns of ``docs`` with secrets replaced in ``text`` (and ``n_chars`` counted anew, where it is)."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = Shared(docs.sparkSession, net)
 
     @F.pandas_udf("string")
     def clean(texts):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from donorlake.session import scratch
@@ -117,6 +119,22 @@ def map_rows(df: DataFrame, columns: Sequence[str], schema: str, work: Callable,
     return df.select(*columns).mapInArrow(run, schema)
 
 
+class Shared:
+    """A broadcast of a value of this package's classes. It travels with their definitions, so executors don't import them."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._held, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self) -> dict:
+        return {"_held": self._held, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self._held.value)
+        return self._value
+
+
 def text_key() -> Column:
     """Tells rows of one doc_id with different texts apart; equal rows share a key and a result."""
     return F.xxhash64("text")

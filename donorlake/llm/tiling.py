@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from donorlake.llm.text import map_rows, mixed, text_key
+from donorlake.llm.text import Shared, map_rows, mixed, text_key
 from donorlake.llm.toxicity import plain_words
 from donorlake.operators.ordering import union_all
 
@@ -167,7 +167,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
     parts = []
     for i in range(passes):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
-        seeds = spark.sparkContext.broadcast(seeds_of([(r["item_id"], r["text"]) for r in mine.orderBy("item_id", "text").collect()], min_match))
+        seeds = Shared(spark, seeds_of([(r["item_id"], r["text"]) for r in mine.orderBy("item_id", "text").collect()], min_match))
 
         def work(seeds=seeds):
             def each(batch: pa.RecordBatch):
