@@ -9,12 +9,14 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from donorlake.llm import bpe, quality, quotes, secret_scan, simhash, tiling, topk, toxicity
+from donorlake.llm import bpe, quality, quotes, secret_scan, tiling, topk, toxicity
 from donorlake.llm.queries import QUERIES, SQL, vocabulary_path
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]
 from compare import normal  # noqa: E402
 
+from test_near_copies import brute_heads  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -141,8 +143,8 @@ def test_pipeline_stages(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     toxic = {r["doc_id"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("predicted = 1").collect()}
     left = docs.where(~docs["doc_id"].isin(*toxic)) if toxic else docs
-    group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(left).collect()}
-    left = left.where(left["doc_id"].isin(*{d for d, c in group.items() if d == c}))
+    heads = brute_heads([(r["doc_id"], r["text"]) for r in left.collect()])
+    left = left.where(left["doc_id"].isin(*{d for d, _ in heads}))
     leaked = {r["doc_id"] for r in tiling.decontaminate(left, bench).where("contaminated").collect()}
     left = left.where(~left["doc_id"].isin(*leaked)) if leaked else left
     net = secret_scan.fit(left)

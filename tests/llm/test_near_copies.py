@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from donorlake.llm import near_copies, simhash
@@ -78,11 +79,19 @@ def test_hard_rows(hard_docs, plain, no_docs):
     assert near_copies.keep_first(no_docs).count() == 0
 
 
-def test_prefix_length():
-    for n in range(1, 400):
-        need = next(c for c in range(n + 1) if 5 * c >= 4 * n)
-        assert near_copies.prefix_length(n) == n - need + 1
-    assert near_copies.prefix_length(0) == 0
+def test_similar_sets_meet_in_a_band():
+    rng = np.random.default_rng(0)
+    met = {50: 0, 80: 0}
+    for percent in met:
+        for k in range(300):
+            both = rng.integers(0, 2**63, percent * 2, np.uint64)
+            own = rng.integers(0, 2**63, (2, 100 - percent), np.uint64)
+            a, b = (np.unique(np.concatenate([both, x])) for x in own)  # 2 percent of 200 in common
+            met[percent] += bool(len(np.intersect1d(near_copies.band_keys(a), near_copies.band_keys(b))))
+    assert met[80] == 300 and met[50] < 150
+    assert len(near_copies.band_keys(np.empty(0, np.uint64))) == 0
+    long = rng.integers(0, 2**63, 5000, np.uint64)
+    assert (near_copies.band_keys(long) == near_copies.band_keys(rng.permutation(long))).all()
 
 
 def test_stage_on_a_corpus(spark):
