@@ -12,7 +12,7 @@ from donorlake.plans import arms
 from donorlake.plans.evaluation_queries import _AUDIT_BASE, _COUNT_AUDIT, _COUNT_FLAGGED, _TYPE_AUDIT
 from donorlake.plans.registry import CELLS, TASK_LIST, cells, query, r6, table
 from donorlake.session import scratch
-from donorlake.sources import files, matrix_market, tables
+from donorlake.sources import files, matrix_market, ranges, tables
 
 
 def _raw_cells(spark, sf):
@@ -146,13 +146,46 @@ def file_fingerprints(spark, sf):
     return files.compare_fingerprints(recorded, live).select("file", F.col("live").alias("sha256"), "status")
 
 
+_BLOCK, _FANOUT = 512, 4
+_LEVEL = """SELECT file, b // {fan} AS b, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY b)) END AS h FROM {below} GROUP BY ALL"""
+
+
+@query(
+    "file_tree_digests",
+    f"""WITH {_LINES}, texts AS (SELECT c_nationkey::VARCHAR AS file, string_agg(line, '' ORDER BY c_custkey) AS t FROM lines GROUP BY 1),
+    l0 AS (SELECT file, b, sha256(substr(t, b * {_BLOCK} + 1, {_BLOCK})) AS h FROM (SELECT *, unnest(range(0, (strlen(t) + {_BLOCK - 1}) // {_BLOCK})) AS b FROM texts)),
+    l1 AS ({_LEVEL.format(fan=_FANOUT, below='l0')}), l2 AS ({_LEVEL.format(fan=_FANOUT, below='l1')}),
+    l3 AS ({_LEVEL.format(fan=_FANOUT, below='l2')}), l4 AS ({_LEVEL.format(fan=_FANOUT, below='l3')}), l5 AS ({_LEVEL.format(fan=_FANOUT, below='l4')})
+    SELECT file, strlen(t) AS bytes, ((strlen(t) + {_BLOCK - 1}) // {_BLOCK})::BIGINT AS n_blocks, h AS root FROM l5 JOIN texts USING (file)""",
+)
+def file_tree_digests(spark, sf):
+    """Files hashed in blocks by separate tasks, and the blocks' digest trees."""
+    path = scratch(spark, "nation-files")
+    _nation_files(spark, sf, path)
+    trees = ranges.tree_digests(ranges.block_digests(spark, path, "*.txt", _BLOCK), _FANOUT)
+    return trees.withColumn("file", F.regexp_extract("path", "c_nationkey=([0-9]+)", 1)).drop("path")
+
+
+_LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+_MONEY = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _as_text(c: str) -> str:
+    return f"{c}::DECIMAL(20, 4)::VARCHAR" if c in _MONEY else f"{c}::DATE::VARCHAR" if c == "l_shipdate" else f"{c}::VARCHAR"
+
+
+_ROW_TEXT = " || ".join(f"coalesce(length({_as_text(c)})::VARCHAR || ':' || {_as_text(c)}, '-')" for c in _LINEITEM)
+
+
 @query(
     "table_fingerprint",
-    """WITH h AS (SELECT ('0x' || substr(md5(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderpriority)), 1, 15))::BIGINT AS h FROM orders)
+    f"""WITH h AS (SELECT ('0x' || substr(md5({_ROW_TEXT}), 1, 15))::BIGINT AS h FROM lineitem)
     SELECT count(*) AS n_rows, sum(h)::VARCHAR AS hash_sum, bit_xor(h) AS hash_xor FROM h""",
 )
 def table_fingerprint(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    """All columns of the largest table; amounts as decimals, whose text is the same in any engine."""
+    rows = table(spark, sf, "lineitem")
+    rows = rows.select(*[F.col(c).cast("decimal(20,4)" if c in _MONEY else "date" if c == "l_shipdate" else dict(rows.dtypes)[c]).alias(c) for c in _LINEITEM])
     return files.table_fingerprint(rows).withColumn("hash_sum", F.col("hash_sum").cast("string"))
 
 

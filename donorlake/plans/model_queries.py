@@ -14,7 +14,7 @@ from donorlake.operators import splits as sp
 from donorlake.plans import arms
 from donorlake.plans.registry import CELLS, COUNTS, cells, counts, query, r6, table
 from donorlake.session import durable, scratch
-from donorlake.sources import matrix_market, tables
+from donorlake.sources import matrix_market, ranges, tables
 from donorlake.streaming import incremental
 
 
@@ -252,6 +252,20 @@ def matrix_market_sizes(spark, sf):
     return matrix_market.declared_sizes(spark, f"{path}/*", sample).drop("file")
 
 
+@query(
+    "matrix_directory",
+    """WITH v AS (SELECT 'group_' || label AS donor_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS cell_ix, embedding FROM embeddings)
+    SELECT donor_id, cell_ix, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM v""",
+)
+def matrix_directory(spark, sf):
+    """Vectors of every label group written as one matrix file each, and read back by ranges of rows."""
+    rows = table(spark, sf, "embeddings").select(F.concat(F.lit("group_"), F.col("label").cast("string")).alias("donor_id"), F.col("vec_id").alias("cell_ix"), "embedding")
+    path = scratch(spark, "matrix-files")
+    ranges.write_matrices(rows, path)
+    back = ranges.read_matrices(spark, path, range_bytes=10_000)
+    return back.select("donor_id", "cell_ix", F.posexplode("embedding").alias("pos", "x")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
 @query("gene_list_round_trip", "SELECT p_type || '-' || p_name AS gene_id FROM part WHERE p_brand <> 'Brand#2'")
 def gene_list_round_trip(spark, sf):
     """A headerless tab-separated gene list; genes of one brand are blank and skipped."""

@@ -46,9 +46,14 @@ def fingerprint(spark: SparkSession, path: str, pattern: str | None = None, name
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint of a table of any size: row count, sum and xor of row hashes (the first 60 bits of the md5 of
-    the row's values as text, joined by ``|``, NULLs left out)."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])), 1, 15), 16, 10).cast("bigint")
+    """Order-free fingerprint of a table of any size: row count, sum and xor of row hashes.
+
+    A row's hash is the first 60 bits of the md5 of its values as text, each behind its length (``-`` for NULL), so no
+    two different rows have one text.
+    """
+    value = lambda c: F.col(c).cast("string")
+    text = F.concat(*[F.coalesce(F.concat(F.length(value(c)).cast("string"), F.lit(":"), value(c)), F.lit("-")) for c in df.columns])
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
     hashed = df.select(h.alias("_h"))
     return hashed.agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor("_h").alias("hash_xor")

@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from donorlake.sources import ranges
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-comment lines of one scan, and whether a line is its file's size line.
@@ -44,10 +46,15 @@ def sample_key(file: str = "file"):
 
 
 def declared_sizes(spark: SparkSession, path: str, sample: Column | None = None) -> DataFrame:
-    """Genes, cells and entries each file declares in its size line. Text can't be read in part, so bodies are scanned too."""
+    """Genes, cells and entries each file declares in its size line. Bodies stay unread.
+
+    The last part of ``path`` may be a pattern of file names; files of folders below count too. A file without a size line fails.
+    """
     key = sample_key() if sample is None else sample
-    first = _lines(spark, path).where("is_size")
-    parts = F.split("line", r"\s+")
+    folder, name = path.rsplit("/", 1) if any(c in path.rsplit("/", 1)[-1] for c in "*?[") else (path, "*")
+    first = ranges.first_lines(spark, folder, name).select(F.col("path").alias("file"), "line")
+    line = F.when(F.col("line").rlike(r"^\d+\s+\d+\s+\d+$"), F.col("line")).otherwise(F.raise_error(F.concat(F.lit("no size line in "), "file")))
+    parts = F.split(line, r"\s+")
     return first.select(key.alias("sample_id"), "file", *[parts[i].cast("bigint").alias(n) for i, n in enumerate(("n_genes", "n_cells", "nnz"))])
 
 
