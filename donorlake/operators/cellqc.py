@@ -6,13 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from donorlake.functions.scalars import is_mito
+from donorlake.operators import subspace
 from donorlake.operators.ordering import quantiles, with_group_totals
 from donorlake.session import durable
 
@@ -168,13 +166,8 @@ def embed(tokens: DataFrame, embed_fn: Callable[[pd.Series], Sequence], keep: Se
 
 
 def pca(vectors: DataFrame, k: int, vector: str = "embedding", out: str = "components") -> DataFrame:
-    """Scores on the first k principal components of the centred vectors."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    mean = vectors.agg(vector_to_array(Summarizer.mean(array_to_vector(v))).alias("_m"))
-    centred = F.zip_with(v, F.col("_m"), lambda x, m: x - m)
-    rows = with_group_totals(vectors, mean, []).withColumn("_v", array_to_vector(centred))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(rows)
-    return model.transform(rows).withColumn(out, vector_to_array("_p")).drop("_m", "_v", "_p")
+    """Scores on the first k principal components of the centred vectors; each component's largest entry is positive."""
+    return subspace.scores(vectors, subspace.fit(vectors, k, vector), vector, out)
 
 
 def _block_candidates(q: DataFrame, r: DataFrame, k: int, block_rows: int, exclude_self: bool, kind: str) -> DataFrame:

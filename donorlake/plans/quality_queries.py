@@ -16,7 +16,9 @@ from donorlake.operators import checks as ck
 from donorlake.operators import donors as dn
 from donorlake.operators import models as md
 from donorlake.operators import splits as sp
+from donorlake.operators import subspace
 from donorlake.plans.registry import CELLS, COUNTS, GENES, PREDICTIONS, cells, counts, genes, predictions, query, r6, table
+from donorlake.session import durable
 
 SUMS = f"{COUNTS}, sums AS (SELECT cell_id, gene_id, sum(value) AS value FROM counts GROUP BY cell_id, gene_id)"
 MITO = "g AS (SELECT gene_id, gene_symbol LIKE 'PROMO-%' AS is_mito FROM genes)"
@@ -186,6 +188,35 @@ def label_transfer(spark, sf):
     return rounded(qc.label_transfer(qc.knn(v, v, 5, exclude_self=True), v))
 
 
+@query(
+    "principal_component_checks",
+    r6(
+        """SELECT unnest(range(1, 9))::INT AS component, count(*) AS n_rows, sum(v) AS total_variance, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS variance_gap, 0.0::DOUBLE AS cross_covariance, true AS sign_rule
+        FROM (SELECT unnest(range(0, 64)) AS pos, (SELECT count(*) FROM embeddings) AS n) p
+        JOIN (SELECT pos AS q, var_samp(x) AS v FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) GROUP BY pos) ON q = pos""".replace(
+            "count(*) AS n_rows", "any_value(n) AS n_rows"
+        ),
+        "total_variance", "residual", "variance_gap", "cross_covariance",
+    ),
+)
+def principal_component_checks(spark, sf):
+    """Eight components: distance from being eigenvectors, variance of the scores beside the eigenvalue, covariance between scores."""
+    v = _vectors(spark, sf)
+    found = subspace.fit(v, 8)
+    rows = durable(subspace.scores(v, found).select("embedding", "components"))
+    at = lambda i: F.col("components")[i]
+    cov = rows.agg(F.count(F.lit(1)).alias("n"), *[F.covar_samp(at(i), at(j)).alias(f"c{i}_{j}") for i in range(8) for j in range(i + 1)]).first()
+    flat = rows.select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.var_samp(F.col("x").cast("double")).alias("v"))
+    total = flat.agg(F.sum("v")).first()[0]
+    out = []
+    for i in range(8):
+        cross = max(abs(cov[f"c{max(i, j)}_{min(i, j)}"]) for j in range(8) if j != i)
+        u = found.directions[:, i]
+        out.append((i + 1, cov["n"], float(total), float(found.residuals[i]), abs(cov[f"c{i}_{i}"] - float(found.variances[i])), cross, bool(u[abs(u).argmax()] > 0)))
+    names = "component int, n_rows bigint, total_variance double, residual double, variance_gap double, cross_covariance double, sign_rule boolean"
+    return rounded(spark.createDataFrame(out, names))
+
+
 @query("principal_components")
 def principal_components(spark, sf):
     return rounded(qc.pca(_vectors(spark, sf), 8).select("cell_id", F.transform("components", lambda x: F.abs(F.round(x, 4))).alias("components")))
