@@ -119,7 +119,8 @@ def op4_quotation_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["op4_quotation_chat"] = r"""
-WITH RECURSIVE messages AS (SELECT row_number() OVER () AS m, * FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+WITH RECURSIVE messages AS (SELECT row_number() OVER () AS m, *,
+    md5(coalesce(length(role)::VARCHAR || ':' || role, '-') || coalesce(':' || text, '-')) AS mid FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
 raw AS (SELECT m, conv_id, turn, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS line,
     generate_subscripts(string_split_regex(coalesce(text, ''), '\r?\n'), 1) AS i FROM messages),
 bodies AS (SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)*'), '[^>]', '', 'g'))::INT AS level,
@@ -128,24 +129,24 @@ normal AS (SELECT *, lower(trim(regexp_replace(body, '[ \t\r\f\x0B]+', ' ', 'g')
 lines AS (SELECT *, level = 0 AND NOT (norm LIKE '%wrote:' AND coalesce(lead(level) OVER w, 0) > 0) AS own,
     CASE WHEN lag(level) OVER w IS DISTINCT FROM level THEN 1 ELSE 0 END AS fresh FROM normal WINDOW w AS (PARTITION BY m ORDER BY i)),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY m ORDER BY i) AS run FROM lines),
-own_units AS (SELECT conv_id, turn, norm AS unit FROM lines WHERE own
-  UNION ALL SELECT conv_id, turn, string_agg(norm, ' ' ORDER BY i) FROM lines WHERE own AND norm <> '' GROUP BY m, conv_id, turn),
-authors AS (SELECT conv_id, md5(unit) AS hash, min(turn) AS source FROM own_units WHERE unit <> '' GROUP BY 1, 2),
+own_units AS (SELECT m, conv_id, turn, norm AS unit FROM lines WHERE own
+  UNION ALL SELECT m, conv_id, turn, string_agg(norm, ' ' ORDER BY i) FROM lines WHERE own AND norm <> '' GROUP BY m, conv_id, turn),
+authors AS (SELECT o.conv_id, md5(unit) AS hash, min(o.turn) AS source, arg_min(o.m, (o.turn, mid)) AS parent
+  FROM own_units o JOIN messages USING (m) WHERE unit <> '' AND o.turn IS NOT NULL GROUP BY 1, 2),
 quoted AS (SELECT DISTINCT m, conv_id, turn, level, run, unit FROM (
   SELECT m, conv_id, turn, level, run, norm AS unit FROM runs WHERE level > 0
   UNION ALL SELECT m, conv_id, turn, level, run, string_agg(norm, ' ' ORDER BY i) FROM runs WHERE level > 0 AND norm <> '' GROUP BY m, conv_id, turn, level, run)),
-weights AS (SELECT q.conv_id, q.turn, level, source, sum(length(unit)) AS size
+weights AS (SELECT q.m, level, source, parent, sum(length(unit)) AS size
   FROM quoted q JOIN authors a ON q.conv_id = a.conv_id AND md5(q.unit) = a.hash AND source < q.turn WHERE unit <> '' GROUP BY 1, 2, 3, 4),
-links AS (SELECT conv_id, turn, source AS parent_turn FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, size DESC, source DESC) AS r FROM weights) WHERE r = 1),
-chain AS (SELECT conv_id, turn, parent_turn AS anc FROM links
-  UNION ALL SELECT c.conv_id, c.turn, l.parent_turn FROM chain c JOIN links l ON c.conv_id = l.conv_id AND c.anc = l.turn),
-ends AS (SELECT conv_id, turn, min(anc) AS root_turn FROM chain GROUP BY 1, 2),
+links AS (SELECT m, source AS parent_turn, parent FROM (
+  SELECT w.*, row_number() OVER (PARTITION BY w.m ORDER BY level, size DESC, source DESC, p.mid DESC) AS r FROM weights w JOIN messages p ON p.m = w.parent) WHERE r = 1),
+chain AS (SELECT m, parent AS anc, parent_turn AS anc_turn FROM links
+  UNION ALL SELECT c.m, l.parent, l.parent_turn FROM chain c JOIN links l ON c.anc = l.m),
+ends AS (SELECT m, min(anc_turn) AS root_turn FROM chain GROUP BY 1),
 texts AS (SELECT m, trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (own), ''), chr(32) || chr(9) || chr(13) || chr(10)) AS content,
     max(level) AS quote_level FROM lines GROUP BY m),
 placed AS (SELECT s.*, parent_turn, coalesce(root_turn, s.turn) AS root_turn, quote_level, content
-  FROM messages s JOIN texts USING (m) LEFT JOIN links l ON s.conv_id = l.conv_id AND s.turn = l.turn
-  LEFT JOIN ends e ON s.conv_id = e.conv_id AND s.turn = e.turn)
+  FROM messages s JOIN texts USING (m) LEFT JOIN links l USING (m) LEFT JOIN ends e USING (m))
 SELECT conv_id, CASE WHEN conv_id IS NULL THEN 1 ELSE row_number() OVER (
     PARTITION BY conv_id ORDER BY root_turn NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) END AS position,
   turn, role, parent_turn, root_turn, quote_level, content, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || content AS chat

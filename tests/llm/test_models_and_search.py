@@ -78,6 +78,19 @@ def test_reply_order(spark):
     assert normal(quotes.reply_ordered(df).toPandas()) == normal(want)
 
 
+def test_messages_of_one_turn_have_links_of_their_own(spark):
+    long = "word " * 200_000
+    rows = [
+        (1, 0, "user", "first thing"), (1, 0, "user", "other thing"), (1, 1, "user", "> first thing\nyes"), (1, 1, "assistant", "no quote here"),
+        (1, 1, "bot", "> other thing\nmaybe"), (1, 2, "user", "> yes\nfine"), (1, 2, "user", "> no quote here\nwhat"), (2, 0, "user", long), (2, 1, "user", "> " + long + "\nshort"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["content"]: (r["parent_turn"], r["root_turn"]) for r in quotes.reply_ordered(df).collect()}
+    assert got["no quote here"] == (None, 1) and got["yes"] == (0, 0) and got["maybe"] == (0, 0) and got["short"] == (0, 0)
+    assert got["fine"] == (1, 0) and got["what"] == (1, 1)
+    assert normal(quotes.reply_ordered(df).toPandas()) == normal(duck(conversations=df.toPandas()).execute(SQL["op4_quotation_chat"]).df())
+
+
 def test_long_chains_of_replies(spark):
     rows = [(1, t, "user", (f"> line {t - 1}\n" if t else "") + f"line {t}") for t in range(70)]
     got = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
