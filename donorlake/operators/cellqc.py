@@ -311,14 +311,50 @@ def schema_audit(cells: DataFrame, genes: DataFrame, donor: str, group: str) ->
     return out.withColumn("n_vars", genes.agg(F.count(F.lit(1)).alias("_n")).scalar())
 
 
+def _picks(loads: Sequence[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` donors of one size every batch gets if each goes to the least loaded (ties: the first) batch.
+
+    A batch takes its i-th donor at load + i · size, so the first ``count`` of these loads are the ones taken.
+    """
+    if size == 0:
+        return [count if b == loads.index(min(loads)) else 0 for b in range(len(loads))]
+    below = lambda level: [max(0, -((x - level) // size)) for x in loads]
+    low, high = min(loads), max(loads) + size * count + 1  # the highest level with at most ``count`` loads below it
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(below(middle)) <= count else (low, middle)
+    taken = below(low)
+    left = count - sum(taken)
+    for b, x in enumerate(loads):
+        if left and x + taken[b] * size == low:
+            taken[b], left = taken[b] + 1, left - 1
+    return taken
+
+
 def balanced_batches(donors: DataFrame, k: int, donor: str = "donor_id", size: str = "n_cells") -> DataFrame:
-    """Deal donors, largest first, to k batches in snake order (0…k−1, k−1…0, …) so that cell loads even out."""
+    """Deal donors, largest first (ties: the smaller id), each to the least loaded of k batches (ties: the first).
+
+    Donors of one size are alike, so the driver only walks the distinct sizes with the k loads; which donor of a size takes
+    which place follows from ranks. Sizes are whole numbers; NULL and negative ones fail.
+    """
     from donorlake.operators.ordering import global_rank
 
-    ranked = global_rank(donors, [F.desc(size), F.asc(donor)], name="_rank").withColumn("_i", F.col("_rank") - 1)
-    step = F.col("_i") % k
-    snake = F.when(F.floor(F.col("_i") / k) % 2 == 0, step).otherwise(k - 1 - step)
-    return ranked.withColumn("batch", snake.cast("int")).drop("_rank", "_i")
+    cells = F.col(size)
+    checked = donors.withColumn("_size", F.when(cells.isNull() | (cells < 0), F.raise_error(F.lit("a size is NULL or negative"))).otherwise(cells.cast("bigint")))
+    loads, places = [0] * k, []
+    for row in checked.groupBy("_size").count().orderBy(F.desc("_size")).toLocalIterator():
+        for b, n in enumerate(_picks(loads, row["_size"], row["count"])):
+            if n:
+                places.append((row["_size"], b, loads[b], n))
+        for s, b, _, n in places[-k:]:
+            if s == row["_size"]:
+                loads[b] += s * n
+    slots = donors.sparkSession.createDataFrame(places, "_size bigint, batch int, load bigint, n bigint")
+    slots = slots.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    slots = slots.select("_size", "batch", (F.col("load") + F.col("_i") * F.col("_size")).alias("_at"), "_i")
+    slots = global_rank(slots, ["_at", "batch", "_i"], by=["_size"], name="_rank").select("_size", "_rank", "batch")
+    ranked = global_rank(checked, [F.asc(donor)], by=["_size"], name="_rank")
+    return ranked.join(slots, ["_size", "_rank"]).drop("_size", "_rank")
 
 
 def run_progress(log: DataFrame, order: str, done: str, seconds: str) -> DataFrame:

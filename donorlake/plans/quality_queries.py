@@ -224,8 +224,12 @@ def principal_components(spark, sf):
 
 @query(
     "balanced_batches",
-    """WITH s AS (SELECT o_custkey AS donor_id, count(*) AS n_cells FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n_cells DESC, donor_id) - 1 AS i FROM s)
-    SELECT donor_id, n_cells, (CASE WHEN (i // 8) % 2 = 0 THEN i % 8 ELSE 7 - i % 8 END)::INTEGER AS batch FROM r""",
+    """WITH RECURSIVE s AS (SELECT o_custkey AS donor_id, count(*) AS n_cells FROM orders GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY n_cells DESC, donor_id) AS i FROM s),
+    dealt AS (SELECT 0::BIGINT AS i, list_transform(range(0, 8), lambda b: 0::BIGINT) AS loads, NULL::INTEGER AS batch
+      UNION ALL SELECT i, list_transform(range(0, 8), lambda b: loads[b + 1] + CASE WHEN b = least THEN n_cells ELSE 0 END), least::INTEGER FROM (
+        SELECT r.i, loads, n_cells, list_position(loads, list_min(loads)) - 1 AS least FROM dealt JOIN r ON r.i = dealt.i + 1))
+    SELECT donor_id, n_cells, batch FROM dealt JOIN r USING (i)""",
 )
 def balanced_batches(spark, sf):
     sizes = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("donor_id")).agg(F.count(F.lit(1)).alias("n_cells"))

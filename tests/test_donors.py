@@ -274,6 +274,22 @@ def test_balanced_batches(spark):
     assert {r["n"] for r in loads} == {4} and max(r["s"] for r in loads) - min(r["s"] for r in loads) == 0
 
 
+@pytest.mark.parametrize("sizes", [[50] + [1] * 49, [7, 7, 7, 5, 5, 3, 2, 2, 2, 2, 2, 0, 0, 0], [3] * 11, list(range(30)), []])
+def test_batches_equal_the_sequential_rule(spark, sizes):
+    df = spark.createDataFrame([(f"d{i:02d}", n) for i, n in enumerate(sizes)], "donor_id string, n_cells int").repartition(3)
+    loads, want = [0] * 4, {}
+    for n, d in sorted(((-n, f"d{i:02d}") for i, n in enumerate(sizes))):
+        b = loads.index(min(loads))
+        want[d], loads[b] = b, loads[b] - n
+    assert {r["donor_id"]: r["batch"] for r in qc.balanced_batches(df, 4).collect()} == want
+
+
+def test_batches_of_bad_sizes_fail(spark):
+    for bad in (None, -1):
+        with pytest.raises(PySparkException, match="NULL or negative"):
+            qc.balanced_batches(spark.createDataFrame([("a", bad), ("b", 1)], "donor_id string, n_cells int"), 2).collect()
+
+
 def test_rows_that_used_to_vanish(spark):
     v = spark.createDataFrame([("a", "1", [1.0]), ("a", "1", [3.0])], "donor_id string, cell_id string, embedding array<double>")
     with pytest.raises(PySparkException, match="repeats"):
