@@ -40,6 +40,14 @@ def replicated(spark, sf_dir: str, times: int = 50) -> tuple[int, float]:
     return entries, round(time.perf_counter() - start, 3)
 
 
+def machine_seconds() -> float:
+    """A fixed loop without Spark, so that a slow machine can be told from a slow query."""
+    start, x = time.perf_counter(), 1
+    for _ in range(5_000_000):
+        x = (x * 1103515245 + 12345) & 0x7FFFFFFF
+    return round(time.perf_counter() - start, 3)
+
+
 def main() -> None:
     from donorlake.plans import all_queries
     from donorlake.session import build_session
@@ -57,6 +65,7 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
+    machine = machine_seconds()
     run("pseudobulk_sum")  # start the JVM's compilers and the file cache
     seconds = {name: round(run(name), 3) for name in HEADLINE}
     replica, replica_seconds = replicated(spark, sf_dir)
@@ -73,6 +82,7 @@ def main() -> None:
         "pseudobulk_replica_entries": replica,
         "pseudobulk_replica_seconds": replica_seconds,
         "pseudobulk_replica_entries_per_sec": round(replica / replica_seconds),
+        "machine_loop_seconds": machine,
         "cpus": int(cpus),
     }
     print(json.dumps(out))

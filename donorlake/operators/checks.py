@@ -148,19 +148,26 @@ def _leakage_groups(rows: DataFrame) -> DataFrame:
         entry("label_leakage", ~is_missing("disease_label") & (s != ""), known("disease_label"), s),
     ]
     spread = rows.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
-    groups = spread.groupBy("check", "key", "detail").agg(
+    return spread.groupBy("check", "key", "detail").agg(
         F.count(F.lit(1)).alias("n"), F.min("side").alias("a"), F.max("side").alias("b"), F.max("t").alias("t"), F.max("h").alias("h")
     )
-    return durable(groups)  # else each rule's filter moves below the aggregate, and the manifest is read once per rule
+
+
+def _direct_rules() -> tuple[Column, Column, Column, Column]:
+    """Groups that are violations by themselves: of single rows, of ids, of cohorts, of batches."""
+    check = F.col("check")
+    return (
+        check.isin("missing_audit_status", "cell_level_split"),
+        check.endswith("_in_several_splits") & (F.col("a") != F.col("b")),
+        (check == "cohort_contamination") & F.col("t") & F.col("h"),
+        (check == "batch_confounding") & (F.col("a") == F.col("b")),
+    )
 
 
 def _leakage_found(groups: DataFrame) -> DataFrame:
     """``rule, key, detail, n``: violations of the grouped checks, ``n`` equal ones per row."""
     check, one = F.col("check"), F.lit(1).cast("bigint")
-    by_row = check.isin("missing_audit_status", "cell_level_split")
-    several = check.endswith("_in_several_splits") & (F.col("a") != F.col("b"))
-    cohort = (check == "cohort_contamination") & F.col("t") & F.col("h")
-    batch = (check == "batch_confounding") & (F.col("a") == F.col("b"))
+    by_row, several, cohort, batch = _direct_rules()
     detail = F.when(by_row, F.col("detail")).when(several, F.concat_ws(",", "a", "b")).when(batch, F.col("a")).otherwise("train-like and holdout")
     direct = groups.where(by_row | several | cohort | batch).select(check.alias("rule"), "key", detail.alias("detail"), F.when(by_row, F.col("n")).otherwise(one).alias("n"))
     verdict = groups.where(check == "label_leakage").agg(
@@ -172,19 +179,25 @@ def _leakage_found(groups: DataFrame) -> DataFrame:
 
 def leakage_checks(rows: DataFrame) -> DataFrame:
     """All leakage checks of a manifest, as one violations table; the manifest is read once."""
-    found = _leakage_found(_leakage_groups(rows))
+    # Written, else each rule's filter moves below the aggregate and the manifest is read once per rule.
+    found = _leakage_found(durable(_leakage_groups(rows)))
     return found.select("rule", "key", "detail", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).drop("col")
 
 
 def leakage_report(rows: DataFrame) -> DataFrame:
-    """The report on all leakage checks; rows are counted in the pass that checks them."""
-    groups = _leakage_groups(rows)
-    found = _leakage_found(groups).groupBy("rule").agg(F.sum("n").alias("_n")).agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_violations"), F.array_join(F.array_sort(F.collect_list("rule")), "; ").alias("errors")
+    """The report on all leakage checks in one pass: groups fold to one row per check, and those to the report."""
+    by_row, several, cohort, batch = _direct_rules()
+    per_check = _leakage_groups(rows).groupBy("check").agg(
+        F.sum("n").alias("n"), F.sum(F.when(by_row, F.col("n")).when(several | cohort | batch, 1).otherwise(0)).alias("direct"),
+        F.count(F.lit(1)).alias("keys"), F.bool_and(F.col("a") == F.col("b")).alias("single"), F.min("a").alias("a"), F.max("b").alias("b"),
     )
-    checked = groups.where("check = 'rows'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n")).scalar()
-    status = F.when(F.col("n_violations") > 0, "FAIL").otherwise("PASS")
-    return found.select(status.alias("status"), "n_violations", "errors", checked.alias("checked_rows"))
+    tied = (F.col("check") == "label_leakage") & (F.col("keys") >= 2) & F.col("single") & (F.col("a") != F.col("b"))
+    counted = per_check.select("check", "n", F.when(tied, F.lit(1)).otherwise(F.col("direct")).cast("bigint").alias("v"))
+    folded = counted.agg(
+        F.coalesce(F.sum("v"), F.lit(0)).alias("n_violations"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("v") > 0, F.col("check")))), "; ").alias("errors"),
+        F.coalesce(F.sum(F.when(F.col("check") == "rows", F.col("n"))), F.lit(0)).alias("checked_rows"),
+    )
+    return folded.select(F.when(F.col("n_violations") > 0, "FAIL").otherwise("PASS").alias("status"), "n_violations", "errors", "checked_rows")
 
 
 def id_overlap(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
