@@ -87,8 +87,10 @@ def test_similar_sets_meet_in_a_band():
             both = rng.integers(0, 2**63, percent * 2, np.uint64)
             own = rng.integers(0, 2**63, (2, 100 - percent), np.uint64)
             a, b = (np.unique(np.concatenate([both, x])) for x in own)  # 2 percent of 200 in common
-            met[percent] += bool(len(np.intersect1d(near_copies.band_keys(a), near_copies.band_keys(b))))
-    assert met[80] == 300 and met[50] < 150
+            keys = [near_copies.band_keys(x) for x in (a, b)]
+            apart = sum(int(x ^ y).bit_count() for x, y in zip(*[k[near_copies.BANDS :].tolist() for k in keys]))
+            met[percent] += bool(len(np.intersect1d(*[k[: near_copies.BANDS] for k in keys]))) and apart <= near_copies.most_apart()
+    assert met[80] == 300 and met[50] < 20
     assert len(near_copies.band_keys(np.empty(0, np.uint64))) == 0
     long = rng.integers(0, 2**63, 5000, np.uint64)
     assert (near_copies.band_keys(long) == near_copies.band_keys(rng.permutation(long))).all()
