@@ -36,32 +36,42 @@ def repeated_starts(docs: DataFrame, classes: DataFrame, places: DataFrame, size
     ``places (text_key, pos)`` are candidates: a window can only repeat if it starts at ``pos − before`` to
     ``pos − after`` of one of them.
     """
-    listed = places.groupBy("text_key").agg(F.collect_set("pos").alias("places"))  # no longer than the text
-    firsts = classes.where("doc_id = first").join(listed, "text_key").select("doc_id", "text_key", "places")
+
+    def near(texts: list[np.ndarray], marks: list[np.ndarray]) -> list[np.ndarray]:
+        out = []
+        for h, at in zip(texts, marks):
+            n = max(0, len(h) - size + 1)
+            open_at = np.zeros(n + 1, np.int64)
+            np.add.at(open_at, np.clip(at - before, 0, n), 1)
+            np.add.at(open_at, np.clip(at - after + 1, 0, n), -1)
+            out.append(np.flatnonzero(np.cumsum(open_at)[:n] > 0))
+        return out
+
+    return checked_starts(docs, classes, places.withColumnRenamed("pos", "mark"), size, near)
+
+
+def checked_starts(docs: DataFrame, classes: DataFrame, marked: DataFrame, size: int, candidates: Callable) -> DataFrame:
+    """``doc_id, text_key, starts``: where the windows of ``size`` words start that also start in a smaller document.
+
+    ``marked (text_key, mark)`` tells what was revealed in a text. ``candidates`` gets word hashes and marks of some
+    texts, and says for each where the windows start that may repeat.
+    """
+    listed = marked.groupBy("text_key").agg(F.collect_set("mark").alias("marks"))  # no longer than the text
+    firsts = classes.where("doc_id = first").join(listed, "text_key").select("doc_id", "text_key", "marks")
     rows = docs.select("doc_id", "text", text_key().alias("text_key")).join(firsts, ["doc_id", "text_key"])
 
     def work():
         hashes = WordHashes()
 
         def each(batch: pa.RecordBatch):
-            out: list = [[], [], [], [], []]
-            for k, (text, at) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
-                h = hashes(split_words(text))
-                n = len(h) - size + 1
-                if n <= 0:
-                    continue
-                open_at = np.zeros(n + 1, np.int64)
-                at = at.values.to_numpy()
-                low, high = np.clip(at - before, 0, n), np.clip(at - after + 1, 0, n)
-                np.add.at(open_at, low, 1)
-                np.add.at(open_at, high, -1)
-                starts = np.flatnonzero(np.cumsum(open_at)[:n] > 0)
+            texts = [hashes(split_words(text)) for text in batch.column(2).to_pylist()]
+            out: list = [[], [], [], []]
+            for k, starts in enumerate(candidates(texts, [at.values.to_numpy() for at in batch.column(3)])):
                 if len(starts):
-                    lengths = np.full(len(starts), k)
-                    out[0].append(window_hashes(h, size)[starts].view(np.int64))
-                    out[1].append((window_hashes(h, size, second=True)[starts] >> np.uint64(33)).astype(np.int32))
+                    out[0].append(window_hashes(texts[k], size)[starts].view(np.int64))
+                    out[1].append((window_hashes(texts[k], size, second=True)[starts] >> np.uint64(33)).astype(np.int32))
                     out[2].append(starts.astype(np.int32))
-                    out[3].append(lengths)
+                    out[3].append(np.full(len(starts), k))
             if not out[0]:
                 return None
             who = pa.array(np.concatenate(out[3]))
@@ -70,7 +80,7 @@ def repeated_starts(docs: DataFrame, classes: DataFrame, places: DataFrame, size
         return each
 
     schema = "h bigint, c int, start int, doc_id bigint, text_key bigint"
-    windows = written(map_rows(rows, ["doc_id", "text_key", "text", "places"], schema, work), "repeat-windows")
+    windows = written(map_rows(rows, ["doc_id", "text_key", "text", "marks"], schema, work), "repeat-windows")
     spread = windows.groupBy("h", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     # Written first, so that the join has a plain shuffle on either side and Spark can split a hot window.
     spread = written(spread.select("h", "c", "least"), "repeat-least")

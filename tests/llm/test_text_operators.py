@@ -136,6 +136,30 @@ def brute_repeats(plain, size):
     return out
 
 
+def test_window_names_of_recompression_depend_on_the_window_alone():
+    rng, seen = np.random.default_rng(5), {}
+    for words in (1, 2, 3, 10, 50):
+        texts = [rng.integers(1, words + 1, rng.integers(0, 200)).astype(np.uint64) * np.uint64(7919) for _ in range(80)]
+        found = recompression.window_names(texts)
+        assert [len(x) for x in found] == [max(0, len(t) - 12) for t in texts]
+        for text, names in zip(texts, found):
+            for i, name in enumerate(names.tolist()):
+                assert seen.setdefault(text[i : i + 13].tobytes(), name) == name
+    assert len(set(seen.values())) > len(seen) / 50  # and tell most windows apart
+    one = np.concatenate(texts)
+    alone = recompression.window_names([one])[0]
+    assert all(seen.get(one[i : i + 13].tobytes(), x) == x for i, x in enumerate(alone.tolist()))
+
+
+def test_rounds_of_recompression_join_symbols_of_earlier_rounds():
+    h = np.random.default_rng(6).integers(1, 2**63, 5001).astype(np.uint64)
+    ends = np.arange(5001) == 5000
+    longest = [int(words.max()) for _, words, _, _ in recompression.symbols(h, ends)]
+    assert longest[0] == 2 and longest[1] == 4 and longest[2] > 4
+    for names, words, low, high in recompression.symbols(h, ends):
+        assert len(np.unique(names)) == len(names) and (high - low >= words).all()
+
+
 def test_recompression_removes_what_brute_force_removes(hard_docs, plain, no_docs):
     assert bag(recompression.remove_repeats(hard_docs).collect()) == bag(brute_repeats(plain, 13))
     assert recompression.remove_repeats(no_docs).count() == 0
