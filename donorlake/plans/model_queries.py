@@ -11,6 +11,7 @@ from donorlake.operators import models as md
 from donorlake.operators import pseudobulk as pb
 from donorlake.operators import quasi_newton as qn
 from donorlake.operators import splits as sp
+from donorlake.operators import trees as tr
 from donorlake.plans import arms
 from donorlake.plans.registry import CELLS, COUNTS, cells, counts, query, r6, table
 from donorlake.session import durable, scratch
@@ -185,6 +186,57 @@ def tree_importances(spark, sf):
     return rounded(md.tree_importances(rows, names))
 
 
+_FOREST = {"trees": 4, "depth": 3, "bins": 32, "subset": 12, "seed": 5}
+
+
+def _forest_sql() -> str:
+    """The forest in SQL: bins, weights and feature subsets by the same rules, one block of statements per level."""
+    f = _FOREST
+    u = lambda text: f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+    weight = " + ".join(f"({u(chr(39) + str(f['seed']) + '|w|' + chr(39) + ' || tree || ' + chr(39) + '|' + chr(39) + ' || id')} >= {x})::BIGINT" for x in tr.poisson_steps())
+    blocks = [
+        "x AS (SELECT vec_id AS id, (label < 5)::INTEGER AS y, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding)))::INTEGER AS feature FROM embeddings)",
+        "bounds AS (SELECT feature, min(v) AS low, max(v) AS high FROM x GROUP BY 1)",
+        f"b AS (SELECT id, y, feature, CASE WHEN high > low THEN least(floor((v - low) / (high - low) * {f['bins']}.0::DOUBLE)::INTEGER, {f['bins'] - 1}) ELSE 0 END AS bin FROM x JOIN bounds USING (feature))",
+        f"r0 AS (SELECT *, 1::BIGINT AS node FROM (SELECT id, tree, {weight} AS w FROM (SELECT DISTINCT id FROM x), (SELECT unnest(range({f['trees']}))::INTEGER AS tree)) WHERE w > 0)",
+    ]
+    for d in range(f["depth"]):
+        order = u(f"'{f['seed']}|f|' || tree || '|' || node || '|' || feature")
+        blocks += [
+            f"""a{d} AS (SELECT tree, node, feature FROM (SELECT DISTINCT tree, node FROM r{d}), (SELECT DISTINCT feature FROM b)
+                QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY {order}, feature) <= {f['subset']})""",
+            f"h{d} AS (SELECT tree, node, feature, bin, sum(w)::BIGINT AS n, sum(w * y)::BIGINT AS p FROM r{d} JOIN b USING (id) JOIN a{d} USING (tree, node, feature) GROUP BY ALL)",
+            f"""c{d} AS (SELECT tree, node, feature, bin, sum(n) OVER u AS nl, sum(p) OVER u AS pl, sum(n) OVER t AS n, sum(p) OVER t AS p FROM h{d}
+                WINDOW t AS (PARTITION BY tree, node, feature), u AS (PARTITION BY tree, node, feature ORDER BY bin ROWS UNBOUNDED PRECEDING))""",
+            f"""g{d} AS (SELECT tree, node, feature, bin, pl::DOUBLE * pl::DOUBLE / nl::DOUBLE + (p - pl)::DOUBLE * (p - pl)::DOUBLE / (n - nl)::DOUBLE - p::DOUBLE * p::DOUBLE / n::DOUBLE AS gain, n, p
+                FROM c{d} WHERE nl < n)""",
+            f"s{d} AS (SELECT * FROM g{d} WHERE gain > {tr.LEAST_GAIN} QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, feature, bin) = 1)",
+            f"r{d + 1} AS (SELECT r.id, r.tree, r.w, 2 * r.node + (b.bin > s.bin)::BIGINT AS node FROM r{d} r JOIN s{d} s USING (tree, node) JOIN b ON b.id = r.id AND b.feature = s.feature)",
+        ]
+    every = " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(f["depth"]))
+    threshold = f"low + (bin + 1)::DOUBLE * (high - low) / {f['bins']}.0::DOUBLE"
+    blocks.append(f"splits AS (SELECT tree, node, feature, bin, {threshold} AS threshold, gain, n::BIGINT AS n, p::BIGINT AS positives FROM ({every}) JOIN bounds USING (feature))")
+    return "WITH " + ",\n".join(blocks)
+
+
+@query("tree_splits", r6(f"{_forest_sql()} SELECT * FROM splits", "threshold", "gain"))
+def tree_splits(spark, sf):
+    """Every split of a small forest on the vectors, with its gain."""
+    return rounded(tr.grow(_vectors(spark, sf), bootstrap=True, **_FOREST))
+
+
+@query(
+    "forest_importances",
+    r6(
+        f"""{_forest_sql()}, g AS (SELECT tree, feature, sum(gain) AS g FROM splits GROUP BY ALL), t AS (SELECT tree, sum(gain) AS a FROM splits GROUP BY 1)
+    SELECT feature, sum(g / a) / (SELECT count(*) FROM t) AS importance FROM g JOIN t USING (tree) GROUP BY 1""",
+        "importance",
+    ),
+)
+def forest_importances(spark, sf):
+    return rounded(tr.importances(tr.grow(_vectors(spark, sf), bootstrap=True, **_FOREST)))
+
+
 @query("vector_arm_metrics")
 def vector_arm_metrics(spark, sf):
     oof, _ = md.nested_cv(_vectors(spark, sf), seed=1)
