@@ -140,6 +140,54 @@ def test_stream_equals_batch_and_survives_replay(spark, tmp_path):
     assert rows(incremental.read_sums(spark, out), "donor_id", "gene_id") == want
 
 
+def test_compaction_keeps_sums_through_replays_and_broken_runs(spark, tmp_path, monkeypatch):
+    chunks, out, state = (str(tmp_path / n) for n in ("chunks", "out", "state"))
+    schema, want = "donor_id string, gene_id string, value double", {}
+
+    def arrive(first, last):
+        for b in range(first, last):
+            part = [("A", "g", float(2**b)), ("A", f"g{b % 3}", 1.0)]
+            for d, g, v in part:
+                want[d, g] = want.get((d, g), 0.0) + v
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(chunks)
+        stream = incremental.stream_counts(spark, chunks, schema, files_per_batch=1)
+        incremental.append_partial_sums(stream, out, state).awaitTermination()
+
+    def check():
+        assert {(r[0], r[1]): r[2] for r in incremental.read_sums(spark, out).collect()} == want
+
+    arrive(0, 5)
+    assert incremental.compact_sums(spark, out, state, fanout=2) == 2  # four batches as one run of level 2, and the fifth
+    check()
+    # A batch that is merged already is replayed: readers skip its folder.
+    spark.createDataFrame([("A", "g", 1.0), ("A", "g0", 1.0)], schema).write.mode("overwrite").parquet(f"{out}/batch_id=0")
+    check()
+    arrive(5, 7)
+    # The compaction dies before its manifest: the sums stay, and so does what it read.
+    with monkeypatch.context() as m:
+        m.setattr(incremental, "_MANIFEST", "no schema")
+        with pytest.raises(Exception):
+            incremental.compact_sums(spark, out, state, fanout=2)
+    check()
+    # The last batch counts as not committed: it is left alone while it is being replayed.
+    (tmp_path / "state" / "commits" / "6").rename(tmp_path / "six")
+    incremental.compact_sums(spark, out, state, fanout=2)
+    assert (tmp_path / "out" / "batch_id=6").exists()
+    spark.createDataFrame([("A", "g", 64.0), ("A", "g0", 1.0)], schema).write.mode("overwrite").parquet(f"{out}/batch_id=6")
+    check()
+    (tmp_path / "six").rename(tmp_path / "state" / "commits" / "6")
+    arrive(7, 9)
+    assert incremental.compact_sums(spark, out, state, fanout=2) == 2
+    check()
+    held = incremental._current(spark, out)[1]
+    assert [r[1:] for r in held] == [(0, 7, 3), (8, 8, 0)]
+    assert len(list((tmp_path / "out" / "manifest").iterdir())) <= 4  # two versions and their checksums at most
+    assert incremental.compact_sums(spark, out, state, fanout=2) == 2  # nothing to do
+    check()
+    with pytest.raises(ValueError):
+        incremental.compact_sums(spark, out, state, fanout=1)
+
+
 def test_keyed_state_stream(spark, tmp_path):
     chunks = str(tmp_path / "chunks")
     schema = "donor_id string, gene_id string, value double"
