@@ -107,3 +107,20 @@ def test_hash_rank_orders_by_digest(spark):
     for g in ("x", "y"):
         order = sorted(range(400), key=lambda i: hashlib.md5(f"3|{g}|{i}".encode()).hexdigest())
         assert [r["i"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["hash_rank"])] == order
+
+
+def _broadcast_joins(df):
+    plan = df._jdf.queryExecution()
+    return plan.executedPlan().toString().count("Broadcast")
+
+
+def test_replicate_draw_sums_follow_hash_rank_without_broadcasts(spark):
+    df = spark.range(4000).select(F.col("id"), (F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    df = df.withColumn("quota", F.when(F.col("g") == 0, 700).otherwise(2000))
+    got = od.replicate_draw_sums(df, 5, "id", 3, "quota", ["v"], ["g"])
+    each = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    ranked = od.hash_rank(each, "id", 3, ["g", "replicate"])
+    want = ranked.where("hash_rank <= quota").groupBy("g", "replicate").agg(F.sum("v").alias("v"))
+    assert sorted(map(tuple, got.select("g", "replicate", "v").collect())) == sorted(map(tuple, want.collect()))
+    assert _broadcast_joins(got) == 0
+    assert _broadcast_joins(ranked) == 0  # the offsets of an exploded group look small to Spark and aren't
