@@ -85,3 +85,15 @@ def test_nulls_and_nothing(spark, tied):
     no_label = tied.withColumn("label", F.when(F.col("donor_id") < 200, F.col("label")))
     got = rs.bootstrap_auroc(no_label, n=50).agg(F.avg(F.col("n_pos") + F.col("n_neg"))).first()[0]
     assert 180 < got < 220
+
+
+def test_equal_draws_share_one_table(monkeypatch):
+    """50,000 draws of a few (m, p) compute a few distributions, with the values that each one's own has."""
+    rng = np.random.default_rng(3)
+    m, p, u = rng.integers(1, 40, 50_000), rng.choice([0.5, 0.25, 2 / 3], 50_000), rng.random(50_000)
+    asked, gamma = [], mn.log_gamma
+    monkeypatch.setattr(mn, "log_gamma", lambda x: (asked.append(np.size(x)), gamma(x))[1])
+    got = mn.binomial(m, p, u)
+    assert sum(asked) < 50_000
+    some = rng.integers(0, 50_000, 300)
+    assert got[some].tolist() == [int(mn.binomial(m[[i]], p[[i]], u[[i]])[0]) for i in some]
