@@ -480,3 +480,30 @@ def test_packed_replicates_equal_copied_features(cohort):
     assert np.allclose(a.score, b.score, atol=1e-9) and list(a.label) == list(b.label) and list(a.fold) == list(b.fold)
     assert rows(picks, "rep", "fold") == rows(same, "rep", "fold")
     assert md.repeated_cv(df, 2, 1, fixed_c=0.1).count() == 2
+
+
+def test_co_primary_computes_its_scores_once(spark):
+    from donorlake.plans import arms
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        seen.add(1)
+        return float(i * 37 % 101)
+
+    df = spark.range(100).select(F.col("id").alias("donor_id"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("a"), score("id").alias("b"))
+    assert arms.co_primary(df, [("t", "a", "b")], 1, n_bootstrap=4, n_permutations=4).count() == 1
+    assert seen.value == 100
+
+
+def test_few_rows_make_few_tasks(spark):
+    rows = spark.range(300).select(F.lit(0).alias("rep"), F.col("id").alias("donor_id"), F.lit(1).alias("label"), F.array(F.lit(1.0)).alias("features"), F.array(F.lit(0)).alias("folds"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        placed = md._place(rows, "donor_id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert placed.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert placed.count() == 300
