@@ -56,9 +56,13 @@ class RangeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options, self.step = options, int(options.get("range_bytes", RANGE_BYTES))
 
+    def widen(self, total: int) -> None:
+        """Called with the bytes of all files before they are cut."""
+
     def partitions(self) -> list[Range]:
-        out = []
-        for path, size in listed(self.options["path"], self.options.get("pattern", "*")):
+        out, files = [], listed(self.options["path"], self.options.get("pattern", "*"))
+        self.widen(sum(size for _, size in files))
+        for path, size in files:
             out += [Range(path, at, min(size, at + self.step), size) for at in range(0, max(size, 1), self.step)]
         return out
 
@@ -81,6 +85,10 @@ def matrix_header(file, name: str) -> tuple[int, np.dtype, int, int]:
 
 
 class MatrixReader(RangeReader):
+    def widen(self, total: int) -> None:
+        """Small ranges grow with the files, up to 1 MB, so that tasks don't: some 256 and one per file."""
+        self.step = max(self.step, min(_PIECE, total // 256))
+
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         """The rows whose first byte lies in the range."""
         system, path = opened(part.path)
@@ -161,20 +169,31 @@ def write_matrices(rows: DataFrame, path: str, donor: str = "donor_id", order: s
 
 
 class BlockReader(RangeReader):
+    """A partition is as many whole blocks of a file as lie in ``RANGE_BYTES``, one block at least: small blocks don't make a task each."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.block = self.step
+        self.step *= max(1, RANGE_BYTES // self.block)
+
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         system, path = opened(part.path)
-        digest = hashlib.sha256()
+        found = []
         with system.open_input_file(path) as file:
             file.seek(part.start)
-            left = part.stop - part.start
-            while left:
-                piece = file.read(min(left, _PIECE))
-                if not piece:
-                    raise ValueError(f"{path} became shorter")
-                digest.update(piece)
-                left -= len(piece)
-        columns = [[part.path], [part.start // self.step], [part.stop - part.start], [digest.hexdigest()]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["path", "block", "bytes", "sha256"])
+            for start in range(part.start, max(part.stop, part.start + 1), self.block):
+                stop = min(part.stop, start + self.block)
+                digest, left = hashlib.sha256(), stop - start
+                while left:
+                    piece = file.read(min(left, _PIECE))
+                    if not piece:
+                        raise ValueError(f"{path} became shorter")
+                    digest.update(piece)
+                    left -= len(piece)
+                found.append((part.path, start // self.block, stop - start, digest.hexdigest()))
+                if len(found) == 4096 or stop >= part.stop:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["path", "block", "bytes", "sha256"])
+                    found = []
 
 
 class FileBlocks(DataSource):
@@ -197,22 +216,26 @@ def block_digests(spark: SparkSession, path: str, pattern: str = "*", block_byte
     return spark.read.format("file_blocks").options(path=path, pattern=pattern, range_bytes=str(block_bytes)).load()
 
 
-def tree_digests(blocks: DataFrame, fan: int = FAN) -> DataFrame:
+def tree_digests(blocks: DataFrame, fan: int = FAN, levels: int | None = None) -> DataFrame:
     """``path, bytes, n_blocks, root``: a digest tree over the blocks of every file.
 
     A level's digest is the SHA-256 of the hex digests of up to ``fan`` nodes below, in order (a lone node's digest is kept), so
     a file of one block has that block's digest. The root depends on the block size and fan, so compare files that were cut alike.
+    With ``levels`` the tree ends that many levels up: a file of more than fan ** levels blocks has a row per node there.
     """
     level = blocks.select("path", "block", "bytes", F.lit(1).cast("bigint").alias("n"), "sha256")
     deepest = (level.agg(F.max("block")).first()[0] or 0) + 1
-    while deepest > 1:
+    files = level.groupBy("path").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n_blocks"))
+    while deepest > 1 and levels != 0:
         node = F.floor(F.col("block") / fan).cast("bigint")
         below = F.array_sort(F.collect_list(F.struct("block", "sha256")))  # fan at most
         joined = level.groupBy("path", node.alias("block")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), below.alias("b"))
         text = F.array_join(F.transform("b", lambda x: x["sha256"]), "")
         # A lone node goes up as it is, so that a root doesn't depend on how deep other files are.
         level = joined.select("path", "block", "bytes", "n", F.when(F.size("b") == 1, text).otherwise(F.sha2(text, 256)).alias("sha256"))
-        deepest = -(-deepest // fan)
+        deepest, levels = -(-deepest // fan), levels and levels - 1
+    if deepest > 1:  # nodes of the same file are told apart by their digests only
+        return level.select("path", F.col("sha256").alias("root")).join(files, "path").select("path", "bytes", "n_blocks", "root")
     return level.select("path", "bytes", F.col("n").alias("n_blocks"), F.col("sha256").alias("root"))
 
 

@@ -96,3 +96,25 @@ def test_heads_do_not_read_bodies(spark, tmp_path):
     assert {tuple(r)[2:] for r in sizes.collect()} == {(3, 2, 4)} and {r["sample_id"] for r in sizes.collect()} == {"s1", "s2", "s3"}
     with pytest.raises(PySparkException, match="no size line"):
         matrix_market.declared_sizes(spark, str(tmp_path)).collect()
+
+
+def test_small_blocks_share_a_task_and_a_tree_may_end_early(spark, tmp_path):
+    data = bytes(range(256)) * 20
+    (tmp_path / "a.txt").write_bytes(data)
+    (tmp_path / "b.txt").write_bytes(b"")
+    blocks = ranges.block_digests(spark, str(tmp_path), "*.txt", 100)
+    assert blocks.rdd.getNumPartitions() == 2
+    got = sorted((r["block"], r["bytes"], r["sha256"]) for r in blocks.where("path LIKE '%a.txt'").collect())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = [(i, len(data[i * 100 : i * 100 + 100]), sha(data[i * 100 : i * 100 + 100])) for i in range(52)]
+    assert got == want
+    nodes = [sha("".join(w[2] for w in want[i : i + 4]).encode()) for i in range(0, 52, 4)]
+    nodes = [sha("".join(nodes[i : i + 4]).encode()) if len(nodes[i : i + 4]) > 1 else nodes[i] for i in range(0, 13, 4)]
+    tops = [(r["bytes"], r["n_blocks"], r["root"]) for r in ranges.tree_digests(blocks, 4, levels=2).where("path LIKE '%a.txt'").collect()]
+    assert sorted(tops) == sorted((len(data), 52, n) for n in nodes)
+
+
+def test_small_ranges_grow_with_the_files(tmp_path):
+    np.save(tmp_path / "a.npy", np.zeros((40_000, 8), "f4"))
+    parts = ranges.MatrixReader({"path": str(tmp_path), "range_bytes": "100"}).partitions()
+    assert len(parts) <= 258 and parts[-1].stop == parts[0].size
