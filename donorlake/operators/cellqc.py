@@ -213,6 +213,16 @@ def _block_candidates(q: DataFrame, r: DataFrame, k: int, block_rows: int, exclu
     return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(nearest, f"_id {kind}, neighbor {kind}, distance double")
 
 
+VISIT_ROWS = 4096  # rows of a frame that a task passes on
+
+
+def _visit_frames(pdf: pd.DataFrame, i: np.ndarray, c: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Row ``i`` of the batch with pivot ``c``, in small frames: each visit carries the vector, up to one per row and pivot."""
+    for start in range(0, len(i), VISIT_ROWS):
+        rows = i[start : start + VISIT_ROWS]
+        yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[rows], "_v": pdf["_v"].to_numpy()[rows], "_c": c[start : start + VISIT_ROWS].astype("int32")})
+
+
 def knn(
     queries: DataFrame, references: DataFrame, k: int, key: str = "cell_id", vector: str = "embedding",
     block_rows: int = 2048, exclude_self: bool = False, max_pivots: int = 256,
@@ -261,8 +271,7 @@ def knn(
                 go = (d - radius <= pdf["_reach"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9 * (1 + d)) & np.isfinite(radius)
                 go[np.arange(len(d)), d.argmin(axis=1)] = False
                 i, c = np.nonzero(go)
-                if len(i):
-                    yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[i], "_v": pdf["_v"].to_numpy()[i], "_c": c.astype("int32")})
+                yield from _visit_frames(pdf, i, c)
 
     onward = durable(bounded.mapInPandas(visits, f"_id {kind}, _v array<double>, _c int"))
     others = _block_candidates(onward, r.drop("_d"), k, block_rows, exclude_self, kind)

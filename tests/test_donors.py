@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -317,3 +318,14 @@ def test_knn_prunes_and_stays_exact(spark):
         assert list(mine["neighbor"]) == list(np.lexsort((np.arange(len(x)), d[i]))[:5]) and np.allclose(mine["distance"], np.sort(d[i])[:5])
     assert qc.knn(df, df.limit(3), 5).groupBy("cell_id").count().where("count <> 3").count() == 0
     assert qc.knn(df, df.where("false"), 5).count() == 0 and qc.knn(df.where("false"), df, 5).count() == 0
+
+
+def test_visits_go_on_in_small_frames():
+    from donorlake.operators import cellqc
+
+    pdf = pd.DataFrame({"_id": range(100), "_v": [np.full(4, float(x)) for x in range(100)]})
+    i, c = np.nonzero(np.ones((100, 256), bool))
+    frames = list(cellqc._visit_frames(pdf, i, c))
+    assert max(map(len, frames)) <= 4096 and sum(map(len, frames)) == 25_600
+    assert [len(f) for f in cellqc._visit_frames(pdf, i[:0], c[:0])] == []
+    assert (pd.concat(frames)["_id"].to_numpy() == i).all() and (pd.concat(frames)["_c"].to_numpy() == c).all()
