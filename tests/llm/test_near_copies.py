@@ -109,3 +109,13 @@ def test_rows_of_one_doc_id_are_told_apart(spark, keep_first):
     a, b = "one two three four five six seven", "red green blue black white grey pink"
     docs = spark.createDataFrame([(2, a), (5, a), (5, b)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["text"]) for r in keep_first(docs).collect()) == [(2, a), (5, b)]
+
+
+def test_stage_goes_through_simhash_first(spark, monkeypatch):
+    """Without any bands the stage still finds the near copies that SimHash groups, and no other documents."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(near_copies, "links", lambda docs, rows, shingle, percent, known=None: known)
+    rows = edited()
+    kept = [r["doc_id"] for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert {d for d, _ in brute_heads(rows)} <= {*kept}
+    assert len(kept) < len(rows) - 10
