@@ -119,3 +119,39 @@ def test_stage_goes_through_simhash_first(spark, monkeypatch):
     kept = [r["doc_id"] for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
     assert {d for d, _ in brute_heads(rows)} <= {*kept}
     assert len(kept) < len(rows) - 10
+
+
+def test_parity_sketches_lose_no_near_copy():
+    rng = np.random.default_rng(1)
+    for size in (30, 400, 513, 3000):
+        for _ in range(50):
+            both = rng.integers(0, 2**63, size, np.uint64)
+            own = rng.integers(0, 2**63, (2, size // 8), np.uint64)
+            a, b = (np.unique(np.concatenate([both, x[: size // 8 - k]])) for k, x in enumerate(own))
+            level = max(near_copies._level(len(a)), near_copies._level(len(b)))
+            x, y = (near_copies.parity(s).reshape(2, -1)[level - near_copies._level(len(s))] for s in (a, b))
+            apart, most = sum(int(i ^ j).bit_count() for i, j in zip(x, y)), (len(a) + len(b)) / 9 / 2**level
+            assert apart <= (most if level == 0 else most + 5 * most**0.5 + 5)
+
+
+def test_variants_that_are_not_near_leave_few_pairs(spark, monkeypatch):
+    """Texts with three words changed of one that isn't there: they share bands, but none is near another."""
+    rng, seen, similar = random.Random(3), [], near_copies._similar
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(120)]
+    rows = []
+    for k in range(200):
+        copy = list(base)
+        for at in (10 + k % 20, 50 + k // 20, 90 + k % 20):
+            copy[at] = word().upper() + str(k)
+        rows.append((k, " ".join(copy)))
+    assert len(brute_heads(rows)) > 150
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_similar", counted)
+    kept = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == brute_heads(rows)
+    assert sum(seen) < 400
