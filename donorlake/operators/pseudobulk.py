@@ -40,7 +40,8 @@ def pseudobulk(
     cells sends one row per gene and task, not one per count.
     """
     keys = [donor, *strata]
-    rows = counts.join(cells.select(cell, *keys), cell)
+    # Cells grow with the counts, and their file looks small: without the hint Spark would broadcast millions of them.
+    rows = counts.join(cells.select(cell, *keys).hint("merge"), cell)
     if method == "sum":
         return rows.groupBy(*keys, gene).agg(F.sum("value").alias("value"))
     sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"))

@@ -58,7 +58,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def cells(spark, sf) -> DataFrame:
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).select(
+    return o.join(c.hint("merge"), o.o_custkey == c.c_custkey).select(  # donors grow with the cells: no broadcast
         F.col("o_orderkey").alias("cell_id"), F.col("o_custkey").alias("donor_id"), F.col("c_nationkey").alias("nation_id"),
         F.col("c_mktsegment").alias("grp"), F.col("o_orderpriority").alias("cell_type"), F.col("o_orderstatus").alias("batch"),
         F.col("o_totalprice").alias("score"),

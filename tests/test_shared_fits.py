@@ -67,3 +67,24 @@ def test_an_arm_is_not_computed_once_per_column(spark):
     plan = out._jdf.queryExecution().toString()
     assert "Pandas" not in plan and "Window" not in plan
     assert out.count() == 1
+
+
+def test_a_fit_frees_what_it_sends_on_the_driver_too(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    gone, destroy = [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, blocking=False: (gone.append(1), destroy(self, blocking))[1])
+    rows = md._place(people(spark).withColumns({"rep": F.lit(0), "folds": F.array((F.col("donor_id") % 3).cast("int"))}), "donor_id")
+    fitted = md.fit_logistic(rows, [md.Fit(0, ((0, 0),), 0.1)], 6, solver="matrix-free")
+    assert fitted.converged.all() and len(gone) >= fitted.iterations + 2
+
+
+@pytest.mark.parametrize("method", ["sum", "mean", "fraction"])
+def test_cells_are_not_broadcast(spark, method):
+    from donorlake.operators import pseudobulk as pb
+    from donorlake.plans import registry as rg
+
+    sf = "/root/testdata/sf0.001"
+    out = pb.pseudobulk(rg.counts(spark, sf), rg.cells(spark, sf), "nation_id", method)
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "HashJoin" in x]
+    assert not any("cell_id" in x or "custkey" in x or "orderkey" in x for x in joins)
