@@ -155,3 +155,17 @@ def test_variants_that_are_not_near_leave_few_pairs(spark, monkeypatch):
     kept = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == brute_heads(rows)
     assert sum(seen) < 400
+
+
+def test_groups_are_joined_to_classes_not_to_bands(spark, monkeypatch):
+    rows = edited()
+    classes, tables, written = len({shingles(t) for _, t in rows}), {}, near_copies.written
+
+    def counted(df, name):
+        out = written(df, name)
+        tables[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "written", counted)
+    near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert 0 < tables["near-copy-met"] <= classes and 0 < tables["near-copy-apart"] <= classes

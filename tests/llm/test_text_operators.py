@@ -115,6 +115,15 @@ def test_components_of_chains_and_hubs(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_stars_take_one_round(spark, monkeypatch):
+    tables, durable = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df: tables.append(durable(df)) or tables[-1])
+    edges = [(0, i) for i in range(1, 9)] + [(20, 21)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(9)}, 20: 20, 21: 20}
+    assert len(tables) == 2  # the links and one round
+
+
 # --- repeats ----------------------------------------------------------------------
 
 
