@@ -27,6 +27,17 @@ def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*order).collect()]
 
 
+def test_tasks_of_the_fraction_grow_with_the_counts(small, monkeypatch):
+    cells, counts = small
+    counts = counts.unionByName(counts.sparkSession.createDataFrame([(None, "g1", 1.0)], counts.schema))
+    monkeypatch.setattr(pb, "TASK_ROWS", 1, raising=False)
+    for copies in (10, 20):
+        many = counts.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("i")
+        out = pb.pseudobulk(many, cells.unionByName(cells), method="fraction")
+        assert f", {5 * copies + 1}), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+        assert rows(out, "donor_id", "gene_id") == [("A", "g1", 0.25), ("A", "g2", 0.25), ("B", "g1", 0.5), ("B", "g3", 0.0)]
+
+
 def test_pseudobulk_methods(small):
     cells, counts = small
     assert rows(pb.pseudobulk(counts, cells), "donor_id", "gene_id") == [("A", "g1", 3.0), ("A", "g2", 3.0), ("B", "g1", 4.0), ("B", "g3", 0.0)]
