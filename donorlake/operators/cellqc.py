@@ -20,6 +20,7 @@ NORMALISE_TO = 1e4
 N_VARIABLE_GENES = 2000
 N_MEAN_BINS = 20
 MAX_TOKENS = 2048
+SORTED_ROWS = 100_000  # entries of a gene that one task sorts at most
 
 
 def cell_gene_sums(counts: DataFrame) -> DataFrame:
@@ -130,9 +131,21 @@ def highly_variable(dispersion: DataFrame, n_top: int = N_VARIABLE_GENES, bins:
 
 
 def gene_medians(sums: DataFrame, target: float = NORMALISE_TO) -> DataFrame:
-    """Exact median of each gene's non-zero normalised value, for rank tokens."""
-    nonzero = normalize_log1p(sums, target).where(F.col("normalized") > 0)
-    return quantiles(nonzero, "normalized", [0.5], by=["gene_id"]).withColumnRenamed("q0", "median")
+    """Exact median of each gene's non-zero normalised value, for rank tokens.
+
+    A gene of up to ``SORTED_ROWS`` entries is sorted by one task; entries of larger ones are spread over their values' prefixes.
+    """
+    nonzero = normalize_log1p(sums, target).where(F.col("normalized") > 0).select("gene_id", "normalized")
+    large = sums.groupBy("gene_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SORTED_ROWS).select("gene_id")
+    gene = Window.partitionBy("gene_id")
+    middle = (F.count(F.lit(1)).over(gene) - 1) / 2.0
+    ranked = nonzero.join(large, "gene_id", "left_anti").withColumns({"_at": F.row_number().over(gene.orderBy("normalized")) - 1, "_middle": middle})
+    at = lambda side: F.max(F.when(F.col("_at") == side("_middle"), F.col("normalized")))
+    ends = ranked.where((F.col("_at") == F.floor("_middle")) | (F.col("_at") == F.ceil("_middle")))
+    ends = ends.groupBy("gene_id").agg(at(F.floor).alias("_lo"), at(F.ceil).alias("_hi"), F.max(F.col("_middle") - F.floor("_middle")).alias("_share"))
+    few = ends.select("gene_id", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_share")).alias("median"))
+    many = quantiles(nonzero.join(large, "gene_id", "left_semi"), "normalized", [0.5], by=["gene_id"]).withColumnRenamed("q0", "median")
+    return few.unionByName(many)
 
 
 def rank_tokens(sums: DataFrame, medians: DataFrame, max_len: int = MAX_TOKENS) -> DataFrame:
@@ -153,7 +166,10 @@ def token_sequences(tokens: DataFrame) -> DataFrame:
 
 
 def embed(tokens: DataFrame, embed_fn: Callable[[pd.Series], Sequence], keep: Sequence[str] = ("cell_id",)) -> DataFrame:
-    """Apply a user's model to token sequences, one Arrow batch at a time; vectors come back as ``embedding``."""
+    """Apply a user's model to token sequences, one Arrow batch at a time; vectors come back as ``embedding``.
+
+    The vectors are written once, so that the model and the ranking before it don't run again for every later step.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +178,7 @@ def embed(tokens: DataFrame, embed_fn: Callable[[pd.Series], Sequence], keep: Se
             out["embedding"] = [list(map(float, v)) for v in embed_fn(pdf["tokens"])]
             yield out
 
-    return tokens.mapInPandas(run, f"{fields}, embedding array<double>")
+    return durable(tokens.mapInPandas(run, f"{fields}, embedding array<double>"))
 
 
 def pca(vectors: DataFrame, k: int, vector: str = "embedding", out: str = "components") -> DataFrame:

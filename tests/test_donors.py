@@ -340,3 +340,26 @@ def test_visits_go_on_in_small_frames():
     assert max(map(len, frames)) <= 4096 and sum(map(len, frames)) == 25_600
     assert [len(f) for f in cellqc._visit_frames(pdf, i[:0], c[:0])] == []
     assert (pd.concat(frames)["_id"].to_numpy() == i).all() and (pd.concat(frames)["_c"].to_numpy() == c).all()
+
+
+def test_a_model_runs_once_per_cell(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(tokens):
+        seen.add(len(tokens))
+        return [(float(len(t)),) for t in tokens]
+
+    cells = spark.createDataFrame([(i, "ab"[i % 2], [1] * (i + 1)) for i in range(6)], "cell_id long, donor_id string, tokens array<long>")
+    pooled = dn.mean_pool(qc.embed(cells, model, ("cell_id", "donor_id")))
+    assert rows(pooled, "donor_id") == [("a", 3, [3.0]), ("b", 3, [4.0])] and seen.value == 6
+
+
+@pytest.mark.parametrize("sorted_rows", [0, 6, 100])
+def test_gene_medians_of_small_and_large_genes(spark, monkeypatch, sorted_rows):
+    monkeypatch.setattr(qc, "SORTED_ROWS", sorted_rows, raising=False)
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 5, (12, 9)) * (rng.random((12, 9)) < np.linspace(0.1, 1, 9))
+    sums = spark.createDataFrame([(c, g, float(x[c, g])) for c in range(12) for g in range(9) if x[c, g] or g == 3], "cell_id long, gene_id long, value double")
+    share = x * 1e4 / np.where(x.sum(axis=1) > 0, x.sum(axis=1), 1)[:, None]
+    want = {g: float(np.median(share[:, g][share[:, g] > 0])) for g in range(9) if x[:, g].any()}
+    assert {r["gene_id"]: r["median"] for r in qc.gene_medians(sums).collect()} == pytest.approx(want)
