@@ -88,3 +88,28 @@ def test_cells_are_not_broadcast(spark, method):
     out = pb.pseudobulk(rg.counts(spark, sf), rg.cells(spark, sf), "nation_id", method)
     joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "HashJoin" in x]
     assert not any("cell_id" in x or "custkey" in x or "orderkey" in x for x in joins)
+
+
+def _broadcast_rows(spark, run):
+    """The most rows that a broadcast of any job of ``run`` had."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    ids = lambda: {e.executionId() for e in (lambda x: [x.apply(i) for i in range(x.size())])(store.executionsList())}
+    before = ids()  # old ones are dropped, so their number says nothing
+    run()
+    bus.waitUntilEmpty()
+    most = 0
+    for e in ids() - before:
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for node in [nodes.apply(i) for i in range(nodes.size())]:
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())] if node.name() == "BroadcastExchange" else []
+            found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+            most = max([most, *[int(v.get().replace(",", "")) for v in found if v.isDefined()]])
+    return most
+
+
+def test_an_external_arm_broadcasts_no_rows_times_replicates(spark):
+    df = people(spark, 200).withColumn("side", (F.col("donor_id") % 2).cast("string"))
+    run = lambda: arms.external_arm(df, df, 0.1, 2, "side", 100, 300)[1].collect()
+    most = _broadcast_rows(spark, run)
+    assert 0 < most <= 2 * 200  # in all and in strata; 300 replicates of 200 rows look as small to Spark as the rows
