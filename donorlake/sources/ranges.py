@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -132,14 +132,25 @@ def read_matrices(spark: SparkSession, path: str, pattern: str = "*.npy", range_
     return spark.read.format("matrix_rows").options(path=path, pattern=pattern, range_bytes=str(range_bytes)).load()
 
 
+def _by_donor(rows: DataFrame, donor: str, order: str, value: str) -> DataFrame:
+    """``donor, _n, _w, _v, x, o``: every donor's rows in order in one task, beside their number, least and greatest length.
+
+    By a window, which needs a donor's rows together: after a join with the sizes Spark drops a repartition by the same key,
+    and then may turn the join into one that leaves the rows where they were read.
+    """
+    named = rows.where(F.col(donor).isNotNull())
+    named = named.select(F.col(donor).cast("string").alias("donor"), F.size(value).alias("w"), F.col(value).cast("array<float>").alias("x"), F.col(order).alias("o"))
+    mine = Window.partitionBy("donor").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = [F.count(F.lit(1)).over(mine).alias("_n"), F.min("w").over(mine).alias("_w"), F.max("w").over(mine).alias("_v")]
+    return named.select("donor", *sizes, "x", "o").sortWithinPartitions("donor", "o")
+
+
 def write_matrices(rows: DataFrame, path: str, donor: str = "donor_id", order: str = "cell_ix", value: str = "embedding") -> int:
     """One array file of 32-bit floats per donor, its rows in ``order``; returns how many. Rows stream through the task of
     their donor; vectors of unequal length fail."""
-    spark = rows.sparkSession
     system, root = opened(path)
     system.create_dir(root, recursive=True)
-    sizes = rows.groupBy(donor).agg(F.count(F.lit(1)).alias("_n"), F.min(F.size(value)).alias("_w"), F.max(F.size(value)).alias("_v"))
-    whole = rows.join(sizes, donor).select(F.col(donor).cast("string").alias("donor"), "_n", "_w", "_v", F.col(value).cast("array<float>").alias("x"), F.col(order).alias("o"))
+    whole = _by_donor(rows, donor, order, value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = opened(path)
@@ -161,8 +172,7 @@ def write_matrices(rows: DataFrame, path: str, donor: str = "donor_id", order: s
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array([done])], names=["files"])
 
-    dealt = whole.repartition("donor").sortWithinPartitions("donor", "o")
-    return dealt.mapInArrow(run, "files bigint").agg(F.sum("files")).first()[0] or 0
+    return whole.mapInArrow(run, "files bigint").agg(F.sum("files")).first()[0] or 0
 
 
 # --- digests ---------------------------------------------------------------------

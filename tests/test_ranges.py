@@ -67,6 +67,20 @@ def test_written_matrices(spark, tmp_path):
     assert ranges.read_matrices(spark, str(tmp_path / "m")).count() == 40
 
 
+def test_a_donors_rows_meet_in_one_task(spark, tmp_path):
+    """A join that turns into a broadcast while it runs left a donor's rows where they were read, and several tasks wrote its file."""
+    donor = F.when(F.col("id") < 400, (F.col("id") % 3).cast("string"))
+    rows = spark.range(0, 402, 1, 5).select(donor.alias("donor_id"), F.col("id").alias("cell_ix"), F.array(F.col("id") * 1.0, F.lit(2.0)).alias("embedding"))
+    dealt = ranges._by_donor(rows, "donor_id", "cell_ix", "embedding")
+    dealt.collect()
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" in plan and "AQEShuffleRead local" not in plan
+    assert {(r["donor"], r["_n"]) for r in dealt.collect()} == {("0", 134), ("1", 133), ("2", 133)}
+    assert ranges.write_matrices(rows, str(tmp_path / "m")) == 3
+    for d in range(3):
+        assert np.load(tmp_path / "m" / f"{d}.npy")[:, 0].tolist() == [float(i) for i in range(d, 400, 3)]
+
+
 def test_digest_trees(spark, tmp_path):
     texts = {"empty": b"", "one": b"x" * 10, "two": b"y" * 150, "many": bytes(range(256)) * 40}
     for name, t in texts.items():
