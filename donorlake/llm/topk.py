@@ -9,9 +9,9 @@ score is the sum of its partial scores over the lists.
    it can be among the first k.
 2. With U_j the best partial score of list j, a row that reaches T is at most
    S = ΣU_j − T below the best in all lists together, so at most S / lists
-   below it in one list at least. This uniform threshold is broadcast and all
-   entries at or above it are collected. Lists where a row did not show up
-   bound its missing part; rows whose bound is under T go.
+   below it in one list at least. This uniform threshold is broadcast and a
+   task takes all entries at or above it. Lists where a row did not show up
+   bound its missing part; rows whose bound is under T go, in their task.
 3. The rest is joined to its vectors, and missing partial scores are resolved.
 
 Queries go in chunks of bounded size (one broadcast each); rows are scanned
@@ -103,22 +103,24 @@ def _local_lists(classes: DataFrame, chunk, k: int, cuts: list[slice], width: in
     return classes.select("cid", "v").mapInArrow(run, "q int, list int, cid bigint, part bigint")
 
 
-def _entries(classes: DataFrame, chunk, floors, cuts: list[slice], width: int) -> DataFrame:
-    """Phase 2 in a task: all entries at or above the uniform threshold of their query and list."""
+def _reaching(classes: DataFrame, chunk, limits, cuts: list[slice], width: int) -> DataFrame:
+    """Phase 2 in a task: ``q, cid`` of the rows whose entries at or above the uniform threshold, with the missing parts at
+    their most, reach the cutoff. All entries of a row lie in its task, so only such pairs leave it."""
 
     def work():
         def each(batch: pa.RecordBatch):
             rows, cid, queries = _matrix(batch.column(1), width), batch.column(0).to_numpy(), chunk.value
-            found = []
-            for j, cut in enumerate(cuts):
-                part = _product(rows[:, cut], queries[:, cut])
-                r, q = np.nonzero(part >= floors.value[:, j])
-                found.append((q.astype(np.int32), np.full(len(q), j, np.int32), cid[r], part[r, q]))
-            return [pa.array(np.concatenate(x)) for x in zip(*found)]
+            floors, cutoff = limits.value
+            parts, below = [_product(rows[:, cut], queries[:, cut]) for cut in cuts], floors - 1
+            if sum(int(p.max(initial=0)) for p in parts) - sum(int(b.min(initial=0)) for b in below.T) >= 2**62:
+                parts, below, cutoff = [p.astype(object) for p in parts], below.astype(object), cutoff.astype(object)
+            over = sum(np.where(p > low, p - low, 0) for p, low in zip(parts, below.T))
+            r, q = np.nonzero((over > 0) & (over >= cutoff - below.sum(axis=1)))
+            return [pa.array(q.astype(np.int32)), pa.array(cid[r])]
 
         return each
 
-    return map_rows(classes, ["cid", "v"], "q int, list int, cid bigint, part bigint", work, step=4096)
+    return map_rows(classes, ["cid", "v"], "q int, cid bigint", work, step=2048)
 
 
 def _exact(pairs: DataFrame, classes: DataFrame, chunk, width: int) -> DataFrame:
@@ -136,7 +138,8 @@ def _exact(pairs: DataFrame, classes: DataFrame, chunk, width: int) -> DataFrame
 
         return each
 
-    return map_rows(pairs.join(classes, "cid"), ["q", "cid", "v"], "q int, cid bigint, score bigint", work, step=4096)
+    # Both sides look small: Spark knows neither how many pairs a task makes nor that vectors are packed in their file.
+    return map_rows(pairs.join(classes.hint("merge"), "cid"), ["q", "cid", "v"], "q int, cid bigint, score bigint", work, step=4096)
 
 
 def _chunk_top(classes: DataFrame, qcid: list[int], queries: np.ndarray, k: int, lists: int) -> DataFrame:
@@ -160,16 +163,8 @@ def _chunk_top(classes: DataFrame, qcid: list[int], queries: np.ndarray, k: int,
         if row["n"] >= k:  # with fewer rows than k, all are wanted
             safe[row["q"]] = row["t"]
     floor = top - ((top.sum(axis=1) - safe) // lists)[:, None]
-    floors = spark.sparkContext.broadcast(floor)
-    bounds = spark.createDataFrame(
-        [(i, int(safe[i]), int(floor[i].sum()) - lists) for i in range(len(queries))], "q int, t bigint, under bigint"
-    ).select("q", "t", "under")
-    per_list = spark.createDataFrame(
-        [(i, j, int(floor[i, j]) - 1) for i in range(len(queries)) for j in range(lists)], "q int, list int, below bigint"
-    )
-    known = _entries(classes, chunk, floors, cuts, width).join(per_list, ["q", "list"])
-    known = known.groupBy("q", "cid").agg(F.sum(F.col("part") - F.col("below")).alias("over")).join(bounds, "q")
-    wanted = known.where(F.col("over") + F.col("under") >= F.col("t")).select("q", "cid")
+    limits = spark.sparkContext.broadcast((floor, safe))
+    wanted = _reaching(classes, chunk, limits, cuts, width)
     top_rows = _exact(wanted, classes, chunk, width).withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k)
     names = spark.createDataFrame([(i, int(c)) for i, c in enumerate(qcid)], "q int, qcid bigint")
     return written(top_rows.join(names, "q").select("qcid", "cid", "score"), "topk-chunk")
@@ -185,7 +180,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LIST
     few = vectors.withColumn("r", F.row_number().over(first_ids)).where(F.col("r") <= k + 1)
     classes = few.groupBy("v").agg(F.min("vec_id").alias("cid"), F.collect_list("vec_id").alias("ids"))
     classes = written(classes, "topk-classes")
-    asked = vectors.join(queries.select("vec_id").distinct(), "vec_id").join(classes.select("v", "cid"), "v")
+    # The hints: packed vectors look several times smaller than they are, and would be broadcast.
+    asked = vectors.join(queries.select("vec_id").distinct(), "vec_id").join(classes.select("v", "cid").hint("merge"), "v")
     asked = written(asked.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qcid")), "topk-queries")
     wanted = asked.select(F.col("qcid").alias("cid")).distinct()
     size = wanted.count()
@@ -194,13 +190,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LIST
     parts = []
     for i in range(chunks):
         mine = wanted.where(F.pmod(F.xxhash64("cid"), F.lit(chunks)) == i) if chunks > 1 else wanted
-        rows = mine.join(classes, "cid").select("cid", "v").toArrow()
+        rows = F.broadcast(mine).join(classes, "cid").select("cid", "v").toArrow()
         if rows.num_rows:
             vecs = _matrix(rows.column("v").combine_chunks(), width)
             parts.append(_chunk_top(classes, rows.column("cid").to_pylist(), vecs, k + 1, lists))
     if not parts:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    best = union_all(parts).join(classes.select("cid", "ids"), "cid")
+    best = union_all(parts).join(classes.select("cid", "ids").hint("merge"), "cid")
     pairs = asked.join(best, "qcid").select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

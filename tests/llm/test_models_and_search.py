@@ -50,6 +50,26 @@ def test_top_k_equals_all_pairs(spark, lists, chunk):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_broadcasts_neither_vectors_nor_what_tasks_find(spark, monkeypatch):
+    """Both look small to Spark at any size: vectors are packed in their file, a task's pairs are sized by its rows."""
+    rng, plans, write = np.random.default_rng(5), [], topk.written
+    table = spark.createDataFrame([(i, [float(v) for v in rng.normal(0, 1, 6)]) for i in range(300)], "vec_id long, embedding array<float>")
+    ints = write(topk.integer_vectors(table), "test-vectors")
+    monkeypatch.setattr(topk, "written", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    assert topk.top_k(ints, ints.where("vec_id % 100 = 0")).count() == 30
+    assert len(plans) == 4
+    for plan in plans:
+        lines = plan.splitlines()
+        depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+        for i in (i for i, x in enumerate(lines) if "BroadcastExchange" in x):
+            below = []
+            for d, x in zip(depth[i + 1 :], lines[i + 1 :]):
+                if d <= depth[i]:
+                    break
+                below.append(x)
+            assert not any("MapInArrow" in x or " v#" in x or ",v#" in x or "[v#" in x for x in below), plan
+
+
 def test_top_k_of_little(spark):
     few = topk.integer_vectors(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [-1.0])], "vec_id long, embedding array<float>"))
     assert [tuple(r) for r in topk.top_k(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 2 << 20), (0, 2, 2, -(1 << 20))]
