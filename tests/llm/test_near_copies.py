@@ -1,9 +1,11 @@
 """Near copies of the pipeline's stage beside the Jaccard similarity of all pairs."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from donorlake.llm import near_copies, simhash
 
@@ -121,6 +123,23 @@ def test_stage_goes_through_simhash_first(spark, monkeypatch):
     assert len(kept) < len(rows) - 10
 
 
+@pytest.mark.parametrize("few", [near_copies.FEW_PAIRS, 10])
+def test_all_pairs_of_a_first_look_are_checked(spark, few, monkeypatch):
+    """Members of one group that are near each other, but not its smallest class, are found without any band."""
+    bands, mixed, n = near_copies.band_keys, near_copies.mixed, near_copies.BANDS
+
+    def lone(h):  # keys that no other set has, then the sketch
+        own = mixed(np.frombuffer(hashlib.sha256(h.tobytes()).digest()[:8], np.uint64) + np.arange(n, dtype=np.uint64))
+        return np.concatenate([own, bands(h)[n:]]) if len(h) else bands(h)
+
+    monkeypatch.setattr(near_copies, "band_keys", lone)
+    monkeypatch.setattr(near_copies, "FEW_PAIRS", few)
+    rows = edited()
+    one_group = lambda texts: texts.select("doc_id", F.lit(7).alias("component_id"))
+    kept = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), also=one_group)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == brute_heads(rows)
+
+
 def test_parity_sketches_lose_no_near_copy():
     rng = np.random.default_rng(1)
     for size in (30, 400, 513, 3000):
