@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlake.session import scratch
+from donorlake.session import dropped, written  # noqa: F401
 
 _CACHE_WORDS = 400_000  # entries a task keeps before it starts anew
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -140,33 +140,6 @@ def text_key() -> Column:
     return F.xxhash64("text")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table once to the shared folder and go on from the files.
-
-    The shuffles that made it are not needed again, so their files go as soon as it is written.
-    """
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete intermediate tables made by ``written`` that nothing reads any more."""
-    for table in tables:
-        spark = table.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_fold() -> Column:
     """crc32 of doc_id as text, modulo 5; remainder 0 is the held-out part."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from donorlake.functions.scalars import is_mito
 from donorlake.operators import subspace
-from donorlake.operators.ordering import quantiles, with_group_totals
-from donorlake.session import durable
+from donorlake.operators.ordering import quantiles, union_all, with_group_totals
+from donorlake.session import dropped, durable, task_slots, written
 
 # QC thresholds, target sums and the token budget.
 MIN_GENES, MAX_GENES, MIN_CELLS, MAX_PCT_MITO = 200, 6000, 3, 20.0
@@ -186,49 +190,6 @@ def pca(vectors: DataFrame, k: int, vector: str = "embedding", out: str = "compo
     return subspace.scores(vectors, subspace.fit(vectors, k, vector), vector, out)
 
 
-def _block_candidates(q: DataFrame, r: DataFrame, k: int, block_rows: int, exclude_self: bool, kind: str) -> DataFrame:
-    """k best references of every query inside its cells: ``_id, neighbor, distance``.
-
-    ``q`` and ``r`` hold ``_id, _v, _c``. A cell with many rows on either side is cut into blocks of about
-    ``block_rows``; a task compares one query block with one reference block of a cell in matrix form.
-    """
-
-    def cut(df: DataFrame) -> Column:
-        counts = df.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per pivot
-        return F.element_at(F.create_map(*[F.lit(x) for c in counts for x in (c["_c"], -(-c["n"] // block_rows))]), F.col("_c")) if counts else F.lit(1)
-
-    n_q, n_r = cut(q), cut(r)
-    block = lambda n: F.pmod(F.xxhash64("_id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)).cast("int") - 1))
-    q = q.withColumn("_qb", block(n_q)).withColumn("_rb", every(n_r))
-    r = r.withColumn("_rb", block(n_r)).withColumn("_qb", every(n_q))
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        frames = []
-        if len(a) and len(b):
-            ids, ref = b["_id"].to_numpy(), np.stack(b["_v"].to_numpy())
-            for start in range(0, len(a), 256):
-                part = a.iloc[start : start + 256]
-                own, x = part["_id"].to_numpy(), np.stack(part["_v"].to_numpy())
-                d2 = np.stack([((ref - row) ** 2).sum(axis=1) for row in x])
-                if exclude_self:
-                    d2[own[:, None] == ids[None, :]] = np.inf
-                # The k-th smallest distance of each query; all rows up to it, so that ties are ordered by id.
-                last = min(k, d2.shape[1]) - 1
-                i, j = np.nonzero((d2 <= np.partition(d2, last, axis=1)[:, last][:, None]) & np.isfinite(d2))
-                order = np.lexsort((ids[j], d2[i, j], i))
-                i, j = i[order], j[order]
-                first = np.arange(len(i)) - np.searchsorted(i, i) < k
-                i, j = i[first], j[first]
-                frames.append(pd.DataFrame({"_id": own[i], "neighbor": ids[j], "distance": np.sqrt(d2[i, j])}))
-        if not frames:
-            return pd.DataFrame({"_id": a["_id"].iloc[:0], "neighbor": b["_id"].iloc[:0], "distance": pd.Series(dtype="float64")})
-        return pd.concat(frames, ignore_index=True)
-
-    keys = ["_c", "_qb", "_rb"]
-    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(nearest, f"_id {kind}, neighbor {kind}, distance double")
-
-
 VISIT_ROWS = 4096  # rows of a frame that a task passes on
 
 
@@ -239,17 +200,106 @@ def _visit_frames(pdf: pd.DataFrame, i: np.ndarray, c: np.ndarray) -> Iterator[p
         yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[rows], "_v": pdf["_v"].to_numpy()[rows], "_c": c[start : start + VISIT_ROWS].astype("int32")})
 
 
+def _stacked(column: pa.ListArray) -> np.ndarray:
+    """The vectors of a batch as a matrix; all have the same length."""
+    sizes = column.value_lengths()
+    if column.null_count or pc.min(sizes).as_py() != pc.max(sizes).as_py():
+        raise ValueError("a vector is NULL or of another length")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+class _Finds:
+    """The k best references of some queries so far, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, distances: np.ndarray):
+        self.ids, self.distances = ids, distances  # row by k, NaN where nothing was found yet
+
+    def reach(self) -> np.ndarray:
+        last = self.distances[:, -1]
+        return np.where(np.isnan(last), np.inf, last)
+
+    def add(self, i: np.ndarray, ids: np.ndarray, distances: np.ndarray) -> None:
+        """Takes in finds of rows ``i``."""
+        rows, k = np.unique(i), self.ids.shape[1]
+        old = ~np.isnan(self.distances[rows])
+        at = np.concatenate([np.repeat(rows, k)[old.ravel()], i])
+        new, far = np.concatenate([self.ids[rows][old], ids]), np.concatenate([self.distances[rows][old], distances])
+        order = np.lexsort((new, far, at))
+        at, new, far = at[order], new[order], far[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        first = place < k
+        self.ids[at[first], place[first]], self.distances[at[first], place[first]] = new[first], far[first]
+
+
+def _search(x: np.ndarray, own: np.ndarray, finds: _Finds, go: Callable, chunk: tuple, centre: np.ndarray, exclude_self: bool) -> None:
+    """Compare some queries with the cells of a chunk that ``go(c, reach)`` names.
+
+    Products of 32-bit floats tell which pairs may be near enough, with room for their rounding; those pairs are compared exactly.
+    """
+    vectors, ids, starts = chunk
+    k, room = finds.ids.shape[1], np.float32(2.4e-7 * (x.shape[1] + 16))
+    low, square = (x - centre).astype(np.float32), ((x - centre) ** 2).sum(axis=1)
+    for c in range(len(starts) - 1):
+        a, b = starts[c], starts[c + 1]
+        reach = finds.reach()
+        i = np.flatnonzero(go(c, reach))
+        if a == b or not len(i):
+            continue
+        ref = vectors[a:b] - centre
+        with np.errstate(over="ignore", invalid="ignore"):
+            squares = (ref**2).sum(axis=1)
+            near = (-2 * low[i]) @ ref.astype(np.float32).T
+            near += squares.astype(np.float32)[None, :]
+            slack = room * (square[i] + squares.max())
+            most = reach[i] ** 2 * (1 + 1e-6) + slack
+            blank = np.flatnonzero(np.isinf(reach[i]))
+            if len(blank):  # fewer than k found: nothing beyond the k-th of this cell is needed
+                other = near[blank]
+                if exclude_self:
+                    other = np.where(own[i[blank]][:, None] == ids[a:b][None, :], np.inf, other)
+                last = min(k, b - a) - 1
+                most[blank] = np.partition(other, last, axis=1)[:, last] + square[i[blank]] + 2 * slack[blank]
+            row, at = np.nonzero(~(near > (most - square[i] + slack).astype(np.float32)[:, None]))
+        for s in range(0, len(row), 65_536):
+            r, j = i[row[s : s + 65_536]], a + at[s : s + 65_536]
+            far = np.sqrt(((vectors[j] - x[r]) ** 2).sum(axis=1))
+            ok = np.isfinite(far) & (far <= finds.reach()[r])
+            if exclude_self:
+                ok &= own[r] != ids[j]
+            if ok.any():
+                finds.add(r[ok], ids[j[ok]], far[ok])
+
+
+CHUNK_VALUES = 4_000_000  # values of reference vectors that a pass sends to the tasks, about
+
+
+def _chunks(sizes: dict[int, int], rows: int) -> list[list[tuple[int, int, int]]]:
+    """Cells in groups of about ``rows`` references, as ``(cell, part, parts)``; a larger cell is cut into parts."""
+    out, room = [], 0
+    for c, n in sorted(sizes.items()):
+        parts = -(-n // rows)
+        for part in range(parts):
+            if room < n // parts or not out:
+                out.append([])
+                room = rows
+            out[-1].append((c, part, parts))
+            room -= n // parts
+    return out
+
+
 def knn(
     queries: DataFrame, references: DataFrame, k: int, key: str = "cell_id", vector: str = "embedding",
-    block_rows: int = 2048, exclude_self: bool = False, max_pivots: int = 256,
+    block_rows: int = 512, exclude_self: bool = False, max_pivots: int = 256, chunk_values: int = CHUNK_VALUES,
 ) -> DataFrame:
     """Exact k nearest neighbours ``(key, neighbor, distance, rank)`` by euclidean distance, ties to the smaller id.
 
     References belong to the nearest of at most ``max_pivots`` pivots. A query first searches its own pivot's cell;
     the distance of its k-th find bounds what it still needs, and by the triangle inequality it visits only cells
-    whose nearest possible member can be within that bound. Only k candidates per query and block are shuffled.
+    whose nearest possible member can be within that bound. Cells go to the tasks in chunks of bounded size, one pass
+    over the queries per chunk; queries stay where they are with their k finds, so a pass writes one row per query
+    and no visit is ever stored or shuffled. ``block_rows`` queries are compared at a time.
     """
-    kind = dict(queries.dtypes)[key]
+    kind, spark = dict(queries.dtypes)[key], queries.sparkSession
     slim = lambda df: df.select(F.col(key).alias("_id"), F.transform(vector, lambda x: x.cast("double")).alias("_v"))
     q, r = slim(queries), slim(references)
     n_pivots = int(min(max_pivots, max(1, np.sqrt(references.count()))))
@@ -258,40 +308,77 @@ def knn(
     ranked = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if not chosen:
         return ranked(q.select("_id", F.col("_id").alias("neighbor"), F.lit(0.0).alias("distance")).where("false")).withColumnRenamed("_id", key)
-    pivots = q.sparkSession.sparkContext.broadcast(np.array(chosen))
-
-    def distances(v: pd.Series) -> np.ndarray:
-        return np.stack([np.sqrt(((pivots.value - x) ** 2).sum(axis=1)) for x in v.to_numpy()])
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                d = distances(pdf["_v"])
-                yield pdf.assign(_c=d.argmin(axis=1).astype("int32"), _d=d.min(axis=1))
-
-    assigned = f"_id {kind}, _v array<double>, _c int, _d double"
-    r = durable(r.mapInPandas(assign, assigned))
-    cells = {row["_c"]: row["radius"] for row in r.groupBy("_c").agg(F.max("_d").alias("radius")).collect()}
-    home = ranked(_block_candidates(q.mapInPandas(assign, assigned).drop("_d"), r.drop("_d"), k, block_rows, exclude_self, kind)).drop("rank")
-    home = durable(home)
-    bounds = home.groupBy("_id").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_found"))
-    reach = F.when(F.col("_found") >= k, F.col("_far")).otherwise(float("inf"))
-    bounded = q.join(bounds, "_id", "left").select("_id", "_v", F.coalesce(reach, F.lit(float("inf"))).alias("_reach"))
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        radius = np.array([cells.get(c, -np.inf) for c in range(len(pivots.value))])  # a pivot without members is never visited
-        for pdf in batches:
-            if len(pdf):
-                d = distances(pdf["_v"])
+    pivots = spark.sparkContext.broadcast(np.array(chosen))
+
+    def distances(x: np.ndarray, which) -> np.ndarray:
+        return np.stack([np.sqrt(((pivots.value[which] - row) ** 2).sum(axis=1)) for row in x])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = distances(_stacked(batch.column(1)), slice(None))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d.argmin(axis=1).astype("int32")), pa.array(d.min(axis=1))], names=["_id", "_v", "_c", "_d"])
+
+    slots, assigned = task_slots(spark), f"_id {kind}, _v array<double>, _c int, _d double"
+    r = written(r.mapInArrow(assign, assigned), "knn-references")
+    cells = {row["_c"]: row for row in r.groupBy("_c").agg(F.max("_d").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
+    groups = _chunks({c: row["n"] for c, row in cells.items()}, max(1, chunk_values // max(1, len(chosen[0]))))
+    home = np.zeros(len(chosen), int)  # the chunk that a query of each pivot takes first; later ones may hold other parts of its cell
+    for g, group in reversed(list(enumerate(groups))):
+        home[[c for c, _, _ in group]] = g
+    blank = {"_near": F.array_repeat(F.col("_id"), k), "_far": F.array_repeat(F.lit(float("nan")), k)}
+    placed = q.repartition(slots, "_id", "_v").mapInArrow(assign, assigned).drop("_d")
+    placed = written(placed.withColumns(blank | {"_g": F.element_at(F.array(*[F.lit(int(g)) for g in home]), F.col("_c") + 1)}), "knn-queries")
+
+    order = ["_id", "_v", "_c", "_near", "_far", "_g"]
+
+    def passed(rows: DataFrame, g: int, first: bool) -> DataFrame:
+        """The queries after chunk ``g``: those that begin there take their own cell and then the others (``first``), or all
+        others take what they still need."""
+        parts = {c: [p for x, p, _ in groups[g] if x == c] for c, _, n in groups[g] if n > 1}
+        split = [(F.col("_c") == c) & F.pmod(F.xxhash64("_id", "_v"), F.lit(n)).isin(parts[c]) for c, n in {(c, n) for c, _, n in groups[g] if n > 1}]
+        sent = r.where(reduce(or_, split, F.col("_c").isin([c for c, _, n in groups[g] if n == 1]))).select("_c", "_id", "_v").toArrow()
+        names = np.array(sorted({c for c, _, _ in groups[g]}))
+        at = sent.column(0).to_numpy()
+        by_cell = np.argsort(at, kind="stable")
+        bounds = np.append(np.searchsorted(at[by_cell], names), len(at))
+        vectors = np.concatenate([_stacked(x) for x in sent.column(2).chunks if len(x)] or [np.empty((0, len(chosen[0])))])[by_cell]
+        chunk = spark.sparkContext.broadcast((vectors, sent.column(1).to_numpy()[by_cell], bounds, names, np.array([cells[c]["radius"] for c in names])))
+        del sent, vectors
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vectors, ids, bounds, names, radius = chunk.value
+            centre = pivots.value.mean(axis=0)
+            for batch in (b.slice(s, block_rows) for b in batches for s in range(0, b.num_rows, block_rows)):
+                x, own, c, begins = _stacked(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(5).to_numpy()
+                found, d = _stacked(batch.column(3)), distances(x, names)
+                finds = _Finds(found.astype(np.result_type(found, ids)), _stacked(batch.column(4)).copy())
                 # A hair of slack for rounding: it can only add visits.
-                go = (d - radius <= pdf["_reach"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9 * (1 + d)) & np.isfinite(radius)
-                go[np.arange(len(d)), d.argmin(axis=1)] = False
-                i, c = np.nonzero(go)
-                yield from _visit_frames(pdf, i, c)
-
-    onward = durable(bounded.mapInPandas(visits, f"_id {kind}, _v array<double>, _c int"))
-    others = _block_candidates(onward, r.drop("_d"), k, block_rows, exclude_self, kind)
-    return ranked(home.unionByName(others)).withColumnRenamed("_id", key)
+                near = lambda i, reach: d[:, i] - radius[i] <= reach * (1 + 1e-9) + 1e-9 * (1 + d[:, i])
+                if first:
+                    _search(x, own, finds, lambda i, reach: c == names[i], (vectors, ids, bounds), centre, exclude_self)
+                    _search(x, own, finds, lambda i, reach: (c != names[i]) & near(i, reach), (vectors, ids, bounds), centre, exclude_self)
+                else:
+                    _search(x, own, finds, lambda i, reach: (begins != g) & near(i, reach), (vectors, ids, bounds), centre, exclude_self)
+                ends = np.arange(0, len(x) * k + 1, k, dtype=np.int32)
+                near_ids = pa.ListArray.from_arrays(ends, pa.array(finds.ids.ravel(), type=batch.column(3).type.value_type, from_pandas=True))
+                far = pa.ListArray.from_arrays(ends, pa.array(finds.distances.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), near_ids, far, batch.column(5)], names=order)
+
+        out = written(rows.mapInArrow(run, f"_id {kind}, _v array<double>, _c int, _near array<{kind}>, _far array<double>, _g int"), "knn-finds")
+        chunk.destroy()
+        return out
+
+    parts = [passed(placed.where(F.col("_g") == g).select(*order), g, True) for g in range(len(groups))]
+    dropped(placed)
+    now = union_all(parts)
+    for g in range(len(groups) if len(groups) > 1 else 0):
+        before, now = parts, passed(now, g, False)
+        dropped(*before)
+        parts = [now]
+    dropped(r)
+    each = now.select("_id", F.explode(F.arrays_zip("_near", "_far")).alias("_f")).where(~F.isnan("_f._far"))
+    return ranked(each.select("_id", F.col("_f._near").alias("neighbor"), F.col("_f._far").alias("distance"))).withColumnRenamed("_id", key)
 
 
 def label_transfer(neighbors: DataFrame, labels: DataFrame, key: str = "cell_id", label: str = "label") -> DataFrame:

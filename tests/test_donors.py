@@ -331,6 +331,21 @@ def test_knn_prunes_and_stays_exact(spark):
     assert qc.knn(df, df.where("false"), 5).count() == 0 and qc.knn(df.where("false"), df, 5).count() == 0
 
 
+@pytest.mark.parametrize("values, kind", [(150, "string"), (20, "int"), (100_000, "int")])
+def test_knn_stores_no_visits(spark, monkeypatch, values, kind):
+    """Chunks smaller than a cell, and one chunk: the result is that of all pairs, and what is written has a row per vector."""
+    rng, tables, write = np.random.default_rng(2), [], qc.written
+    x = np.concatenate([rng.normal(size=(150, 5)), np.tile(rng.normal(size=5), (40, 1)), 1e4 + rng.normal(size=(10, 5))]).round(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id int, embedding array<double>").withColumn("cell_id", F.lpad(F.col("cell_id").cast("string"), 3, "0").cast(kind))
+    monkeypatch.setattr(qc, "written", lambda t, name: (lambda out: (tables.append(out.count()), out)[1])(write(t, name)))
+    got = qc.knn(df, df, 4, block_rows=32, exclude_self=True, max_pivots=6, chunk_values=values).orderBy("cell_id", "rank").toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = [j for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), d[i]))[:4]]
+    assert got["neighbor"].astype(int).tolist() == want and np.allclose(got["distance"], [d[i // 4, j] for i, j in enumerate(want)])
+    assert max(tables) <= len(x) and len(tables) >= (6 if values < 1000 else 3)
+
+
 def test_visits_go_on_in_small_frames():
     from donorlake.operators import cellqc
 
