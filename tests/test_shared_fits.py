@@ -69,6 +69,25 @@ def test_an_arm_is_not_computed_once_per_column(spark):
     assert out.count() == 1
 
 
+@pytest.mark.parametrize("name", ["arm_run", "cohort_probe"])
+def test_arms_take_all_published_replicates(spark, monkeypatch, name):
+    import inspect
+
+    from donorlake.plans import all_queries
+
+    seen, signature = [], inspect.signature(arms.run_arm)
+
+    def recorded(*args, **options):
+        call = signature.bind(*args, **options)
+        call.apply_defaults()
+        seen.append((call.arguments["n_permutations"], call.arguments["n_bootstrap"], call.arguments["fixed_c"]))
+        return spark.range(1)
+
+    monkeypatch.setattr(arms, "run_arm", recorded)
+    all_queries().QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [(1000, 5000, None)]
+
+
 def test_a_fit_frees_what_it_sends_on_the_driver_too(spark, monkeypatch):
     from pyspark.core.broadcast import Broadcast
 
