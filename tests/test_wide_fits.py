@@ -37,6 +37,24 @@ def test_both_solvers_reach_one_optimum(spark, balanced):
     assert (a.n_train == b.n_train).all() and (a.n_cases == b.n_cases).all()
 
 
+@pytest.mark.parametrize("balanced, block", [(False, 500), (True, 200)])
+def test_fewer_rows_than_features_take_few_passes(spark, monkeypatch, balanced, block):
+    """The solver goes on among the rows: it reaches Newton's optimum in the features without a pass over them per step."""
+    monkeypatch.setattr(md, "BLOCK_FEATURES", block)
+    rows, scaled = model_rows(people(spark, 30, 70, 6)), [i != 2 for i in range(70)]
+    fits = [md.Fit(0, ((0, o),), c) for o in (-1, 0, 1) for c in (0.01, 1.0)]
+    a = md.fit_logistic(rows, fits, 70, balanced, scaled, solver="newton")
+    with monkeypatch.context() as m:
+        m.setattr(md, "_ladder", None)
+        b = md.fit_logistic(rows, fits, 70, balanced, scaled, solver="matrix-free")
+    assert np.abs(a.weights - b.weights).max() < 1e-6 and b.kkt.max() < 1e-7 and b.converged.all()
+    assert (a.n_train == b.n_train).all() and (a.n_cases == b.n_cases).all()
+    assert np.allclose(a.mean, b.mean) and np.allclose(a.scale, b.scale) and np.isinf(b.scale[:, -1]).all()
+    alone = model_rows(people(spark, 30, 70, 6).withColumn("label", F.when(F.col("donor_id") % 3 == 0, F.col("label")).otherwise(0)))
+    kept = md.fit_logistic(alone, [md.Fit(0, ((0, 0),), 1.0), md.Fit(0, ((0, 1),), 1.0)], 70, solver="matrix-free")
+    assert np.isnan(kept.weights[0]).all() and np.isfinite(kept.weights[1]).all() and np.isnan(kept.kkt[0]) and kept.kkt[1] < 1e-7
+
+
 def test_one_class_and_no_convergence(spark):
     rows = model_rows(people(spark).withColumn("label", F.when(F.col("donor_id") % 3 == 0, F.col("label")).otherwise(0)))
     kept = md.fit_logistic(rows, [md.Fit(0, ((0, 0),), 1.0), md.Fit(0, ((0, 1),), 1.0)], 8, solver="matrix-free")
